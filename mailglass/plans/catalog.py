@@ -1,43 +1,22 @@
-"""The registered queries: name -> (function, SQL or None)."""
+"""All registered queries of the library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function under its name."""
 
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = (f, sql)
-        return f
+from mailglass.plans import indicators, scoring, state
+from mailglass.plans.registry import QUERIES, Query
 
-    return add
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+_MODULES = (scoring, indicators, state)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return daily_trend(spark, folder)
-
-
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
-def daily_trend(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports per day."""
-    return table(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return scoring.score_signals(spark, folder)
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, (f, _) in _QUERIES.items()}
+    return {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _QUERIES.items() if s}
+    return {k: s for k, (_, s) in QUERIES.items() if s}
