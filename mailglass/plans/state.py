@@ -10,16 +10,14 @@ from pyspark.sql.window import Window
 from mailglass.plans.registry import query, table
 
 ADDR_SQL = "concat('u', user_id, '@d', user_id % 7, '.example')"
-ADDR = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@d"), (F.col("user_id") % 7).cast("string"), F.lit(".example"))
 DOMAIN_SQL = "concat('d', user_id % 7, '.example')"
-DOMAIN = F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string"), F.lit(".example"))
-MICROS = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)"
 BAND_SQL = "CASE WHEN value >= 100 THEN 'MALICIOUS' WHEN value >= 50 THEN 'SUSPICIOUS' ELSE 'BENIGN' END"
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
     v = F.when(F.col("value") >= 100, "MALICIOUS").when(F.col("value") >= 50, "SUSPICIOUS").otherwise("BENIGN")
-    return table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", ADDR.alias("addr"), DOMAIN.alias("domain"), v.alias("verdict"))
+    return table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", F.expr("concat('u', user_id, '@d', user_id % 7, '.example')").alias("addr"), F.expr("concat('d', user_id % 7, '.example')").alias("domain"), v.alias("verdict"))
 
 
 HISTORY_SQL = f"""SELECT {ADDR_SQL} AS addr, {DOMAIN_SQL} AS domain, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, bool_or(event_type = 'purchase') AS replied,
@@ -125,7 +123,7 @@ def cursor_advance(spark: SparkSession, folder: str) -> DataFrame:
 SELECT addr, slot, event_id FROM (SELECT *, row_number() OVER (PARTITION BY addr, slot ORDER BY ts, event_id) AS r FROM a) WHERE r = 1""")
 def notify_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """One alert a sender and half day, the first."""
-    a = events(spark, folder).filter("verdict = 'MALICIOUS'").withColumn("slot", F.floor(MICROS / 43_200_000_000))
+    a = events(spark, folder).filter("verdict = 'MALICIOUS'").withColumn("slot", F.floor(F.expr(MICROS) / 43_200_000_000))
     first = a.groupBy("addr", "slot").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     return first.select("addr", "slot", F.col("f.event_id").alias("event_id"))
 
@@ -133,7 +131,7 @@ def notify_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE busy > 3) AS limited FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW) AS busy FROM events) GROUP BY 1""")
 def rate_limit_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Requests in a sliding window of six hours."""
-    w = Window.partitionBy("user_id").orderBy(MICROS).rangeBetween(-6 * 3600 * 1_000_000, 0)
+    w = Window.partitionBy("user_id").orderBy(F.expr(MICROS)).rangeBetween(-6 * 3600 * 1_000_000, 0)
     return events(spark, folder).withColumn("busy", F.count("*").over(w)).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("busy") > 3).alias("limited"))
 
 
