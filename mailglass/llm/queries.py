@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailglass.llm import html_extraction, jaccard_join, language_id, lm_scoring, mixing, neighbours, packing, quality_classifier, quality_rules, secrets
+from mailglass.llm import html_extraction, jaccard_join, language_id, lm_scoring, mixing, neighbours, oracles, packing, quality_classifier, quality_rules, secrets
 from mailglass.llm.common import crc_rest
 
 #: Of the public tokenizer files, by default from the installed package of that name.
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
