@@ -35,6 +35,8 @@ PERCENT = 80
 SKETCH_BITS = 22
 #: Subsets of a set beyond this size are more than any scan; it bounds the cost table, not the sets.
 MAX_SMALL = 24
+#: Nodes (8 bytes each) up to which a round's table of nodes is broadcast to pick their texts; beyond, texts are shuffled.
+BROADCAST_NODES = 2_000_000
 
 _TABLE = None
 
@@ -251,8 +253,10 @@ def subset_links(shared: DataFrame) -> DataFrame:
     return j.select(F.col("node").alias("a"), other.alias("b")).filter("a != b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link. Only the sets of nodes in pairs are made, from their texts."""
+    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    sets = sets_of(docs, F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, words)
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -330,12 +334,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     shared = cut(shared_postings(postings(docs, plan)))
     links = cut(subset_links(shared))
     lists = shared.filter(F.col("kind") == LIST).select("key", "node", "n", "at")
-    sets = cut(sets_of(docs, lists.select("node").distinct(), words))
     labels = connected_components(links)
     for turn in range(3):
         still = cut(open_lists(lists, labels))
         pairs = centre_pairs(still, percent, turn) if turn < 2 else open_pairs(still, percent)
-        links = links.unionByName(cut(verified(pairs, sets, percent)))
+        links = links.unionByName(cut(verified(cut(pairs), docs, words, percent)))
         labels = connected_components(links)
     # node: the least id of a class of equal sets; its component holds for the class.
     key = F.when(F.col("n") == 0, F.col("doc_id"))
