@@ -174,10 +174,26 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", q, x)
 
 
+def _first_ids(copy: np.ndarray, vid: np.ndarray, nth: np.ndarray, k: int) -> np.ndarray:
+    """Rows that stay: the first of equal vectors in order of id. Rows of one id count as often as they come, so where ids
+    repeat all rows stay."""
+    if len(np.unique(vid)) < len(vid):
+        return np.arange(len(vid))
+    return np.flatnonzero(nth <= k)
+
+
 def best_of_block(qid: np.ndarray, q: np.ndarray, vid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, vec_id, score: each query's k best rows of a block, ties to the smaller id."""
     order = np.argsort(vid, kind="stable")
-    vid, x = vid[order], x[order]
+    vid, x = vid[order], np.ascontiguousarray(x[order]) + 0.0
+    # Of equal vectors only the k + 1 smallest ids can be among a query's k best (one may be its own), so more need not be
+    # looked at, however many copies there are.
+    copy = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+    by_copy = np.argsort(copy, kind="stable")
+    nth = np.empty(len(copy), np.int64)
+    nth[by_copy] = np.arange(len(copy)) - np.searchsorted(copy[by_copy], copy[by_copy])
+    some = _first_ids(copy, vid, nth, k)
+    vid, x = vid[some], x[some]
     out: list[tuple] = []
     for a in range(0, len(q), 256):
         s = q[a : a + 256] @ x.T
