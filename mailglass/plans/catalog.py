@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailglass.plans import content, indicators, reports, scoring, state
+from mailglass.plans import content, features, indicators, reports, scoring, state
 from mailglass.plans.registry import QUERIES, Query
 
-_MODULES = (scoring, indicators, state, content, reports)
+_MODULES = (scoring, indicators, state, content, reports, features)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
