@@ -16,7 +16,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.filter("a != b")
     edges = cut(both.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(both.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("component")))
+    labels = edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component"))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("to"))

@@ -7,8 +7,9 @@ partner cannot miss all of, on lists, and sets that meet on a list are compared
 large is the size at which listing subsets costs more than scanning.
 
 Large groups stay linear: copies become one node first; on a list, each node is compared with a few centres only, and what
-is thereby connected is not compared again; last, only pairs of still unconnected nodes that meet on a list are compared,
-all of them, so no link between different components is lost.
+is thereby connected is not compared again; last, still unconnected nodes that meet on a list are compared, all of them,
+so no link between different components is lost: on short lists pair by pair, on long ones by joining blocks of whole sets
+with inverted lists, which returns only the links that connect.
 
 Shingles are 64-bit fingerprints of exact word sequences; two of one document's n shingles, or of a compared pair's, meet
 by chance with probability below n^2 / 2^64.
@@ -35,6 +36,10 @@ PERCENT = 80
 SKETCH_BITS = 22
 #: Subsets of a set beyond this size are more than any scan; it bounds the cost table, not the sets.
 MAX_SMALL = 24
+#: Rounds against centres before all remaining pairs are compared; they stop when those are at most so many a row.
+MOST_TURNS, FEW_PAIRS = 1, 3
+#: A list of more open nodes than this joins them as a family, in blocks of about so many shingles.
+LONG_LIST, BLOCK_SHINGLES = 16, 1_000_000
 #: Nodes (8 bytes each) up to which a round's table of nodes is broadcast to pick their texts; beyond, texts are shuffled.
 BROADCAST_NODES = 2_000_000
 
@@ -68,7 +73,7 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Each text's set as sorted distinct 64-bit fingerprints."""
     global _TABLE
     if _TABLE is None:
-        _TABLE = WordTable(word_hashes, 1_000_000)
+        _TABLE = WordTable(word_hashes)
     split = [t.encode().lower().split() for t in texts]
     ids = _TABLE.ids([w for ws in split for w in ws])
     h = _TABLE.rows[0][ids] if len(ids) else np.zeros(0, np.uint64)
@@ -283,16 +288,74 @@ def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components that meet on a list and may still link, by size and by position: what
-    comes behind their first shared shingle must suffice."""
-    a = lists.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")))
-    b = lists.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")))
+    """All pairs of nodes of different components that meet on a list of at most LONG_LIST nodes and may still link, by size
+    and by position: what comes behind their first shared shingle must suffice. At most LONG_LIST / 2 pairs a row."""
+    short = lists.join(lists.groupBy("key").agg(F.count("*").alias("len")).filter(F.col("len") <= LONG_LIST).select("key"), "key", "left_semi")
+    a = short.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")))
+    b = short.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")))
     need = (F.col("n_a") + F.col("n_b")) * percent
     room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
     on = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * room >= need)
     return a.join(b, "key").filter(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def block_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different components that connect all that can be connected, as indexes: each set scans the
+    inverted lists of its shingles, which gives its exact overlaps with all sets before it at once."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    token, which = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), size)
+    by_token = np.argsort(token, kind="stable")
+    start = np.searchsorted(token[by_token], np.arange(token.max(initial=-1) + 2))
+    owner = which[by_token]
+    first = np.concatenate([[0], np.cumsum(size)])
+    _, root = np.unique(label, return_inverse=True)
+    rank = np.empty(len(sets), np.int64)
+    rank[order] = np.arange(len(sets))
+    out = []
+    for i in order.tolist():
+        t = token[first[i] : first[i + 1]]
+        lens = start[t + 1] - start[t]
+        ends = np.cumsum(lens)
+        met = owner[np.repeat(start[t] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        both = np.bincount(met, minlength=len(sets))
+        linked = np.flatnonzero((rank < rank[i]) & (root != root[i]) & ((100 + percent) * both >= percent * (size + size[i])))
+        for j in linked.tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
+def family_links(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between nodes of different components that meet on lists of more than LONG_LIST nodes.
+
+    Nodes that such lists connect are a family; a family's sets go to blocks of about BLOCK_SHINGLES shingles, and every
+    pair of blocks is joined by inverted lists, which returns at most a link a node.
+    """
+    long = lists.join(lists.groupBy("key").agg(F.count("*").alias("len"), F.min("node").alias("least")).filter(F.col("len") > LONG_LIST).select("key", "least"), "key")
+    family = connected_components(long.select(F.col("node").alias("a"), F.col("least").alias("b")))
+    nodes = long.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(family, "node")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
+    nodes = nodes.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    # Block i meets every block j: a node goes to the pairs (least, greatest) of its block with each block.
+    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    nodes = cut(nodes.select("node", "label", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+    wanted = nodes.select("node").distinct()
+    sets = sets_of(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, words)
+
+    def join(t: pa.Table) -> pa.Table:
+        sets = [np.asarray(x.values) for x in t["shingles"]]
+        node = t["node"].to_numpy()
+        got = block_links(sets, t["label"].to_numpy(), percent)
+        return pa.table({"a": pa.array(node[[i for i, _ in got]], pa.int64()), "b": pa.array(node[[j for _, j in got]], pa.int64())})
+
+    return nodes.join(sets, "node").groupBy("component", "i", "j").applyInArrow(join, LINK)
+
+
 SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
@@ -335,11 +398,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = cut(subset_links(shared))
     lists = shared.filter(F.col("kind") == LIST).select("key", "node", "n", "at")
     labels = connected_components(links)
-    for turn in range(3):
+    for turn in range(MOST_TURNS + 1):
         still = cut(open_lists(lists, labels))
-        pairs = centre_pairs(still, percent, turn) if turn < 2 else open_pairs(still, percent)
+        lens = still.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not lens["rows"]:
+            break
+        last = turn == MOST_TURNS or lens["pairs"] <= FEW_PAIRS * lens["rows"]
+        pairs = open_pairs(still, percent) if last else centre_pairs(still, percent, turn)
         links = links.unionByName(cut(verified(cut(pairs), docs, words, percent)))
+        if last:
+            links = links.unionByName(cut(family_links(still, docs, words, percent)))
         labels = connected_components(links)
+        if last:
+            break
     # node: the least id of a class of equal sets; its component holds for the class.
     key = F.when(F.col("n") == 0, F.col("doc_id"))
     classes = sized.groupBy("d1", "d2", "n", key.alias("own")).agg(F.min("doc_id").alias("node"))

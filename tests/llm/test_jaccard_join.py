@@ -58,6 +58,14 @@ def test_components_match_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_long_lists_join_in_blocks(spark, monkeypatch):
+    for name, value in (("MOST_TURNS", 0), ("LONG_LIST", 2), ("BLOCK_SHINGLES", 200)):
+        monkeypatch.setattr(J, name, value)
+    rows = corpus(3)
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()} == brute(rows)
+
+
 def test_small_sets_link_by_subsets(spark):
     base = [f"a{i}" for i in range(13)]
     rows = [(1, " ".join(base)), (2, " ".join([*base, "z"])), (3, " ".join(base[:-1])), (4, "a b c"), (5, "a b c"), (6, "a b c d")]
