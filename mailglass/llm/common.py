@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: The characters that separate words in every contract here; bytes.split() uses exactly these.
 SPACE = r"\x20\x09-\x0D"
 #: Most bytes of text that a numpy step handles at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _OWN_DIR: dict[str, str | None] = {}
 
 
@@ -48,13 +48,13 @@ def crc_rest(c: Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about CHUNK_BYTES of text each; a longer text stands alone, whole."""
+def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes of text each; a longer text stands alone, whole."""
     col = batch.column(column)
     sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
     start, total = 0, 0
     for i, n in enumerate(sizes):
-        if total and total + n > CHUNK_BYTES:
+        if total and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += int(n)
@@ -98,10 +98,13 @@ class Words(dict):
 class WordTable:
     """What `look` says of each word (a row of numpy arrays), remembered for words seen before.
 
-    `look` maps a list of words to a tuple of arrays with a row per word. At `most` words the memory is emptied.
+    `look` maps a list of words to a tuple of arrays with a row per word. At `most` words the memory is emptied, and so it is
+    when another table is used in the same Python worker, so a worker holds one full table at most.
     """
 
-    def __init__(self, look: Callable[[list[bytes]], tuple[np.ndarray, ...]], most: int = 300_000) -> None:
+    used: WordTable | None = None
+
+    def __init__(self, look: Callable[[list[bytes]], tuple[np.ndarray, ...]], most: int = 250_000) -> None:
         self.look, self.most = look, most
         self.clear()
 
@@ -109,6 +112,9 @@ class WordTable:
         self.words, self.known, self.rows = Words(), 0, None
 
     def ids(self, words: list[bytes]) -> np.ndarray:
+        if WordTable.used is not None and WordTable.used is not self:
+            WordTable.used.clear()
+        WordTable.used = self
         if len(self.words) > self.most:
             self.clear()
         out = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))

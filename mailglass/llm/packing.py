@@ -61,7 +61,7 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.chars = str.maketrans({**{chr(b): chr(b) for b in shown}, **{chr(b): chr(256 + i) for i, b in enumerate(hidden)}})
-        self.table = WordTable(self.look, 700_000)
+        self.table = WordTable(self.look, 400_000)
 
     def direct_ids(self, word: str) -> list[int]:
         return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin1").translate(self.chars))]

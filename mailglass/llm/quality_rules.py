@@ -110,7 +110,7 @@ class Fertility:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.sp.is_byte(i) for i in range(self.sp.get_piece_size())])
-        self.table = WordTable(self.look, 800_000)
+        self.table = WordTable(self.look)
         self.flat: list[np.ndarray] = []
 
     def look(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
