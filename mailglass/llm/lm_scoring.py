@@ -32,6 +32,9 @@ FILTER_BYTES = 160 << 20
 #: Most distinct words whose exact counts are broadcast (12 bytes each); beyond, they are joined.
 EXACT_WORDS = 8_000_000
 
+#: Bytes of text, and words remembered, that a worker handles at once beside the broadcast filters.
+SLICE_BYTES, TABLE_WORDS = 2 << 20, 120_000
+
 _LOW48 = np.uint64((1 << 48) - 1)
 #: Fingerprints that no word has: the end of a text (no word is empty), and what stands before its first word.
 END, START = int(word_hashes([b""])[0][0]), int(word_hashes([b" "])[0][0])
@@ -141,9 +144,9 @@ def count_rows(docs: DataFrame, cell_bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _WORDS
-        _WORDS = _WORDS or WordTable(word_hashes)
+        _WORDS = _WORDS or WordTable(word_hashes, TABLE_WORDS)
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, SLICE_BYTES):
                 ids, starts = tokens([t or "" for t in b.column(0).to_pylist()], _WORDS)
                 w, h = fingerprints(ids, starts, _WORDS.rows[0] if _WORDS.rows else np.zeros(0, np.uint64))
                 rows = [*pack(WORD, *np.unique(w, return_counts=True)), *pack(PAIR, *np.unique(pair_keys(h, w), return_counts=True))]
@@ -233,11 +236,11 @@ def score_pass(docs: DataFrame, words, pairs, exact, cells: range, n: int, v: in
             h = word_hashes(fresh)[0]
             return h, count(h), by_word.counts(h)
 
-        table = WordTable(look)
+        table = WordTable(look, TABLE_WORDS)
         ends = np.array([END, START], np.uint64)
         end_count, (end_probed, _) = int(count(ends[:1])[0]), by_word.counts(ends)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE_BYTES):
                 ids, starts = tokens([t or "" for t in b.column(1).to_pylist()], table)
                 rows = table.rows or (np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1))
                 word = ids >= 0
@@ -267,9 +270,9 @@ def exact_base(docs: DataFrame, merged: DataFrame, n: int, v: int) -> DataFrame:
     pair = T.StructType([T.StructField("row", T.LongType()), T.StructField("word", T.LongType()), T.StructField("times", T.LongType())])
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(word_hashes)
+        table = WordTable(word_hashes, TABLE_WORDS)
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE_BYTES):
                 ids, starts = tokens([t or "" for t in b.column(1).to_pylist()], table)
                 w, _ = fingerprints(ids, starts, table.rows[0] if table.rows else np.zeros(1, np.uint64))
                 doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -316,7 +319,9 @@ def lm_scores(docs: DataFrame, trains: Column, filter_bytes: int = FILTER_BYTES,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("row"))
     if passes == 1 and exact is not None:
         pairs = spark.sparkContext.broadcast(read_filter(merged, PAIR, range(1 << cell_bits), cell_bits))
-        out = score_pass(rows, words, pairs, exact, range(1 << cell_bits), n, v)
+        # Written at once, so that the executors need not keep the filters any longer.
+        out = cut(score_pass(rows, words, pairs, exact, range(1 << cell_bits), n, v))
+        pairs.unpersist()
     else:
         # Rows are told apart by a written number, so that passes meet again.
         rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
@@ -331,4 +336,7 @@ def lm_scores(docs: DataFrame, trains: Column, filter_bytes: int = FILTER_BYTES,
         out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.first("base_score").alias("base_score"), F.sum("score").alias("score"))
         if exact is None:
             out = out.drop("n_known", "base_score").join(exact_base(rows, merged, n, v), "row")
+    for shared in (words, exact):
+        if shared is not None:
+            shared.unpersist()
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
