@@ -53,10 +53,10 @@ class Router:
 def top_rows(q: np.ndarray, x: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
     """For each row of q the indexes of the k rows of x of largest inner product, without its own."""
     out = []
-    for a in range(0, len(q), 512):
-        s = q[a : a + 512] @ x.T
+    for a in range(0, len(q), 128):
+        s = q[a : a + 128] @ x.T
         if own is not None:
-            s[np.arange(len(s)), own[a : a + 512]] = -np.inf
+            s[np.arange(len(s)), own[a : a + 128]] = -np.inf
         out.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
 
@@ -236,7 +236,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
         return empty
     rows = rows.filter(F.size("v") == size["d"])
     sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(settings.sample).toArrow()
-    x = np.array(sample["v"].to_pylist())
+    x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample["v"].chunks]).reshape(sample.num_rows, -1)
     router = spark.sparkContext.broadcast(fit(x, size["count"], k, settings))
     probes = router.value.probes
 
