@@ -59,3 +59,25 @@ def test_clean_documents_stay(spark, folder):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     clean = [i for i, q in labels.items() if q == 1 and not got[i].base_failed]
     assert clean and all(got[i].kept for i in clean)
+
+
+def test_language_floors_reject_junk(spark, folder):
+    """Labelled junk that the base rule passes goes, and clean texts stay."""
+    got = {r.doc_id: r for r in op9_tokeniser_fertility(spark, folder).collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    kept = {q: [got[i].kept for i, x in labels.items() if x == q and not got[i].base_failed] for q in (0, 1)}
+    assert kept[0] and sum(kept[0]) <= 0.2 * len(kept[0]) and all(kept[1])
+
+
+def test_letters_tell_the_language():
+    fertility = Q.Fertility(vocabulary(PIECES))
+    texts = {
+        "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience",
+        "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt",
+        "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience",
+        "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia",
+        "": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+    }
+    words = [t.encode().split() for t in [*texts.values(), "", "123 !?", "漢字"]]
+    ids = fertility.table.ids([w for ws in words for w in ws])
+    assert fertility.languages(ids, np.cumsum([0, *map(len, words)])) == [*texts, "", "", ""]
