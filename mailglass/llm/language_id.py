@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mailglass.llm.common import WordTable, append_columns, mix64, slices, word_hashes
+from mailglass.llm.common import WordTable, append_columns, cut, mix64, slices, word_hashes
 
 LEAST_N, MOST_N = 1, 4
 PROBES = 3
@@ -26,7 +26,7 @@ PROBES = 3
 SLOTS = 8
 #: An n-gram belongs to a language whose texts have it at least so often, against the language that has it most.
 RATIO = 0.2
-#: Most n-grams in a filter (SLOTS * 8 bytes each). With more, those below a rising count are left out of the model.
+#: Most pairs of n-gram and language in a filter (SLOTS * 8 bytes each). More make several filters, a pass for each.
 MOST_GRAMS = 1 << 21
 UNKNOWN = "und"
 
@@ -66,11 +66,16 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Model:
     """languages by code; slots: an array of masks, 64 languages a column; rates: chance that a strange n-gram has a
-    language's bits."""
+    language's bits; part, parts: the n-grams it answers for."""
 
     languages: list[str]
     slots: np.ndarray
     rates: np.ndarray
+    part: int = 0
+    parts: int = 1
+
+    def mine(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(33)) % np.uint64(self.parts) == self.part
 
     def votes(self, keys: np.ndarray) -> np.ndarray:
         """For each n-gram and language, whether the filter has it."""
@@ -85,7 +90,7 @@ def place(keys: np.ndarray, probe: int, n: int) -> np.ndarray:
     return (mix64(keys, probe + 20) % np.uint64(n)).astype(np.int64)
 
 
-def build(languages: list[str], keys: np.ndarray, langs: np.ndarray) -> Model:
+def build(languages: list[str], keys: np.ndarray, langs: np.ndarray, part: int = 0, parts: int = 1) -> Model:
     """keys[i] occurs in language langs[i]."""
     n = max(64, SLOTS * len(np.unique(keys)))
     slots = np.zeros((n, max(1, math.ceil(len(languages) / 64))), np.uint64)
@@ -93,7 +98,7 @@ def build(languages: list[str], keys: np.ndarray, langs: np.ndarray) -> Model:
         np.bitwise_or.at(slots, (place(keys, i, n), langs // 64), np.uint64(1) << (langs % 64).astype(np.uint64))
     lang = np.arange(len(languages))
     fill = [float(((slots[:, x // 64] >> np.uint64(x % 64)) & np.uint64(1)).mean()) for x in lang]
-    return Model(languages, slots, np.array(fill) ** PROBES)
+    return Model(languages, slots, np.array(fill) ** PROBES, part, parts)
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
@@ -123,34 +128,52 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, COUNTS)
 
 
-def learn(docs: DataFrame) -> Model:
-    """The filter of all texts of docs with a language; null languages teach nothing."""
-    from mailglass.llm.common import cut
+@dataclass(frozen=True)
+class Learned:
+    """grams: lang and gram of all n-grams that belong to a language, written; parts: how many filters hold them."""
+
+    languages: list[str]
+    grams: DataFrame
+    parts: int
+
+    def model(self, part: int) -> Model:
+        """The filter of one part; its n-grams pass through the driver."""
+        got = self.grams.filter(F.shiftrightunsigned("gram", 33) % self.parts == part).toArrow()
+        number = {x: i for i, x in enumerate(self.languages)}
+        langs = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
+        return build(self.languages, got["gram"].to_numpy().astype(np.int64).view(np.uint64), langs, part, self.parts)
+
 
+def learn(docs: DataFrame) -> Learned:
+    """The n-grams of all texts of docs with a language; null languages teach nothing."""
     counts = cut(gram_counts(docs.filter("lang is not null")).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     languages = sorted(r["lang"] for r in totals.select("lang").collect())
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row per language
-    most = Window.partitionBy("gram")
-    rated = rated.withColumn("top", F.max("rate").over(most)).withColumn("all", F.sum("n").over(most))
-    model = rated.filter(F.col("rate") >= RATIO * F.col("top")).select("lang", "gram", "all")
-    sizes = rated.groupBy(F.floor(F.log2("all")).alias("size")).agg(F.count_distinct("gram").alias("grams")).collect()
-    least, room = 0, MOST_GRAMS
-    for r in sorted(sizes, key=lambda r: -r["size"]):
-        room -= r["grams"]
-        if room < 0:
-            least = 2 ** (r["size"] + 1)
-            break
-    got = model.filter(F.col("all") >= least).select("lang", "gram").toArrow()  # at most MOST_GRAMS n-grams
-    number = {x: i for i, x in enumerate(languages)}
-    langs = np.array([number[x] for x in got["lang"].to_pylist()], np.int64)
-    return build(languages, got["gram"].to_numpy().astype(np.int64).view(np.uint64), langs)
+    rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
+    grams = cut(rated.filter(F.col("rate") >= RATIO * F.col("top")).select("lang", "gram"))
+    return Learned(languages, grams, max(1, -(-grams.count() // MOST_GRAMS)))
 
 
 _TABLES: dict[int, tuple[Model, WordTable]] = {}
 
 
-def predict(texts: list[str], model: Model, table: WordTable) -> tuple[list[str], list[float]]:
+def table_of(m: Model) -> WordTable:
+    """The votes of each word's n-grams and how many they are, of those that m answers for."""
+
+    def look(words: list[bytes]) -> tuple[np.ndarray, ...]:
+        keys, at = word_grams(words)
+        if m.parts > 1:
+            mine = m.mine(keys)
+            keys, at = keys[mine], np.concatenate([[0], np.cumsum(mine)])[at]
+        total = np.concatenate([np.zeros((1, len(m.languages)), np.int32), np.cumsum(m.votes(keys), axis=0, dtype=np.int32)])
+        return total[at[1:]] - total[at[:-1]], np.diff(at).astype(np.int32)
+
+    return WordTable(look)
+
+
+def tally(texts: list[str], model: Model, table: WordTable) -> tuple[np.ndarray, np.ndarray]:
+    """Corrected votes of each text for each language, and its n-grams."""
     split = [t.encode().split() for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(ws) for ws in split])]).astype(np.int64)
     ids = table.ids([w for ws in split for w in ws])
@@ -160,7 +183,12 @@ def predict(texts: list[str], model: Model, table: WordTable) -> tuple[list[str]
         votes, grams = (x[ids] for x in table.rows)
         hits[full] = np.add.reduceat(votes, starts[full], axis=0)
         n[full] = np.add.reduceat(grams, starts[full])
-    right = np.maximum(0.0, (hits - n[:, None] * model.rates) / (1 - np.minimum(model.rates, 0.999)))
+    return (hits - n[:, None] * model.rates) / (1 - np.minimum(model.rates, 0.999)), n
+
+
+def predict(texts: list[str], model: Model, table: WordTable) -> tuple[list[str], list[float]]:
+    right, n = tally(texts, model, table)
+    right = np.maximum(0.0, right)
     langs, scores = [], []
     for i, t in enumerate(texts):
         if not n[i] or not model.languages:
@@ -175,29 +203,62 @@ def predict(texts: list[str], model: Model, table: WordTable) -> tuple[list[str]
     return langs, scores
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score for each whole text; one pass, no shuffle.
+def used(m: Model) -> WordTable:
+    """The table of m in this Python worker, which keeps one."""
+    if id(m) not in _TABLES:
+        _TABLES.clear()
+        _TABLES[id(m)] = (m, table_of(m))
+    return _TABLES[id(m)][1]
+
+
+VERDICT = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+TALLY = T.StructType([T.StructField("row", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n", T.DoubleType()), T.StructField("votes", T.ArrayType(T.DoubleType()))])
+
+
+def identify(docs: DataFrame, learned: Learned, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score for each whole text; one pass and no shuffle where one filter holds the n-grams.
 
     Null texts and texts without a letter are `und` with score 0. score: the language's share of all corrected votes, 0 to
     1. Ties go to the smaller code. Repeated rows get equal results; columns with these names give way.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    if learned.parts > 1:
+        return identify_by_parts(docs, learned, text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(learned.model(0))
 
     def work(texts: list[str]) -> list[pa.Array]:
-        m = shared.value
-        if id(m) not in _TABLES:
-
-            def look(words: list[bytes]) -> tuple[np.ndarray, ...]:
-                keys, at = word_grams(words)
-                total = np.concatenate([np.zeros((1, len(m.languages)), np.int32), np.cumsum(m.votes(keys), axis=0, dtype=np.int32)])
-                return total[at[1:]] - total[at[:-1]], np.diff(at).astype(np.int32)
-
-            _TABLES.clear()
-            _TABLES[id(m)] = (m, WordTable(look))
-        langs, scores = predict(texts, *_TABLES[id(m)])
+        langs, scores = predict(texts, shared.value, used(shared.value))
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    return append_columns(docs, text_col, work, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return append_columns(docs, text_col, work, VERDICT)
+
+
+def identify_by_parts(docs: DataFrame, learned: Learned, text_col: str) -> DataFrame:
+    """identify() with a pass for each filter; a text's votes of all passes are added up in their order."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")])
+    # Rows are told apart by a written number, so that passes meet again.
+    rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    done = None
+    for part in range(learned.parts):
+        shared = docs.sparkSession.sparkContext.broadcast(learned.model(part))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, part: int = part) -> Iterator[pa.RecordBatch]:
+            m = shared.value
+            for whole in batches:
+                for b in slices(whole, 1):
+                    right, n = tally([t or "" for t in b.column(1).to_pylist()], m, used(m))
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([part] * len(n), pa.int64()), pa.array(n), pa.array(list(right), pa.list_(pa.float64()))], names=TALLY.names)
+
+        x = cut(rows.select("row", F.col("doc")[text_col].alias("text")).mapInArrow(run, TALLY))
+        shared.unpersist()
+        done = x if done is None else done.unionByName(x)
+    each = done.groupBy("row").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("part", "votes"))).alias("all"))
+    zero = F.array_repeat(F.lit(0.0), len(learned.languages))
+    added = F.aggregate("all", zero, lambda a, x: F.zip_with(a, x["votes"], lambda p, q: p + q))
+    each = each.select("row", "n", F.transform(added, lambda v: F.greatest(v, F.lit(0.0))).alias("votes"))
+    total, best = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v), F.array_max("votes")
+    named = F.element_at(F.array(*map(F.lit, learned.languages)), F.array_position("votes", best).cast("int"))
+    verdict = each.select("row", F.when(F.col("n") > 0, named).otherwise(UNKNOWN).alias("lang_pred"), F.when((F.col("n") > 0) & (total > 0), best / total).otherwise(0.0).alias("score"))
+    return rows.join(verdict, "row").select("doc.*", "lang_pred", "score")
 
 
 def identify_held_out(docs: DataFrame, learns: Column) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from mailglass.llm import language_id as L
@@ -69,3 +70,24 @@ def test_filter_has_no_false_negatives_and_corrects_strangers():
     assert m.votes(keys)[np.arange(3000), langs].all()
     strange = m.votes(rng.integers(0, 2**63, 20000).astype(np.uint64)).mean(axis=0)
     assert np.abs(strange - m.rates).max() < 0.01
+
+
+def test_no_n_gram_is_left_out(spark, monkeypatch):
+    """However few n-grams one filter holds, a rare language beside a large one keeps its own, and all passes add up."""
+    rnd = random.Random(4)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(i, text("abcdefghij"), "aa") for i in range(300)] + [(1000 + i, text("abcdefklmn"), "bb") for i in range(2)]
+    rows += [(2000 + i, text("abcdefklmn"), None) for i in range(5)] + [(3000, None, None), (3001, "12 34", None), (0, rows[0][1], None)]
+    df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, lang string, score double")
+    learned = L.learn(df)
+    whole = sorted(map(tuple, L.identify_held_out(df, F.lit(True)).collect()), key=repr)
+    monkeypatch.setattr(L, "MOST_GRAMS", 1500)
+    got = L.identify_held_out(df, F.lit(True))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score"]
+    got = sorted(map(tuple, got.collect()), key=repr)
+    assert [r[:3] for r in got] == [r[:3] for r in whole] and len(got) == len(rows)
+    assert all(r[3] == ("aa" if r[0] < 1000 else "und" if r[0] >= 3000 else "bb") for r in got), got
+    assert all(abs(a[4] - b[4]) < 0.05 for a, b in zip(got, whole, strict=True))
+    parts = L.learn(df)
+    assert parts.parts > 3 and sum(parts.grams.filter(F.shiftrightunsigned("gram", 33) % parts.parts == i).count() for i in range(parts.parts)) == learned.grams.count() == parts.grams.count()
