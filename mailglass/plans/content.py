@@ -26,6 +26,15 @@ def fold_marks(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", folding.fold_text(F.col("text")).alias("folded"))
 
 
+@query()
+def fold_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """F01 F02 on every text, as it is and with an invisible character, look-alike, styled and marked letters put in."""
+    text = F.col("text")
+    masked = F.translate(F.concat(F.substring(text, 1, 1), F.lit("\u200b"), F.expr("substring(text, 2)")), "aeoBd", "аеοВｄ")
+    masked = F.replace(masked, F.lit("t"), F.lit("t\u0301"))
+    return table(spark, folder, "documents").select("doc_id", folding.fold_text(text).alias("folded"), folding.fold_text(masked).alias("unmasked"))
+
+
 @query("SELECT page_id, url AS refanged FROM pages")
 def refang_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Addresses with an invisible character and an escaped slash put in, made plain again."""
@@ -86,6 +95,14 @@ def archive_passwords(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.slice(A.password_candidates(F.col("text")), 1, 1), ",").alias("first_candidate"))
 
 
+@query()
+def archive_password_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """all words that may open an archive, for every text; each begins with up to nine more, some of them twice."""
+    one = lambda i: F.concat(F.element_at(F.array(*map(F.lit, ("Password: ", "pwd=", "the passcode is ", "PASSWD："))), i % 4 + 1), F.lit("k"), (F.col("doc_id") % 7 * (i % 6)).cast("string"), F.lit("-x\n"))
+    lead = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), 1, (F.col("doc_id") % 10).cast("int")), one), "")
+    return table(spark, folder, "documents").select("doc_id", A.password_candidates(F.concat(lead, "text")).alias("candidates"))
+
+
 @query("SELECT doc_id, regexp_matches(text, '[­​-‏⁠-⁤﻿]') AS hidden FROM documents")
 def invisible_text(spark: SparkSession, folder: str) -> DataFrame:
     """F03 U01."""

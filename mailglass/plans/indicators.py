@@ -55,9 +55,18 @@ def rule_regex_any(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)th[a-z]')) > 40 AS many, (length(text) - length(replace(lower(text), 'the', ''))) / 3 > 10 AS often FROM documents WHERE regexp_full_match(lang, 'en')")
 def rule_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """P11 P12."""
+    """P11 P12 on English texts."""
+    return _counts(_docs(spark, folder, "text", "lang").filter("lang = 'en'"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)th[a-z]')) > 40 AS many, (length(text) - length(replace(lower(text), 'the', ''))) / 3 > 10 AS often FROM documents")
+def rule_counts_all(spark: SparkSession, folder: str) -> DataFrame:
+    """P11 P12 on every text."""
+    return _counts(_docs(spark, folder, "text"))
+
+
+def _counts(d: DataFrame) -> DataFrame:
     get = lambda f: F.col(f)
-    d = _docs(spark, folder, "text", "lang").filter("lang = 'en'")
     many, _ = R.condition(R.Spec("text", "regex_count_gt", ("th[a-z]", 40)), get)
     often, _ = R.condition(R.Spec("text", "count_gt", ("the", 10)), get)
     return d.select("doc_id", many.alias("many"), often.alias("often"))
