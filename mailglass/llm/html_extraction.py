@@ -29,12 +29,13 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose end tag may be missing: the next block ends them.
 LOOSE = frozenset("p li dt dd td th tr option".split())
-#: Words in a class, id or role that mark what is not the article.
+#: Words that mark what is not the article, in a class, id or role whose other parts only say where it is or what shape it has.
+MARK = r"(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|disqus|respond|pagination|pager|skip|toolbar|complementary|contentinfo|(?:site|page|top)[_-]?header)"
 MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|disqus|respond|pagination|pager|skip|toolbar|complementary|contentinfo)(?:$|[\s_-])",
+    rf"(?:^|\s)(?:(?:site|page|top|bottom|left|right|main|primary|secondary|global|post|article|entry)[_-]+)*{MARK}(?:[_-]+(?:{MARK}|\d+|wrap(?:per)?|container|box|block|list|area|section|inner|outer|top|bottom|left|right|links?|items?|icons?|buttons?|form|bar|title|content|posts?|articles?|stories|text|unit|slot|to))*(?:$|\s)",
     re.I,
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:site|page|top)[_-]?header(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""",
@@ -49,9 +50,30 @@ class Line:
     text: str
     links: int  # characters inside links
     inside: bool  # of an article or main element
+    article: bool  # of an article
 
 
-def is_dropped(tag: str, attrs: str, inside: bool) -> bool:
+def holders(tokens: list[re.Match]) -> set[int]:
+    """The places of start tags whose elements hold an article or main element."""
+    stacks: dict[str, list[tuple[int, int]]] = {}
+    found, seen = set(), 0
+    for m in tokens:
+        close, tag = (m[2], m[3]) if m[3] else (m[5], m[6])
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if not close and tag in ("article", "main"):
+            seen += 1
+        elif not close and tag not in VOID and tag not in LOOSE:
+            stacks.setdefault(tag, []).append((m.start(), seen))
+        elif close and stacks.get(tag):
+            at, before = stacks[tag].pop()
+            if seen > before:
+                found.add(at)
+    return found | {at for opened in stacks.values() for at, before in opened if seen > before}
+
+
+def is_dropped(tag: str, attrs: str, inside: bool, holds: bool) -> bool:
     if tag in DROPPED and tag not in ("figure",):
         return True
     if tag == "header" and not inside:
@@ -59,24 +81,27 @@ def is_dropped(tag: str, attrs: str, inside: bool) -> bool:
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     names = " ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs))
-    return bool(MARKS.search(names) or _HEADER.search(names) or _HIDDEN.search(attrs))
+    marked = MARKS.search(names) and not holds and not (inside and tag in HEADINGS)
+    return bool(marked or _HIDDEN.search(attrs))
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's lines in order; a dropped element leaves a blank one."""
     lines: list[Line] = []
     parts: list[str] = []
-    links = depth = inside = at = 0
+    links = depth = inside = article = at = 0
     skip, level = "", 0
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, links, inside > 0))
+            lines.append(Line(text, links, inside > 0, article > 0))
         parts, links = [], 0
 
-    for m in _TOKEN.finditer(page):
+    tokens = list(_TOKEN.finditer(page))
+    holding = holders(tokens)
+    for m in tokens:
         if not skip and m.start() > at:
             parts.append(piece := page[at : m.start()])
             links += len(piece.strip()) if depth else 0
@@ -102,9 +127,10 @@ def lines_of(page: str) -> list[Line]:
             depth = 0 if close else 1
         elif tag in ("article", "main"):
             inside = max(0, inside + (-1 if close else 1))
-        if not close and tag not in VOID and not attrs.endswith("/") and is_dropped(tag, attrs, inside > 0):
+            article = max(0, article + (-1 if close else 1)) if tag == "article" else article
+        if not close and tag not in VOID and not attrs.endswith("/") and is_dropped(tag, attrs, inside > 0, m.start() in holding):
             flush()
-            lines.append(Line("", 0, inside > 0))
+            lines.append(Line("", 0, inside > 0, article > 0))
             skip, level = tag, 1
     if not skip:
         parts.append(page[at:])
@@ -113,9 +139,11 @@ def lines_of(page: str) -> list[Line]:
 
 
 def main_text(page: str) -> str:
-    """The text between the surges and dives of the page's line blocks, a space between lines."""
+    """The text of the page's articles (without one, of its main element), and what lies between the surges and dives of the
+    other line blocks; a space between lines."""
     lines = lines_of(page)
     within = any(x.inside and x.text for x in lines)
+    explicit = any(x.article and x.text for x in lines)
     kept = [x.text if (x.inside or not within) and (within or 10 * x.links < 7 * len(x.text)) else "" for x in lines]
     sizes = [len(t) for t in kept]
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
@@ -123,9 +151,9 @@ def main_text(page: str) -> str:
         return ""
     surge = min(SURGE, max(sums) / 2)
     out, on = [], False
-    for t, s in zip(kept, sums, strict=True):
+    for x, t, s in zip(lines, kept, sums, strict=True):
         on = s >= surge or (on and s > 0)
-        if on and t:
+        if t and (on or x.article or (x.inside and not explicit)):
             out.append(t)
     return " ".join(out)
 

@@ -46,3 +46,20 @@ def test_pages_of_the_table(spark, folder):
         plain = re.sub(r"<[^>]*>", " ", inner.replace("<b>", "").replace("</b>", ""))
         good += " ".join(html.unescape(plain).split()) == r.text
     assert good >= 0.98 * len(rows)
+
+
+def test_wrappers_and_parts_of_an_article_stay():
+    for name in ('class="content-sidebar-wrap"', 'class="layout with-sidebar"', 'class="post tag-comments"', 'class="sidebar"', 'id=social'):
+        assert H.main_text(f"<body><div {name}><div><article>{BODY}</article></div><div class='sidebar'>Other things to read on some other day, a long list of them, really very long.</div></div></body>") == WANT, name
+    for name in ('class="content-sidebar-wrap"', 'class="layout with-sidebar"', 'class="post tag-comments"'):
+        assert H.main_text(f"<body><div {name}>{BODY}</div></body>") == WANT, name
+    for part, text in (('<h2 id="related-work">Related work</h2>', "Related work"), ('<h2 id="comments">Comments</h2>', "Comments"), ('<section class="social-sciences"><p>Much was learned.</p></section>', "Much was learned.")):
+        assert H.main_text(f"<article>{BODY}{part}</article>") == f"{WANT} {text}", part
+    for name in ("ad", "ad-box-2", "site-header", "post-comments", "cookie-notice", "sidebar widget"):
+        assert H.main_text(f"<article>{BODY}</article><div class='{name}'>x</div>".replace("</article>", f"<div class='{name}'>Away with this.</div></article>")) == WANT, name
+
+
+def test_all_lines_of_an_article_stay():
+    ad = "<div class='ad'>Buy this.</div>"
+    assert H.main_text(f"<article><p>By A.</p>{ad * 4}<p>Short.</p>{ad * 4}{BODY}{ad * 4}<p>The end.</p></article>") == f"By A. Short. {WANT} The end."
+    assert H.main_text(f"<main><p>By A.</p>{ad * 4}{BODY}{ad * 4}<p>The end.</p></main>") == f"By A. {WANT} The end."
