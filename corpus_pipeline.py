@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a training sequence."""
-    return packing.pack(docs, vocabulary(WORD_BPE))
+    """A row per piece of a training sequence, with its token ids."""
+    return packing.pack(docs, vocabulary(WORD_BPE), keep_ids=True)
 
 
 STAGES = [("quality_rules", keep_good), ("jaccard_join", drop_near_copies), ("secret_scan", redact_secrets), ("mix_sources", mix), ("packing", pack)]

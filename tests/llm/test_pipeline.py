@@ -38,3 +38,8 @@ def test_entry_registers_everything():
     names = set(e.queries())
     assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == {str(i) for i in range(1, 11)}
     assert set(e.oracle_sql()) <= names
+
+
+def test_sequences_carry_their_tokens(spark, folder):
+    rows = P.pack(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(20), folder).collect()
+    assert rows and all(len(r.ids) == r.length for r in rows) and sum(r.length for r in rows) > 0
