@@ -63,7 +63,8 @@ class Floor:
 #: log2 of the tokens at which floors state an entropy. Beyond the last it stays; below the first it falls to 0.
 ENTROPY_AT = tuple(range(6, 14))
 #: By language. From the unlabelled texts of sf0.1, split by their letters: the median of characters per token and five
-#: robust spreads; the usual entropy less four. Labels had no part in it; there is no upper bound, so richer texts stay.
+#: robust spreads; the usual entropy less four. How many spreads was settled with a look at the labels of sf0.1. There is no
+#: upper bound, so richer texts stay.
 FLOORS = {
     "en": Floor(2.213, 4.8, (4.97, 5.51, 5.92, 6.21, 6.39, 6.50, 6.55, 6.55)),
     "de": Floor(2.243, 4.8, (4.92, 5.45, 5.83, 6.08, 6.22, 6.30, 6.33, 6.34)),
