@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +24,49 @@ _OWN_DIR: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master without one (tests) gets a temporary folder."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _OWN_DIR.setdefault(sc.applicationId, None) or tempfile.mkdtemp(prefix="spark-")
         _OWN_DIR[sc.applicationId] = at
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: the lineage ends there, and lost executors lose nothing."""
+#: Paths that cut() has written inside each open scratch().
+_SCRATCH: list[list[str]] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that were written in the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes inside goes at the end, but for what it was told to keep."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _SCRATCH.pop())
+
+
+def cut(df: DataFrame, partitions: int | None = None, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: the lineage ends there, and lost executors lose nothing.
+
+    keep: the rows outlive an open scratch(), as results that are read later must.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
@@ -134,6 +166,22 @@ class WordTable:
         self.known += n
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """The model of this name in a Python worker. Workers live on from stage to stage, so one holds a single model: another
+    name drops the model before, its word table with it, and hands the freed memory back to the system."""
+    if key not in _HELD:
+        _HELD.clear()
+        WordTable.used = None
+        gc.collect()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the splitmix64 finaliser)."""
     x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)

@@ -4,12 +4,15 @@ A text's set holds its distinct shingles of WORDS words. Two sets link when 100
 for an overlap that the two sizes fix. Small sets list all their subsets of that overlap's size: sets that share one are
 linked, and nothing else has to be compared. Large sets scan inverted lists: each puts its rarest shingles, as many as a
 partner cannot miss all of, on lists, and sets that meet on a list are compared in full. The boundary between small and
-large is the size at which listing subsets costs more than scanning.
+large is the size at which listing subsets costs more than scanning the lists that sets of that size really stand on.
 
-Large groups stay linear: copies become one node first; on a list, each node is compared with a few centres only, and what
-is thereby connected is not compared again; last, still unconnected nodes that meet on a list are compared, all of them,
-so no link between different components is lost: on short lists pair by pair, on long ones by joining blocks of whole sets
-with inverted lists, which returns only the links that connect.
+How rare a shingle is, is counted exactly. Every set's shingles are shuffled once, packed, to cells of the key space; a cell
+knows each shingle's sets, and returns only shingles that two sets or more have. A set with fewer of those than any partner
+shares with it links with nothing and is done; few sets stay.
+
+Large groups stay linear: copies of a text become one node first; on a list, each node is compared with a few centres only,
+and what is thereby connected is not compared again. Last, nodes of different components that still meet on a list are
+compared, all whose bitmaps leave an overlap possible, in blocks of a list, so no link between components is lost.
 
 Shingles are 64-bit fingerprints of exact word sequences; two of one document's n shingles, or of a compared pair's, meet
 by chance with probability below n^2 / 2^64.
@@ -19,41 +22,31 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailglass.llm.common import WordTable, cut, mix64, slices, word_hashes
+from mailglass.llm.common import WordTable, cut, held, mix64, scratch, slices, word_hashes
 from mailglass.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-#: log2 of the counters in the sketch of shingle frequencies, a byte each. The sketch only orders shingles.
-SKETCH_BITS = 22
 #: Subsets of a set beyond this size are more than any scan; it bounds the cost table, not the sets.
 MAX_SMALL = 24
-#: Rounds against centres before all remaining pairs are compared; they stop when those are at most so many a row.
-MOST_TURNS, FEW_PAIRS = 1, 3
-#: A list of more open nodes than this joins them as a family, in blocks of about so many shingles.
-LONG_LIST, BLOCK_SHINGLES = 16, 1_000_000
-#: Nodes (8 bytes each) up to which a round's table of nodes is broadcast to pick their texts; beyond, texts are shuffled.
-BROADCAST_NODES = 2_000_000
-
-_TABLE = None
-
-
-@dataclass(frozen=True)
-class Plan:
-    """What the second pass needs: the order of shingles and the boundary. Sets of at most `small` shingles are small."""
-
-    sketch: object  # a broadcast array of log2 counts by a shingle's first bits
-    small: int
-    words: int
-    percent: int
+#: Rounds against centres before all pairs that remain open are compared.
+TURNS = 3
+#: Nodes of a list in one block when its open pairs are compared.
+BLOCK = 2048
+#: Rows (about 70 bytes each) up to which a table of nodes is broadcast to pick their texts; beyond, texts are shuffled.
+BROADCAST_NODES = 1_000_000
+#: A text with more than this share of all rows is looked up by broadcast: there are at most 1 / HOT such texts.
+HOT = 1 / 1000
+#: Bits of a shingle that are shuffled behind its cell's, longs in a set's bitmap, entries a task holds back.
+KEY_BITS, BITMAP, HELD = 40, 8, 1 << 20
 
 
 def overlap(a: int, b: int, percent: int = PERCENT) -> int:
@@ -71,12 +64,10 @@ def least_partner(n: int, percent: int = PERCENT) -> int:
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     """Each text's set as sorted distinct 64-bit fingerprints."""
-    global _TABLE
-    if _TABLE is None:
-        _TABLE = WordTable(word_hashes)
+    table = held("shingles", lambda: WordTable(word_hashes))
     split = [t.encode().lower().split() for t in texts]
-    ids = _TABLE.ids([w for ws in split for w in ws])
-    h = _TABLE.rows[0][ids] if len(ids) else np.zeros(0, np.uint64)
+    ids = table.ids([w for ws in split for w in ws])
+    h = table.rows[0][ids] if len(ids) else np.zeros(0, np.uint64)
     n = max(0, len(h) - words + 1)
     s = np.zeros(n, np.uint64)
     for j in range(words):
@@ -98,328 +89,355 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell sets apart, as two signed numbers."""
-    return tuple(int(mix64(s, k).sum(dtype=np.uint64).astype(np.int64)) for k in (11, 12))
+# --- texts and nodes
 
 
-SIZES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n", "d1", "d2", "bucket", "times")])
+def text_hashes() -> tuple[Column, Column]:
+    """128 bits that tell texts apart."""
+    t = F.coalesce("text", F.lit(""))
+    return F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2")
 
 
-def measure(docs: DataFrame, words: int) -> DataFrame:
-    """A row (doc_id, n, d1, d2) per document, and rows (bucket, times) of shingles that several texts of a batch share."""
+def nodes_of(texts: DataFrame) -> DataFrame:
+    """node, h1, h2, least (the smallest doc_id, which names the row that stands for the text), copies: a row per text."""
+    found = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    # In order of ids, so that the nodes of neighbouring rows compress well.
+    return found.orderBy("least").withColumn("node", F.monotonically_increasing_id())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], words)
-                marks = [digest(s) for s in sets]
-                n, none = len(sets), [None] * len(sets)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [m[0] for m in marks], [m[1] for m in marks], none, none))], names=SIZES.names)
-                different = list(dict(zip(marks, sets, strict=True)).values())
-                if n and sum(map(len, different)):
-                    bucket, times = np.unique(np.concatenate(different) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                    at = np.flatnonzero(times > 1)
-                    no = pa.nulls(len(at), pa.int64())
-                    yield pa.RecordBatch.from_arrays([no, no, no, no, pa.array(bucket[at].astype(np.int64)), pa.array(times[at].astype(np.int64))], names=SIZES.names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIZES)
-
-
-def boundary(sizes: dict[int, int], mean_list: float, percent: int) -> int:
-    """The size up to which listing subsets costs less than scanning, over all sets: sizes has the sets of each size.
-
-    A set lists a subset for each partner size it may meet; scanning, it reads lists of mean_list for each prefix shingle.
-    """
 
-    def subsets(n: int) -> int:
-        return sum(math.comb(n, overlap(n, m, percent)) for m in range(least_partner(n, percent), largest_partner(n, percent) + 1))
+def chosen(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text: the text of each of the nodes. Repeated rows may bring a node twice."""
+    c = nodes.select(F.col("h1").alias("_h"), F.col("least").alias("_id"), "node")
+    c = F.broadcast(c) if c.count() <= BROADCAST_NODES else c
+    d = docs.select("doc_id", "text", text_hashes()[0])
+    return d.join(c, (F.col("h1") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
 
-    def scans(n: int) -> float:
-        return (n - least_partner(n, percent) + 1) * mean_list
 
-    best, small, gain = 0.0, 0, 0.0
-    for n in range(1, MAX_SMALL + 1):
-        gain += sizes.get(n, 0) * (scans(n) - subsets(n))
-        if gain >= best:
-            best, small = gain, n
-    return small
+def sliced_sets(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Nodes and their sets, a slice of (node, text) at a time, each node once in it."""
+    for whole in batches:
+        for b in slices(whole, 1, most):
+            nodes, first = np.unique(b.column(0).to_numpy(), return_index=True)
+            texts = b.column(1).take(pa.array(first)).to_pylist()
+            yield nodes, shingle_sets([t or "" for t in texts], words)
 
 
-POSTING = T.StructType(
-    [T.StructField("key", T.LongType()), T.StructField("kind", T.ByteType()), T.StructField("mark", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("node", T.LongType())]
-)
-#: A posting's kind: on a list of a prefix shingle, or of a subset, from the smaller or from the larger set's side.
-LIST, LESS, MORE = 0, 1, 2
+# --- exact frequencies, and the shingles of each set's prefix that others share
 
 
-def subset_keys(s: np.ndarray, plan: Plan) -> Iterator[tuple[int, int]]:
-    """(key, kind) of all subsets of a small set: for each partner size, those of the overlap that the two sizes ask for."""
-    from itertools import combinations
+def planes(x: np.ndarray, n: int) -> bytes:
+    """The low n bytes of 64-bit numbers, all first bytes first: slowly varying bytes compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :n].T.tobytes()
 
-    n = len(s)
-    for m in range(least_partner(n, plan.percent), largest_partner(n, plan.percent) + 1):
-        if m > plan.small or m < 1:
-            continue
-        rows = np.array(list(combinations(s.tolist(), overlap(n, m, plan.percent))), np.uint64)
-        keys = mix64(mix64(rows, 3).sum(axis=1, dtype=np.uint64), 100 * min(n, m) + max(n, m)).astype(np.int64)
-        for k in keys.tolist():
-            yield k, (LESS if n <= m else MORE)
+
+def numbers(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(n, -1).T
+    return out.view(np.uint64).ravel()
+
+
+PACKED = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("is_size", T.BooleanType()), T.StructField("keys", T.BinaryType()), T.StructField("nodes", T.BinaryType())])
+SHARED = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("nodes", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("values", T.BinaryType())])
+LISTED = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.LongType()), T.StructField("times", T.LongType()), T.StructField("at", T.LongType())])
+_ARROW = {"int": pa.int32(), "boolean": pa.bool_(), "bigint": pa.int64(), "binary": pa.binary()}
+#: Stands for a shingle where the entry gives the size of the node's set.
+SIZE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def postings(docs: DataFrame, plan: Plan) -> DataFrame:
+def record(schema: T.StructType, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ARROW[f.dataType.simpleString()]) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+
+def packed_shingles(texts: DataFrame, cell_bits: int, words: int) -> DataFrame:
+    """Per slice of texts: for each cell its shingles with their nodes; and a row of all nodes' sizes."""
+    slice_bytes = max(4 << 20, 256 << cell_bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = plan.sketch.value
-        for whole in batches:
-            for b in slices(whole, 1):
-                sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], plan.words)
-                first: dict[tuple[int, int], int] = {}
-                for i, (s, doc) in enumerate(zip(sets, b.column(0).to_pylist(), strict=True)):
-                    if len(s) and doc is not None:
-                        m = digest(s)
-                        j = first.setdefault(m, i)
-                        if b.column(0)[j].as_py() > doc:
-                            first[m] = i
-                key, kind, mark, size, at, node = ([] for _ in POSTING)
-                for (m, _), i in first.items():
-                    s, n, doc = sets[i], len(sets[i]), b.column(0)[i].as_py()
-                    if n > 1 and largest_partner(n, plan.percent) > plan.small:
-                        order = np.argsort((sketch[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")
-                        p = n - least_partner(n, plan.percent) + 1
-                        key.append(s[order[:p]].astype(np.int64))
-                        at.append(np.arange(p, dtype=np.int32))
-                        kind.append(np.zeros(p, np.int8))
-                        for out, v in ((mark, m), (size, n), (node, doc)):
-                            out.append(np.full(p, v, np.int64))
-                    if 1 < n <= plan.small and (got := list(subset_keys(s, plan))):
-                        key.append(np.array([k for k, _ in got], np.int64))
-                        kind.append(np.array([c for _, c in got], np.int8))
-                        at.append(np.zeros(len(got), np.int32))
-                        for out, v in ((mark, m), (size, n), (node, doc)):
-                            out.append(np.full(len(got), v, np.int64))
-                if key:
-                    cols = [np.concatenate(c).astype(t) for c, t in zip((key, kind, mark, size, at, node), (np.int64, np.int8, np.int64, np.int32, np.int32, np.int64), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=POSTING.names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POSTING)
-
-
-def shared_postings(rows: DataFrame) -> DataFrame:
-    """The postings of lists that two nodes or more are on; copies of a set stand there once, under their least node.
-
-    A sorted stream: a list's rows come one after the other, and only the last list of a batch waits for the next batch.
+        for nodes, sets in sliced_sets(batches, words, slice_bytes):
+            size = np.array([len(s) for s in sets], np.uint64)
+            keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            order = np.argsort(keys)
+            keys, owners = keys[order], np.repeat(nodes, size.astype(np.int64))[order]
+            at = np.searchsorted(keys >> np.uint64(64 - cell_bits), np.arange((1 << cell_bits) + 1, dtype=np.uint64))
+            short = keys >> np.uint64(64 - cell_bits - KEY_BITS)
+            full = np.flatnonzero(np.diff(at)).tolist()
+            rows = [(c, False, planes(short[at[c] : at[c + 1]], KEY_BITS // 8), planes(owners[at[c] : at[c + 1]], 8)) for c in full]
+            if len(nodes):
+                rows.append((int(mix64(nodes[:1])[0] >> np.uint64(64 - cell_bits)), True, planes(size, 8), planes(nodes, 8)))
+                yield record(PACKED, zip(*rows, strict=True))
+
+    return texts.mapInArrow(run, PACKED)
+
+
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of each cell, without the cell, from batches in order of it."""
+    now, rows = None, []
+    for b in batches:
+        for cell, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if cell != now and rows:
+                yield now, rows
+                rows = []
+            now = cell
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def shared_shingles(packed: DataFrame, cell_bits: int) -> DataFrame:
+    """Shingles that two sets or more have, with each of their nodes and how many they are, packed by cell of the node.
+
+    A task holds a cell at a time: a 2^cell_bits-th of all shingles, and all sets of one very frequent shingle (8 bytes each).
     """
 
-    def settle(t: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        key, kind, mark, n, at, node = t
-        order = np.lexsort((node, mark, kind, key))
-        key, kind, mark, n, at, node = (x[order] for x in t)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (kind[1:] != kind[:-1])
-        key, kind, mark, n, at, node = (x[new] for x in (key, kind, mark, n, at, node))
-        same = np.zeros(len(key), bool)
-        if len(key) > 1:
-            # rows of one key under two marks
-            _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-            other = mark != mark[first][inverse]
-            same = np.bincount(inverse, other, len(first))[inverse] > 0
-        return tuple(x[same] for x in (key, kind, mark, n, at, node))
+    def deal(parts: list[tuple]) -> pa.RecordBatch:
+        nodes, keys, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        cells = mix64(nodes) >> np.uint64(64 - cell_bits)
+        order = np.argsort(cells, kind="stable")
+        at = np.searchsorted(cells[order], np.arange((1 << cell_bits) + 1, dtype=np.uint64))
+        nodes, keys, values = nodes[order], keys[order], values[order]
+        full = np.flatnonzero(np.diff(at)).tolist()
+        return record(SHARED, (full, *([planes(x[at[c] : at[c + 1]], n) for c in full] for x, n in ((nodes, 8), (keys, 8), (values, 8)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        out, waiting = [], 0
+        for cell, rows in by_cell(batches):
+            for _, sizes, nodes in (r for r in rows if r[0]):
+                n = numbers(nodes, 8)
+                out.append((n, np.full(len(n), SIZE), numbers(sizes, 8)))
+            if parts := [r for r in rows if not r[0]]:
+                keys = np.concatenate([numbers(r[1], KEY_BITS // 8) for r in parts])
+                order = np.argsort(keys)
+                keys = keys[order]
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                times = np.diff(np.append(first, len(keys)))
+                times = np.repeat(times, times)
+                some = times > 1
+                nodes = np.concatenate([numbers(r[2], 8) for r in parts])[order[some]]
+                out.append((nodes, keys[some] | np.uint64(cell << KEY_BITS), times[some].astype(np.uint64)))
+            waiting += sum(len(x[0]) for x in out[-1:])
+            if waiting > HELD:
+                yield deal(out)
+                out, waiting = [], 0
+        if out:
+            yield deal(out)
+
+    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, SHARED)
+
+
+def prefixes(shared: DataFrame, percent: int) -> DataFrame:
+    """A row (node, n) per node, and rows (node, n, key, times, at) of its prefix's shared shingles: `at` is the shingle's
+    place in the set's order, the rarest first. Sets with too few shared shingles for any partner have none."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        node, key, value = (np.concatenate([numbers(r[i], 8) for r in rows]) for i in range(3))
+        is_size = key == SIZE
+        who, first = np.unique(node[is_size], return_index=True)
+        n = value[is_size][first].astype(np.int64)
+        node, key, value = node[~is_size], key[~is_size], value[~is_size]
+        order = np.lexsort((key, value, node))
+        node, key, value = node[order], key[order], value[order].astype(np.int64)
+        new = np.ones(len(node), bool)  # repeated rows bring an entry twice
+        new[1:] = (node[1:] != node[:-1]) | (key[1:] != key[:-1])
+        node, key, value = node[new], key[new], value[new]
+        start = np.searchsorted(node, who)
+        shared = np.searchsorted(node, who, side="right") - start
+        of = np.repeat(np.arange(len(who)), shared)
+        nth = np.arange(len(node)) - start[of]
+        need = -(-percent * n // 100)
+        some = nth <= (shared - need)[of]
+        of, at = of[some], (n - shared)[of[some]] + nth[some]
+        none = pa.nulls(len(who), pa.int64())
+        cols = zip((who.view(np.int64), n, none, none, none), (who[of].view(np.int64), n[of], key[some].view(np.int64), value[some], at), strict=True)
+        return record(LISTED, [pa.concat_arrays([a if isinstance(a, pa.Array) else pa.array(a), pa.array(b)]) for a, b in cols])
 
-        def out(parts):
-            t = settle(tuple(np.concatenate(c) for c in zip(*parts, strict=True)))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in t], names=POSTING.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_cell(batches):
+            yield settle(rows)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
-            last = int(np.searchsorted(t[0], t[0][-1]))
-            if last:
-                held.append(tuple(x[:last] for x in t))
-                yield out(held)
-                held = []
-            held.append(tuple(x[last:] for x in t))
-        if held:
-            yield out(held)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, POSTING)
-
-
-def subset_links(shared: DataFrame) -> DataFrame:
-    """Links of small sets: on a subset's list each larger set links with the least smaller one, and the other way round."""
-    s = shared.filter(F.col("kind") != LIST)
-    least = s.groupBy("key").agg(F.min(F.when(F.col("kind") == LESS, F.col("node"))).alias("less"), F.min(F.when(F.col("kind") == MORE, F.col("node"))).alias("more"), F.min("n").alias("low"), F.max("n").alias("high"))
-    j = s.join(least, "key")
-    # With one size on the list, all are linked; else only smaller with larger.
-    other = F.when(F.col("low") == F.col("high"), F.col("less")).when(F.col("kind") == LESS, F.col("more")).otherwise(F.col("less"))
-    return j.select(F.col("node").alias("a"), other.alias("b")).filter("a != b").distinct()
+    return shared.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LISTED)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only the sets of nodes in pairs are made, from their texts."""
-    nodes = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    sets = sets_of(docs, F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, words)
-    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return x.filter((100 + percent) * both >= percent * (F.size("sa") + F.size("sb"))).select("a", "b")
+# --- small sets
 
 
-def _hash(c: str, k: int):
-    return F.xxhash64(F.lit(k), F.col(c))
+def subsets_of(n: int, percent: int = PERCENT) -> int:
+    """Subsets that a set of n shingles lists, over all sizes of partners."""
+    return sum(math.comb(n, overlap(n, m, percent)) for m in range(least_partner(n, percent), largest_partner(n, percent) + 1))
 
 
-def centre_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each node of a list against the list's centre: of every band of sizes that may link, the node of the least hash."""
-    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    x = lists.withColumn("band", band if turn == 0 else F.floor(F.log("n") / math.log(100 / percent) + 0.5).cast("int"))
-    centre = x.groupBy("key", "band").agg(F.min_by("node", _hash("node", turn)).alias("b"), F.min_by("label", _hash("node", turn)).alias("lb"))
-    j = x.join(centre, ["key", "band"]).filter("label != lb")
-    return j.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+def boundary(sizes: dict[int, int], scans: dict[int, int], percent: int = PERCENT) -> int:
+    """The size up to which, in all, listing subsets costs less than scanning. sizes: sets by size; scans: the lengths of
+    all lists in the prefixes of sets of a size."""
+    best, small, gain = 0, 0, 0
+    for n in range(1, MAX_SMALL + 1):
+        gain += scans.get(n, 0) - sizes.get(n, 0) * subsets_of(n, percent)
+        if gain > best:
+            best, small = gain, n
+    return small
 
 
-def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists, with each node's component, on which more than one component is left."""
-    x = lists.join(labels.withColumnRenamed("component", "l"), "node", "left").withColumn("label", F.coalesce("l", "node")).drop("l")
-    return x.join(x.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("key"), "key", "left_semi")
-
-
-def open_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes of different components that meet on a list of at most LONG_LIST nodes and may still link, by size
-    and by position: what comes behind their first shared shingle must suffice. At most LONG_LIST / 2 pairs a row."""
-    short = lists.join(lists.groupBy("key").agg(F.count("*").alias("len")).filter(F.col("len") <= LONG_LIST).select("key"), "key", "left_semi")
-    a = short.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "at")))
-    b = short.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "at")))
-    need = (F.col("n_a") + F.col("n_b")) * percent
-    room = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    on = (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * room >= need)
-    return a.join(b, "key").filter(on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-
-def block_links(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different components that connect all that can be connected, as indexes: each set scans the
-    inverted lists of its shingles, which gives its exact overlaps with all sets before it at once."""
-    size = np.array([len(s) for s in sets])
-    order = np.argsort(size, kind="stable")
-    token, which = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), size)
-    by_token = np.argsort(token, kind="stable")
-    start = np.searchsorted(token[by_token], np.arange(token.max(initial=-1) + 2))
-    owner = which[by_token]
-    first = np.concatenate([[0], np.cumsum(size)])
-    _, root = np.unique(label, return_inverse=True)
-    rank = np.empty(len(sets), np.int64)
-    rank[order] = np.arange(len(sets))
-    out = []
-    for i in order.tolist():
-        t = token[first[i] : first[i + 1]]
-        lens = start[t + 1] - start[t]
-        ends = np.cumsum(lens)
-        met = owner[np.repeat(start[t] - (ends - lens), lens) + np.arange(int(ends[-1]))]
-        both = np.bincount(met, minlength=len(sets))
-        linked = np.flatnonzero((rank < rank[i]) & (root != root[i]) & ((100 + percent) * both >= percent * (size + size[i])))
-        for j in linked.tolist():
-            if root[j] != root[i]:
-                out.append((i, j))
-                root[root == root[j]] = root[i]
-    return out
+SUBSET = T.StructType([T.StructField("key", T.LongType()), T.StructField("less", T.BooleanType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])
 
 
-LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def subset_keys(s: np.ndarray, small: int, percent: int) -> Iterator[tuple[np.ndarray, bool]]:
+    """Keys of all subsets of a small set: for each partner size, those of the overlap that the two sizes ask for; and
+    whether the set is the smaller one."""
+    n = len(s)
+    for m in range(max(1, least_partner(n, percent)), min(small, largest_partner(n, percent)) + 1):
+        rows = np.array(list(combinations(s.tolist(), overlap(n, m, percent))), np.uint64)
+        yield mix64(mix64(rows, 3).sum(axis=1, dtype=np.uint64), 100 * min(n, m) + max(n, m)).view(np.int64), n <= m
 
 
-def family_links(lists: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between nodes of different components that meet on lists of more than LONG_LIST nodes.
+def subset_links(sets: DataFrame, small: int, percent: int) -> DataFrame:
+    """Links of small sets: on a subset's list each larger set links with the least smaller one, and the other way round."""
 
-    Nodes that such lists connect are a family; a family's sets go to blocks of about BLOCK_SHINGLES shingles, and every
-    pair of blocks is joined by inverted lists, which returns at most a link a node.
-    """
-    long = lists.join(lists.groupBy("key").agg(F.count("*").alias("len"), F.min("node").alias("least")).filter(F.col("len") > LONG_LIST).select("key", "least"), "key")
-    family = connected_components(long.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    nodes = long.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label")).join(family, "node")
-    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"))
-    nodes = nodes.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    # Block i meets every block j: a node goes to the pairs (least, greatest) of its block with each block.
-    nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    nodes = cut(nodes.select("node", "label", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-    wanted = nodes.select("node").distinct()
-    sets = sets_of(docs, F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted, words)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                s = np.asarray(s.values).view(np.uint64)
+                for keys, less in subset_keys(s, small, percent):
+                    yield record(SUBSET, (keys, [less] * len(keys), [len(s)] * len(keys), [node] * len(keys)))
+
+    s = sets.filter(F.col("n") <= small).select("node", "shingles").mapInArrow(run, SUBSET)
+    least = s.groupBy("key").agg(
+        F.min(F.when(F.col("less"), F.col("node"))).alias("low_node"), F.min(F.when(~F.col("less"), F.col("node"))).alias("high_node"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    # With one size on the list, all are linked; else only smaller with larger.
+    other = F.when(F.col("low") == F.col("high"), F.col("low_node")).when(F.col("less"), F.col("high_node")).otherwise(F.col("low_node"))
+    return s.join(least, "key").select(F.col("node").alias("a"), other.alias("b")).filter("a != b").distinct()
 
-    def join(t: pa.Table) -> pa.Table:
-        sets = [np.asarray(x.values) for x in t["shingles"]]
-        node = t["node"].to_numpy()
-        got = block_links(sets, t["label"].to_numpy(), percent)
-        return pa.table({"a": pa.array(node[[i for i, _ in got]], pa.int64()), "b": pa.array(node[[j for _, j in got]], pa.int64())})
 
-    return nodes.join(sets, "node").groupBy("component", "i", "j").applyInArrow(join, LINK)
+# --- large sets
 
+SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("bitmap", T.ArrayType(T.LongType()))])
 
-SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """node, n, shingles, bitmap of (node, text). Every shingle flips one of the bitmap's bits, so two sets differ in at
+    least as many shingles as their bitmaps in bits."""
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, 1):
-                sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], words)
-                offsets = np.cumsum([0, *map(len, sets)])
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=SET.names)
+        for nodes, sets in sliced_sets(batches, words, 4 << 20):
+            size = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+            bit = np.repeat(np.arange(len(sets)), size) * (64 * BITMAP) + (flat % np.uint64(64 * BITMAP)).astype(np.int64)
+            marks = np.packbits(np.bincount(bit, minlength=64 * BITMAP * len(sets)).astype(np.uint8) & 1).view(np.int64)
+            lists = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))
+            yield record(SETS, (nodes, size, lists(flat, np.append(0, np.cumsum(size))), lists(marks, BITMAP * np.arange(len(sets) + 1))))
+
+    return texts.mapInArrow(run, SETS)
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    # An id may stand on several rows; each of its texts gives a set, and equal ids are told apart by their caller.
-    return wanted.mapInArrow(run, SET)
+
+def possible(a: str, b: str, percent: int) -> Column:
+    """By the sizes and bitmaps of the sets in columns n_a, bitmap_a and so on, whether a and b may link."""
+    n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
+    differ = sum((F.bit_count(F.col(f"bitmap_{a}")[i].bitwiseXOR(F.col(f"bitmap_{b}")[i])) for i in range(BITMAP)), F.lit(0))
+    need = F.ceil(F.lit(percent) * (n_a + n_b) / (100 + percent))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= n_a + n_b - 2 * need)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    x = pairs
+    for c in ("a", "b"):
+        x = x.join(sets.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n", "shingles", "bitmap"))), c)
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return x.filter(possible("a", "b", percent) & ((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+
+def centre_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each node of a list against the list's centre: of every band of sizes that may link, the node of the least hash."""
+    x = lists.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * (turn % 2)).cast("int"))
+    rank = F.xxhash64(F.lit(turn), F.col("node"))
+    centre = x.groupBy("key", "band").agg(F.min_by(F.struct("node", "label"), rank).alias("c"))
+    j = x.join(centre, ["key", "band"]).filter("label != c.label")
+    return j.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists, with each node's component, on which more than one component is left."""
+    if labels is None:
+        x = lists.withColumn("label", F.col("node"))
+    else:
+        x = lists.join(labels.withColumnRenamed("component", "_l"), "node", "left").withColumn("label", F.coalesce("_l", "node")).drop("_l")
+    return x.join(x.groupBy("key").agg((F.min("label") != F.max("label")).alias("_open")).filter("_open").select("key"), "key", "left_semi")
+
+
+def open_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of nodes of different components that meet on a list and may still link, by size, by position (what comes
+    behind their first shared shingle must suffice) and by their bitmaps. A list is compared in blocks of BLOCK nodes."""
+    lens = lists.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    x = lists.join(lens, "key").join(sets.select("node", "bitmap"), "node")
+    side = lambda c: [F.col(k).alias(f"{k}_{c}") for k in ("node", "label", "n", "at", "bitmap")]
+    a = x.select("key", F.pmod(F.xxhash64("node"), "blocks").alias("block"), *side("a"))
+    b = x.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *side("b"))
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    j = a.join(b, ["key", "block"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))) & possible("a", "b", percent))
+    return j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def list_links(lists: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
+    """links (small sets', if any) and those between nodes that meet on lists, enough to connect all that is connected; as
+    labels (node, component), or None where there is nothing."""
+    labels = connected_components(links) if links is not None else None
+    for turn in range(TURNS + 1):
+        still = cut(open_lists(lists, labels))
+        if still.isEmpty():
+            break
+        pairs = cut(centre_pairs(still, percent, turn) if turn < TURNS else open_pairs(still, sets, percent))
+        found = cut(verified(pairs, sets, percent))
+        links = found if links is None else links.unionByName(found)
+        labels = connected_components(links)
+    return labels
+
+
+def links_of(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Sizes (node, n) of all nodes, and labels (node, component) of those that link."""
+    cell_bits = min(18, max(6, (2 * docs.rdd.getNumPartitions()).bit_length()))
+    found = cut(prefixes(shared_shingles(packed_shingles(chosen(docs, nodes), cell_bits, words), cell_bits), percent))
+    sizes, lists = found.filter("key is null").select("node", "n").distinct(), found.filter("key is not null")
+    live = lists.select("node").distinct()
+    sets = cut(sets_of(chosen(docs, nodes.join(live, "node", "left_semi")), words).dropDuplicates(["node"]))
+    cost = lists.filter(F.col("n") <= MAX_SMALL).groupBy("n").agg(F.countDistinct("node").alias("sets"), F.sum("times").alias("scanned")).collect()  # at most MAX_SMALL rows
+    small = boundary({r["n"]: r["sets"] for r in cost}, {r["n"]: r["scanned"] for r in cost}, percent)
+    links = cut(subset_links(sets, small, percent)) if small else None
+    heavy = lists.filter(F.floor(100 * F.col("n") / percent) > small)  # others have met all their partners by subsets
+    return sizes, list_links(heavy, sets, links, percent)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links lead to, the document's own included.
 
-    docs: doc_id (unique; rows with a null id come back with a null component), text. Null and empty texts have 0
-    shingles and stand alone. Texts of fewer than `words` words are one shingle, which only an equal sequence shares. Other
-    columns are not read. Exact copies fall together before anything is compared.
+    docs: doc_id, text. Null and empty texts have 0 shingles and stand alone. Texts of fewer than `words` words are one
+    shingle, which only an equal sequence shares. Every row is a document: rows that share an id are judged each by its own
+    text, repeated rows get equal results. Rows with a null id come back with a null component, though their texts connect
+    others. Other columns are not read. Copies fall together before anything is compared.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = cut(measure(docs, words))
-    sized = first.filter("n is not null").select("doc_id", "n", "d1", "d2")
-    counted = first.filter("bucket is not null").groupBy("bucket").agg(F.sum("times").alias("times"))
-    # At most 2^SKETCH_BITS rows, whatever the input.
-    got = counted.select(F.col("bucket").cast("int").alias("bucket"), F.least(F.floor(F.log2("times")), F.lit(60)).cast("tinyint").alias("log")).toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
-    sketch[got["bucket"].to_numpy()] = got["log"].to_numpy()
-    squares = first.agg(F.sum(F.col("times") * F.col("times")).alias("s"), F.sum("n").alias("n")).first()
-    hist = {r["n"]: r["count"] for r in sized.filter(F.col("n") <= MAX_SMALL).groupBy("n").count().collect()}
-    mean_list = 1 + (squares["s"] or 0) / max(1, squares["n"] or 0)
-    plan = Plan(spark.sparkContext.broadcast(sketch), boundary(hist, mean_list, percent), words, percent)
-
-    shared = cut(shared_postings(postings(docs, plan)))
-    links = cut(subset_links(shared))
-    lists = shared.filter(F.col("kind") == LIST).select("key", "node", "n", "at")
-    labels = connected_components(links)
-    for turn in range(MOST_TURNS + 1):
-        still = cut(open_lists(lists, labels))
-        lens = still.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if not lens["rows"]:
-            break
-        last = turn == MOST_TURNS or lens["pairs"] <= FEW_PAIRS * lens["rows"]
-        pairs = open_pairs(still, percent) if last else centre_pairs(still, percent, turn)
-        links = links.unionByName(cut(verified(cut(pairs), docs, words, percent)))
-        if last:
-            links = links.unionByName(cut(family_links(still, docs, words, percent)))
-        labels = connected_components(links)
-        if last:
-            break
-    # node: the least id of a class of equal sets; its component holds for the class.
-    key = F.when(F.col("n") == 0, F.col("doc_id"))
-    classes = sized.groupBy("d1", "d2", "n", key.alias("own")).agg(F.min("doc_id").alias("node"))
-    classes = classes.join(labels, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
-    x = sized.withColumn("own", key).alias("x").join(classes.alias("c"), [F.col(f"x.{c}") == F.col(f"c.{c}") for c in ("d1", "d2", "n")] + [F.col("x.own").eqNullSafe(F.col("c.own"))], "left")
-    return x.select("x.doc_id", F.col("x.n").alias("n_shingles"), F.when(F.col("x.doc_id").isNotNull(), F.col("c.component_id")).alias("component_id"))
+    with scratch(spark):
+        texts = cut(docs.select("doc_id", *text_hashes()))
+        nodes = cut(nodes_of(texts))
+        sizes, labels = links_of(docs, nodes, words, percent)
+        named = nodes.join(sizes, "node")
+        if labels is not None:
+            # A component is named by its least document, not by its least node.
+            name = labels.join(nodes, "node").groupBy("component").agg(F.min("least").alias("named"))
+            named = named.join(labels.join(name, "component").select("node", "named"), "node", "left")
+        else:
+            named = named.withColumn("named", F.lit(None).cast("long"))
+        named = cut(named.select("h1", "h2", "copies", F.col("n").alias("n_shingles"), F.coalesce("named", "least").alias("named")))
+        rows = texts.count()
+        hot = named.filter(F.col("copies") > rows * HOT).select("h1", "h2", F.struct("n_shingles", "named").alias("_hot"))
+        x = texts.join(F.broadcast(hot), ["h1", "h2"], "left")  # at most 1 / HOT rows
+        answer = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("named")).alias("component_id")
+        some = x.filter("_hot is not null").select("doc_id", "_hot.*").select("doc_id", "n_shingles", answer)
+        rest = x.filter("_hot is null").join(named.drop("copies"), ["h1", "h2"]).select("doc_id", "n_shingles", answer)
+        return cut(some.unionByName(rest), keep=True)
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without the near copies: of each component the row of the least doc_id stays. Rows with a null id stay."""
-    keep = jaccard_components(docs, words, percent).filter("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept"))
-    return docs.filter("doc_id is null").unionByName(docs.join(keep.filter("_kept is not null").distinct(), F.col("doc_id") == F.col("_kept"), "left_semi"))
+    """docs without the near copies: of each component the rows of the least doc_id stay. Rows with a null id stay."""
+    gone = jaccard_components(docs, words, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_NODES else gone
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -58,8 +58,8 @@ def test_components_match_brute_force(spark, seed):
     assert got == brute(rows)
 
 
-def test_long_lists_join_in_blocks(spark, monkeypatch):
-    for name, value in (("MOST_TURNS", 0), ("LONG_LIST", 2), ("BLOCK_SHINGLES", 200)):
+def test_open_pairs_join_in_blocks(spark, monkeypatch):
+    for name, value in (("TURNS", 0), ("BLOCK", 2)):
         monkeypatch.setattr(J, name, value)
     rows = corpus(3)
     df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
@@ -89,13 +89,39 @@ def test_large_group_stays_linear(spark):
 
 
 def test_boundary_follows_cost():
-    assert J.boundary({n: 100 for n in range(1, 25)}, 1.0, 80) <= J.boundary({n: 100 for n in range(1, 25)}, 50.0, 80)
+    sets = {n: 100 for n in range(1, 25)}
+    assert J.boundary(sets, {n: 100 for n in sets}) <= J.boundary(sets, {n: 100_000 for n in sets})
+    assert J.boundary(sets, {5: 100 * J.subsets_of(5) + 1}) == 0  # sizes 1 to 4 cost more than that gains
+    assert J.boundary({5: 10}, {5: 10 * J.subsets_of(5) + 1}) == 5
     for a in range(1, 60):
         for b in range(J.least_partner(a), J.largest_partner(a) + 1):
             c = J.overlap(a, b)
             assert 100 * c >= 80 * (a + b - c) and 100 * (c - 1) < 80 * (a + b - c + 1)
 
 
+def short_group():
+    """Many short near copies: lists are long, so their sets are small by cost."""
+    base = [f"a{i}" for i in range(10)]
+    return [(i, " ".join([*base[: 9 + i % 2], f"z{i // 2 % 7}" * (i % 3 > 0)]).strip()) for i in range(60)]
+
+
+@pytest.mark.parametrize("on", [True, False])
+def test_links_of_small_sets_come_from_subsets(spark, monkeypatch, on):
+    if not on:  # without their subsets, small sets lose their links: the lists do not find them in secret
+        monkeypatch.setattr(J, "subset_keys", lambda s, small, percent: iter(()))
+    rows = short_group()
+    df = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()}
+    assert (got == brute(rows)) is on
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, one, None, None), (1, two, None, None), (2, one + " x", None, None), (3, two + " y", None, None), (3, two + " y", None, None), (4, "else", None, None)], SCHEMA)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect())
+    assert got == [(1, 26, 1), (1, 36, 1), (2, 37, 1), (3, 27, 1), (3, 27, 1), (4, 1, 4)]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(3, 3), (50, 51), (51, 50)], "a long, b long")
     got = {r.node: r.component for r in connected_components(links).collect()}
