@@ -26,22 +26,56 @@ def fold_one(text: str) -> str:
 
 
 def refang_one(text: str) -> str:
-    """Invisible characters out, references decoded, compatibility forms and slashes made plain; hxxp stays."""
-    return unicodedata.normalize("NFKD", html.unescape(_INVISIBLE.sub("", text))).replace("\\/", "/")
+    """Invisible characters out, references decoded, compatibility forms, marks and slashes made plain; hxxp stays."""
+    text = html.unescape(_INVISIBLE.sub("", text))
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
+    return re.sub(r"\\+/", "/", text)
 
 
-def _by_batch(one: Callable[[str], str], text: Column) -> Column:
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+#: What ASCII text never needs: only texts with other characters go through Python.
+NOT_ASCII = r"[^\x00-\x7F]"
 
-    return apply(text)
+
+def by_batch(one: Callable, kind: str = "string") -> Callable[[Column], Column]:
+    """`one` over Arrow batches, value by value; null stays null."""
+
+    @F.pandas_udf(kind)
+    def apply(values: pd.Series) -> pd.Series:
+        return values.map(one, na_action="ignore")
+
+    return apply
+
+
+def each(one: Callable[[str], str]) -> Callable:
+    return lambda values: [None if v is None else one(v) for v in values]
 
 
 def fold_text(text: Column) -> Column:
-    """The text without disguise. Spark has no normalisation of its own, so this passes Arrow batches through Python."""
-    return _by_batch(fold_one, text)
+    """The text without disguise. Spark has no normalisation of its own, so texts beyond ASCII pass through Python."""
+    return F.coalesce(by_batch(fold_one)(F.when(text.rlike(NOT_ASCII), text)), text)
+
+
+def fold_lower(text: Column) -> Column:
+    return F.lower(fold_text(text))
 
 
 def refang(text: Column) -> Column:
-    return _by_batch(refang_one, text)
+    """refang_one for texts that have anything to restore: other than ASCII, a reference or an escaped slash."""
+    return F.coalesce(by_batch(refang_one)(F.when(text.rlike(NOT_ASCII + r"|&|\\\\+/"), text)), text)
+
+
+def unescape(text: Column) -> Column:
+    """Character references decoded."""
+    return F.coalesce(by_batch(html.unescape)(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def fold_each(texts: Column) -> Column:
+    """fold_text of every element of an array of strings."""
+    some = F.exists(texts, lambda t: t.rlike(NOT_ASCII))
+    return F.coalesce(by_batch(each(fold_one), "array<string>")(F.when(some, texts)), texts)
+
+
+def unescape_each(texts: Column) -> Column:
+    some = F.exists(texts, lambda t: F.contains(t, F.lit("&")))
+    return F.coalesce(by_batch(each(html.unescape), "array<string>")(F.when(some, texts)), texts)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailglass.functions.folding import fold_one
 from mailglass.functions.text import suffix_any
+from mailglass.functions.text import terms as literal
 
 OPERATORS = ("contains_any", "contains_all", "regex_any", "equals_any", "suffix_any", "exists", "gt", "lt", "length_gt", "length_lt", "count_gt", "regex_count_gt")
 
@@ -39,7 +41,9 @@ class Rule:
     reason: str = "{value}"
     scope: str = "mail"
     enabled: bool = True
-    extra: dict = field(default_factory=dict, compare=False)
+    name: str = ""
+    category: str = "misc"
+    detector: str | None = None
 
 
 def expand(values: Sequence, dictionaries: Mapping[str, Sequence[str]]) -> tuple:
@@ -75,30 +79,66 @@ def truthy(c: Column, kind: str) -> Column:
     return {"string": c != "", "number": c != 0, "boolean": c, "array": F.size(c) > 0}[kind]
 
 
-def condition(s: Spec, get: Callable[[str], Column | None], dictionaries: Mapping[str, Sequence[str]] = {}) -> tuple[Column, Column]:
-    """Whether the condition holds (never null), and what it shows as {value} (null: nothing). An unknown field: false."""
+#: What a field is read by: its column and kind (string, number, boolean or array), or None for an unknown field.
+Get = Callable[[str], "Column | None"]
+_SPECIAL = frozenset("\\.^$*+?()[]{}|")
+
+
+def first_term(text: Column, terms: Sequence[tuple[str, str]]) -> Column:
+    """Of terms (sought, shown) the first that the text contains, as shown; null if it contains none."""
+    if all(k == v for k, v in terms):
+        return F.get(F.filter(literal(k for k, _ in terms), lambda t: F.contains(text, t)), F.lit(0))
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in terms])
+    return F.get(F.filter(known, lambda t: F.contains(text, t["k"])), F.lit(0))["v"]
+
+
+def first_match(text: Column, patterns: Sequence[tuple[str, str]], flags: str) -> Column:
+    """Of patterns (sought, shown) the first that the text matches, as shown. Runs of plain words are looked up as terms,
+    so that only true expressions are matched."""
+    steps: list[Column] = []
+    plain: list[tuple[str, str]] = []
+    for k, v in [*patterns, ("", "")]:
+        if k and not set(k) & _SPECIAL:
+            plain.append((k, v))
+            continue
+        if plain:
+            steps.append(first_term(text, plain))
+            plain = []
+        if k:
+            steps.append(F.when(text.rlike(flags + k), F.lit(v)))
+    return F.coalesce(*steps) if steps else F.lit(None).cast("string")
+
+
+def condition(s: Spec, get: Get, dictionaries: Mapping[str, Sequence[str]] = {}, folded: Get | None = None) -> tuple[Column, Column]:
+    """Whether the condition holds (never null), and what it shows as {value} (null: nothing). An unknown field: false.
+
+    folded: gives a field's folded text in lower case where the caller has it; other fields are only put in lower case.
+    """
     c = get(s.field)
     if c is None:
         return F.lit(False), F.lit(None).cast("string")
     vals = expand(s.values, dictionaries)
     text = c.cast("string") if s.kind != "array" else F.array_join(c, ",")
-    folded = text if s.case_sensitive else F.lower(text)
-    fold = (lambda v: str(v)) if s.case_sensitive else (lambda v: str(v).lower())
+    low = None if s.case_sensitive or folded is None else folded(s.field)
+    hay = text if s.case_sensitive else F.lower(text) if low is None else low
+    fold = (lambda v: str(v)) if s.case_sensitive else (lambda v: (str(v) if folded is None else fold_one(str(v))).lower())
+    terms = [(fold(v), str(v)) for v in vals]
     show = F.lit(None).cast("string")
     size = F.size(c) if s.kind == "array" else F.length(c) if s.kind == "string" else F.lit(0)
     if s.operator == "contains_any":
-        show = F.coalesce(*[F.when(F.contains(folded, F.lit(fold(v))), F.lit(str(v))) for v in vals], F.lit(None))
+        show = first_term(hay, terms)
         hit = show.isNotNull()
     elif s.operator == "contains_all":
-        hit = reduce(lambda x, y: x & y, (F.contains(folded, F.lit(fold(v))) for v in vals))
+        hit = reduce(lambda x, y: x & y, (F.contains(hay, F.lit(k)) for k, _ in terms))
     elif s.operator == "regex_any":
-        flag = "" if s.case_sensitive else "(?iu)"
-        show = F.coalesce(*[F.when(folded.rlike(flag + fold(v)), F.lit(str(v))) for v in vals], F.lit(None))
+        show = first_match(hay, terms, "(?U)" if s.case_sensitive else "(?iuU)")
         hit = show.isNotNull()
     elif s.operator == "equals_any":
-        hit = folded.isin(*[fold(v) for v in vals])
+        hit = hay.isin(*[k for k, _ in terms])
+        show = F.when(hit, F.initcap(text) if s.kind == "boolean" else text)
     elif s.operator == "suffix_any":
-        hit = suffix_any(folded, tuple(fold(v) for v in vals))
+        hit = suffix_any(hay, tuple(k for k, _ in terms))
+        show = F.when(hit, text)
     elif s.operator == "exists":
         want = not (vals and str(vals[0]).lower() in ("false", "0", "no"))
         hit = F.coalesce(truthy(c, s.kind), F.lit(False)) == want
@@ -106,24 +146,28 @@ def condition(s: Spec, get: Callable[[str], Column | None], dictionaries: Mappin
     elif s.operator in ("gt", "lt"):
         n = text.try_cast("double")
         hit = n > float(vals[0]) if s.operator == "gt" else n < float(vals[0])
+        show = text
     elif s.operator in ("length_gt", "length_lt"):
         hit = size > int(vals[0]) if s.operator == "length_gt" else size < int(vals[0])
+        show = size.cast("string")
     elif s.operator == "count_gt":
         t, needle = F.lower(text), str(vals[0]).lower()
         hit = (F.length(t) - F.length(F.replace(t, F.lit(needle), F.lit("")))) / len(needle) > int(vals[1])
+        show = text
     elif s.operator == "regex_count_gt":
-        hit = F.regexp_count(text, F.lit(("" if s.case_sensitive else "(?i)") + str(vals[0]))) > int(vals[1])
+        hit = F.regexp_count(text, F.lit(("(?U)" if s.case_sensitive else "(?iuU)") + str(vals[0]))) > int(vals[1])
+        show = text
     else:
         raise RuleError(f"operator {s.operator}")
     hit = F.coalesce(hit, F.lit(False))
     if s.exclude is not None:
-        hit = hit & ~condition(s.exclude, get, dictionaries)[0]
+        hit = hit & ~condition(s.exclude, get, dictionaries, folded)[0]
     return hit, show
 
 
-def holds(rule: Rule, get: Callable[[str], Column | None], dictionaries: Mapping[str, Sequence[str]] = {}) -> tuple[Column, Column]:
+def holds(rule: Rule, get: Get, dictionaries: Mapping[str, Sequence[str]] = {}, folded: Get | None = None) -> tuple[Column, Column]:
     """All conditions of a rule on one item, and the first thing shown."""
-    both = [condition(s, get, dictionaries) for s in rule.specs]
+    both = [condition(s, get, dictionaries, folded) for s in rule.specs]
     return reduce(lambda x, y: x & y, (h for h, _ in both)), F.coalesce(*[v for _, v in both], F.lit(None))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def registrable_domain(host: Column) -> Column:
     return F.when(F.size(parts) < 2, F.array_join(parts, ".")).when(last(2).isin(*V.TWO_LEVEL), last(3)).otherwise(last(2))
 
 
+def site(host: Column) -> Column:
+    """The registrable domain: the last two labels, three behind a two-level suffix; empty for a single label."""
+    suffixes = "|".join(x.replace(".", r"\.") for x in V.TWO_LEVEL)
+    return F.regexp_extract(F.regexp_replace(F.lower(host), r"\.{2,}", "."), rf"([^.]+\.(?:{suffixes})|[^.]+\.[^.]+)\.?$", 1)
+
+
+def terms(names: Iterable[str]) -> Column:
+    """A literal array of strings, made of few expressions."""
+    names = list(names)
+    return F.split(F.lit("\x1f".join(names)), "\x1f") if names else F.array().cast("array<string>")
+
+
+def under_any(host: Column, names: Iterable[str]) -> Column:
+    """The host is one of names or lies under it."""
+    names = [re.escape(n) for n in names]
+    return host.rlike(rf"(?:^|\.)(?:{'|'.join(names)})\z") if names else F.lit(False)
+
+
 def lookalike(a: Column, b: Column) -> Column:
     """One host ends with the other and a letter or digit stands before it, so that it only looks like a subdomain."""
 
@@ -52,7 +71,7 @@ def same_owner(a: Column, b: Column) -> Column:
 
 def suffix_any(host: Column, names: tuple[str, ...]) -> Column:
     """The host is one of names or lies under it."""
-    return reduce(lambda x, y: x | y, ((host == n) | host.endswith("." + n) for n in names))
+    return under_any(host, names)
 
 
 def upper_ratio(text: Column) -> Column:

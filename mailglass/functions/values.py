@@ -46,7 +46,7 @@ FREEMAIL = tuple("gmail.com outlook.com hotmail.com yahoo.com aol.com icloud.com
 TWO_LEVEL = tuple(
     "co.uk org.uk ac.uk gov.uk me.uk net.uk sch.uk co.jp or.jp ne.jp ac.jp go.jp com.br net.br org.br com.au net.au org.au edu.au co.nz net.nz org.nz co.za org.za com.cn net.cn edu.cn org.cn gov.cn ac.cn mil.cn com.tw com.hk org.hk edu.hk gov.hk idv.hk co.kr or.kr com.mx com.ar com.tr com.sg com.my co.in net.in org.in com.pl com.ua co.id com.vn com.ph com.co com.pe".split()
 )
-URL_KEYWORDS = tuple("login signin verify secure account update password confirm billing invoice wallet recover unlock".split())
+URL_KEYWORDS = tuple("login signin verify secure account update password confirm billing invoice wallet recover unlock 登录 验证 密码 账户 重置".split())
 #: Own list: phrases that ask for credentials.
 CREDENTIAL_KEYWORDS = ("verify your identity", "submit your details", "enter your password", "confirm your password", "re-enter your credentials")
 
@@ -70,10 +70,12 @@ TYPE_EXTENSIONS = {
 WEAK_TYPES = ("text", "html", "unknown")
 #: The type that a declared content type stands for.
 MIME_TYPES = {
-    "application/pdf": "pdf", "application/x-dosexec": "pe", "application/x-msdownload": "pe", "application/zip": "zip", "application/x-zip-compressed": "zip", "application/java-archive": "zip",
+    "application/pdf": "pdf", "application/x-dosexec": "pe", "application/x-msdownload": "pe", "application/x-msdos-program": "pe", "application/vnd.microsoft.portable-executable": "pe",
+    "application/zip": "zip", "application/x-zip-compressed": "zip",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "zip", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "zip",
-    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "zip", "application/msword": "ole2", "application/vnd.ms-excel": "ole2", "application/vnd.ms-powerpoint": "ole2",
-    "application/x-rar-compressed": "rar", "application/vnd.rar": "rar", "application/x-7z-compressed": "sevenzip", "application/gzip": "gzip", "application/x-gzip": "gzip", "application/rtf": "rtf", "text/rtf": "rtf",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "zip", "application/vnd.oasis.opendocument.text": "zip", "application/java-archive": "zip", "application/vnd.android.package-archive": "zip",
+    "application/msword": "ole2", "application/vnd.ms-excel": "ole2", "application/vnd.ms-powerpoint": "ole2", "application/vnd.ms-outlook": "ole2", "application/vnd.ms-installer": "ole2", "application/x-ole-storage": "ole2", "application/x-msi": "ole2",
+    "application/x-rar-compressed": "rar", "application/vnd.rar": "rar", "application/x-7z-compressed": "sevenzip", "application/x-iso9660-image": "iso", "application/gzip": "gzip", "application/x-gzip": "gzip", "application/rtf": "rtf", "text/rtf": "rtf",
     "image/jpeg": "jpeg", "image/png": "png", "image/gif": "gif", "text/html": "html",
 }
 GENERIC_MIMES = ("", "application/octet-stream", "application/binary", "binary/octet-stream", "application/force-download", "application/download", "application/unknown")
@@ -92,3 +94,30 @@ MACRO_PATTERNS = {
     "download": r"\b(?:URLDownloadToFile|XMLHTTP|MSXML2|ServerXMLHTTP|ADODB\.Stream|WinHttp|InternetOpenUrl|FollowHyperlink|DownloadFile|GetObject)\b",
     "obfuscated": r"\bStrReverse\b|\bChrW?\s*\(|Base64|FromBase64String",
 }
+
+#: Office documents by extension, and how they load templates and run commands.
+OFFICE_EXTENSIONS = tuple("docx docm xlsx xlsm pptx pptm dotm xlam xlsb odt ods doc xls ppt msi msg vsd pub".split())
+REMOTE_TARGET = r'Target="(https?://[^"\s]+)"'
+DDE_FIELD = r"DDEAUTO|{\s*DDE"
+#: How a text states an archive's password, and how much of each body is read for it.
+PASSWORD_PATTERNS = (
+    r"(?U)(?:密码|解压码|提取码|解压密码|口令)\s*(?:是|为|[:：=])?\s*([A-Za-z0-9@#$%^&*_\-+.]{3,32})",
+    r"(?iuU)(?:password|passcode|passwd|pwd)\s*(?:is|[:：=])?\s*([A-Za-z0-9@#$%^&*_\-+.]{3,32})",
+)
+PASSWORD_TEXT = 200_000
+#: Content families with their severity, and what they look for.
+FAMILIES = {"Phish_Credential_Keywords": "medium", "Phish_HTML_Login_Page": "high", "Malware_Macro_Office_Document": "high", "Phish_Obfuscated_URL_Tactics": "medium"}
+FAMILY_PATTERNS = {
+    "urgent": r"(?i)urgent|immediately|within\s+24\s+hours|action\s+required", "asks": r"(?i)verify\s+your\s+(account|identity)|confirm\s+your\s+password|update\s+your\s+billing",
+    "form": r"(?is)<form[^>]*(action|method)", "password": r"""(?i)<input[^>]*type=["']?password""", "page": r"(?i)<(!doctype\s+)?html", "submit": r"(?i)login|sign\s?in|verify|confirm",
+    "opens": r"Auto_?Open|Document_Open|Workbook_Open|Auto_?Close", "shell": r"(?i)Shell|CreateObject|WScript\.Shell|cmd\.exe|powershell",
+    "hxxp": r"(?i)hxxps?://", "user": r"(?i)https?://[^\s/]+@[^\s/]+", "ip": r"https?://\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}",
+}
+ZH_URGENT, ZH_ASKS = ("紧急", "立即", "冻结"), ("验证账号", "输入密码", "重置密码")
+#: Signals that no trust ever lowers, and how far trust lowers those of wording.
+NEVER_DEMOTE = (
+    "url_ip_literal", "link_domain_lookalike", "from_display_brand_spoof", "from_display_email_mismatch", "domain_leet_brand", "att_double_ext", "att_ext_high_risk", "att_ext_medium_risk", "att_type_mismatch", "att_yara_hit",
+    "att_office_remote_template", "att_office_dde", "att_office_macro_download", "att_office_macro_shell", "att_pdf_launch", "att_archive_inner_executable", "att_archive_password_in_body", "html_password_field", "html_file_uri",
+    "html_massmailer_fingerprint", "body_credential_solicitation", "body_credentials_no_link",
+)
+WORDING_FACTOR = 0.3

@@ -84,7 +84,7 @@ def real_types(spark: SparkSession, folder: str) -> DataFrame:
 def pdf_scripts(spark: SparkSession, folder: str) -> DataFrame:
     """X11: script markers in texts that begin as PDF; null for the rest."""
     head = F.when(F.col("doc_id") % 3 == 0, "%PDF-1.7 /JS ").when(F.col("doc_id") % 3 == 1, "%PDF-1.7 ").otherwise("")
-    return table(spark, folder, "documents").select("doc_id", A.pdf_markers(F.encode(F.concat(head, "text"), "utf-8"))["javascript"].alias("script"))
+    return table(spark, folder, "documents").select("doc_id", A.pdf_markers(A.latin(F.encode(F.concat(head, "text"), "utf-8")))["javascript"].alias("script"))
 
 
 @query(r"""SELECT doc_id, array_to_string(list_slice(list_distinct(regexp_extract_all(text, '(?i)(?:password|passcode|passwd|pwd)\s*(?:is|[:：=])?\s*([A-Za-z0-9@#$%^&*_\-+.]{3,32})', 1)), 1, 1), ',') AS first_candidate

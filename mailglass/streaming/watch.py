@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from mailglass.operators.mail_scoring import analysed
+from mailglass.rulebook import Rulebook
 from mailglass.sources.mail import MAX_BYTES, parse_mails
 
 MESSAGES = "path string, modificationTime timestamp, length long, content binary"
@@ -28,10 +30,18 @@ def run_watch(mails: DataFrame, on_round: Callable[[DataFrame, int], None], chec
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
+def verdict_stream(spark: SparkSession, folder: str, book: Rulebook, per_round: int = 200, max_bytes: int = MAX_BYTES, profile: str = "gateway") -> DataFrame:
+    """New .eml files as scored mails: score, verdict, category, signals and reasons, each once; a mail that lies in the
+    folder under several names is scored under each."""
+    x = analysed(mail_stream(spark, folder, per_round, max_bytes), book, profile=profile)
+    return x.select("path", "mail_id", "mail.from.addr", "score", "verdict", "category", "signals", "reasons", "ioc_count")
+
+
 def alerts(events: DataFrame, window: str = "12 hours", late: str = "1 day") -> DataFrame:
-    """One alert a sender and window of event time from a stream of (addr, ts, verdict): the first of the worst."""
+    """One row a sender and window of event time from a stream of (addr, ts, verdict): its worst verdict, when the first such
+    mail came, and how many bad mails there are."""
     bad = events.filter(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")).withWatermark("ts", late)
-    return bad.groupBy(F.window("ts", window).alias("slot"), "addr").agg(F.min("ts").alias("first"), F.count("*").alias("mails"))
+    return bad.groupBy(F.window("ts", window).alias("slot"), "addr").agg(F.min(F.struct("verdict", "ts")).alias("_w"), F.count("*").alias("mails")).select("slot", "addr", F.col("_w.verdict").alias("verdict"), F.col("_w.ts").alias("first"), "mails")
 
 
 def sender_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
