@@ -60,3 +60,16 @@ def test_filter_counts_never_fall_short():
     assert (got >= want).all() and (got == want).mean() > 0.9
     strange = rng.integers(0, 2**63, 20000).astype(np.uint64) >> np.uint64(7)
     assert (f.counts(strange) > 0).mean() < 0.06
+
+
+def test_scores_do_not_depend_on_partitions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.score for r in M.lm_scores(docs.repartition(n), F.col("doc_id") % 7 != 2).collect()} for n in (1, 40))
+    assert one == many
+
+
+def test_repeated_and_very_long_texts(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    df = spark.createDataFrame([(1, long), (1, long), (2, "w1 w2"), (3, long + " strange")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.score) for r in M.lm_scores(df, F.col("doc_id") < 3).collect())
+    assert got[0] == got[1] and [g[:3] for g in got] == [(1, 300_001, 300_001), (1, 300_001, 300_001), (2, 3, 3), (3, 300_002, 300_001)]
