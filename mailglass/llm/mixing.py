@@ -160,7 +160,8 @@ def decide(rows: DataFrame, sources: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, salt: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row per document, with the words the mix takes of it, repeats counted.
+    """doc_id, size, source_size, target, taken, shards: a row per document, with the words the mix takes of it, repeats
+    counted, and the output shard of each time that it is taken.
 
     docs: doc_id, text, source; other columns are not read. Null and empty texts have size 0. A null source is one, the
     last. Rows with one id are drawn together. An empty table gives an empty result.
@@ -168,7 +169,7 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     sized = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size"), unit_hash(salt, F.col("doc_id")).alias("h")))
     sources, blocks = plan_mix(sized, weights, share, most, salt)
     x = decide(sized.withColumnRenamed("h", "_mix_h"), sources, blocks)
-    return x.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("_mix_draws")).alias("taken"))
+    return x.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("_mix_draws")).alias("taken"), F.transform("_mix_draws", lambda d: d["shard"]).alias("shards"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, salt: str = "mix") -> DataFrame:

@@ -88,3 +88,24 @@ def test_empty_and_blank(spark):
     assert M.mix_counts(spark.createDataFrame([], schema)).collect() == []
     got = M.mix_counts(spark.createDataFrame([(1, None, None), (2, "", "a")], schema)).collect()
     assert sorted((r.doc_id, r.size, r.taken) for r in got) == [(1, 0, 0), (2, 0, 0)]
+
+
+def test_shards_hold_exact_quotas(spark, monkeypatch):
+    """Every draw of a block goes to one shard; each shard gets its share of each source's draws, as a draw without
+    replacement spreads them, and all shards together hold each draw once."""
+    monkeypatch.setattr(M, "BLOCK_WORDS", 200)
+    df = spark.createDataFrame([(i, "w " * 20, "ab"[i % 4 == 0]) for i in range(4000)], "doc_id long, text string, source string")
+    sized = M.cut(df.select("doc_id", "source", M.words(F.col("text")).alias("size"), M.unit_hash("mix", F.col("doc_id")).alias("h")))
+    sources, blocks = M.plan_mix(sized)
+    draws = blocks.select("src", F.explode("draws").alias("d")).select("src", "d.nth", "d.shard").collect()
+    for src in {r.src for r in draws}:
+        nths = sorted(r.nth for r in draws if r.src == src)
+        assert nths == list(range(1, len(nths) + 1))
+        counts = Counter(r.shard for r in draws if r.src == src)
+        assert len(counts) == 8 and sum(counts.values()) == len(nths)
+        mean = len(nths) / 8
+        assert all(abs(n - mean) < 6 * math.sqrt(mean) for n in counts.values())
+    per_shard = Counter(r.shard for r in draws)
+    assert max(per_shard.values()) - min(per_shard.values()) <= 3  # a node's halves differ by one draw at most
+    got = M.mix_counts(df).collect()
+    assert all(len(r.shards) * r.size == r.taken for r in got)
