@@ -45,12 +45,16 @@ _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*-)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 
 
+#: Articles with less than this share of the largest one's text are teasers; so are all, if so much more stands outside.
+TEASER, OUTSIDE = 0.25, 3
+
+
 @dataclass
 class Line:
     text: str
     links: int  # characters inside links
     inside: bool  # of an article or main element
-    article: bool  # of an article
+    article: int  # the number of the outermost article it stands in, 0 for none
 
 
 def holders(tokens: list[re.Match]) -> set[int]:
@@ -80,23 +84,25 @@ def is_dropped(tag: str, attrs: str, inside: bool, holds: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
-    names = " ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs))
-    marked = MARKS.search(names) and not holds and not (inside and tag in HEADINGS)
-    return bool(marked or _HIDDEN.search(attrs))
+    if _HIDDEN.search(attrs):
+        return True
+    if tag not in BLOCKS or holds or (inside and tag in HEADINGS):  # an element inside a line is part of its sentence
+        return False
+    return bool(MARKS.search(" ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs))))
 
 
 def lines_of(page: str) -> list[Line]:
     """The page's lines in order; a dropped element leaves a blank one."""
     lines: list[Line] = []
     parts: list[str] = []
-    links = depth = inside = article = at = 0
+    links = depth = inside = article = at = number = 0
     skip, level = "", 0
 
     def flush() -> None:
         nonlocal parts, links
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append(Line(text, links, inside > 0, article > 0))
+            lines.append(Line(text, links, inside > 0, number if article else 0))
         parts, links = [], 0
 
     tokens = list(_TOKEN.finditer(page))
@@ -127,10 +133,13 @@ def lines_of(page: str) -> list[Line]:
             depth = 0 if close else 1
         elif tag in ("article", "main"):
             inside = max(0, inside + (-1 if close else 1))
-            article = max(0, article + (-1 if close else 1)) if tag == "article" else article
+            if tag == "article":
+                number += not close and not article
+                article = max(0, article + (-1 if close else 1))
         if not close and tag not in VOID and not attrs.endswith("/") and is_dropped(tag, attrs, inside > 0, m.start() in holding):
             flush()
-            lines.append(Line("", 0, inside > 0, article > 0))
+            if lines and lines[-1].text:  # several dropped elements in a row are one gap
+                lines.append(Line("", 0, inside > 0, number if article else 0))
             skip, level = tag, 1
     if not skip:
         parts.append(page[at:])
@@ -138,10 +147,23 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
+def without_teasers(lines: list[Line]) -> list[Line]:
+    """The lines without those of small articles beside a large one. Where most text stands outside, no article is the page's."""
+    size: dict[int, int] = {}
+    for x in lines:
+        size[x.article] = size.get(x.article, 0) + (len(x.text) if x.article or 10 * x.links < 7 * len(x.text) else 0)
+    outside, most = size.pop(0, 0), max(size.values(), default=0)
+    if not most or any(x.inside and x.text and not x.article for x in lines):
+        return lines
+    if outside > OUTSIDE * most:
+        return [Line(x.text if not x.article else "", x.links, False, 0) for x in lines]
+    return [x if not x.article or size[x.article] >= TEASER * most else Line("", 0, x.inside, 0) for x in lines]
+
+
 def main_text(page: str) -> str:
     """The text of the page's articles (without one, of its main element), and what lies between the surges and dives of the
     other line blocks; a space between lines."""
-    lines = lines_of(page)
+    lines = without_teasers(lines_of(page))
     within = any(x.inside and x.text for x in lines)
     explicit = any(x.article and x.text for x in lines)
     kept = [x.text if (x.inside or not within) and (within or 10 * x.links < 7 * len(x.text)) else "" for x in lines]

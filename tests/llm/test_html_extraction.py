@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from mailglass.llm import html_extraction as H
 from mailglass.llm.queries import op6_line_blocks
 
@@ -63,3 +65,27 @@ def test_all_lines_of_an_article_stay():
     ad = "<div class='ad'>Buy this.</div>"
     assert H.main_text(f"<article><p>By A.</p>{ad * 4}<p>Short.</p>{ad * 4}{BODY}{ad * 4}<p>The end.</p></article>") == f"By A. Short. {WANT} The end."
     assert H.main_text(f"<main><p>By A.</p>{ad * 4}{BODY}{ad * 4}<p>The end.</p></main>") == f"By A. {WANT} The end."
+
+
+PROSE = "This is a long paragraph of an article that tells a story with many words, so that it counts. "
+STORY = "".join(f"<p>{PROSE}{i}</p>" for i in range(6))
+WHOLE = " ".join(f"{PROSE}{i}" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='page-wrapper no-sidebar'><div class='nav'>Home About</div>{STORY}</div>", WHOLE),
+        (f"<div id='content' class='has-sidebar'>{STORY}</div>", WHOLE),
+        (f"<div class='content-sidebar-wrap'><div class='layout with-sidebar'>{STORY}</div></div>", WHOLE),
+        (f"<div>{STORY}<p class='notice-board-history'>The board is old.</p></div>", WHOLE + " The board is old."),
+        (f"<div>{STORY}<p>The <span class='social'>contract</span> matters.</p></div>", WHOLE + " The contract matters."),
+        (f"<div>{STORY}{3 * '<div class=ad>Buy</div>'}<p>The end came.</p></div><div class='footer'>c 2024</div>", WHOLE + " The end came."),
+        (f"<div class='story'>{STORY}</div><article><h3>Another story.</h3></article>", WHOLE),
+        (f"<article>{STORY}</article><article class='card'><p>Read another story soon.</p></article>", WHOLE),
+        (f"<article>{STORY}</article><section id='comments'><p>{PROSE}</p></section>", WHOLE),
+        (f"<article>{STORY}</article><article><p>{PROSE * 3}</p></article>", WHOLE + " " + (PROSE * 3).strip()),
+    ],
+)
+def test_ordinary_pages(page, text):
+    assert H.main_text(f"<html><body>{page}</body></html>") == text
