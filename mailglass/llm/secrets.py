@@ -2,9 +2,9 @@
 
 The rules' regular expressions become one nondeterministic automaton (each rule in front of "anything before"), subset
 construction makes it deterministic, partition refinement minimises it, and its transitions lie in one array by state and
-byte class. A text's UTF-8 bytes pass through it once for all rules together; many stretches of text advance side by side
-as numpy lanes. Bytes that send every state to the start separate the stretches, so no match crosses one. Where a stretch
-accepts for a rule, that rule's own expression reads the stretch again for exact leftmost spans.
+byte class. The texts' UTF-8 bytes pass through it once for all rules together, in numpy lanes of equal length side by side,
+whatever the texts hold. Bytes that send every state to the start separate stretches, so no match crosses one. Where the
+automaton accepts for a rule, that rule's own expression reads the stretch for exact leftmost spans.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mailglass.llm.common import append_columns
+from mailglass.llm.common import append_columns, bounded, slices
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,8 @@ MORE_RULES = (
     Rule("web", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1, r"eyJ"),
 )
 RULES = BASE_RULES + MORE_RULES
-LANE = 4096
+#: Bytes in a lane, and bytes before it that tell the state it starts in.
+LANE, WARM = 4096, 64
 
 
 class Nfa:
@@ -189,38 +190,62 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     return Automaton(class_of, (delta * delta.shape[1]).astype(np.int32).ravel(), accepts, resets, delta.shape[1])
 
 
+def run_lanes(data: np.ndarray, auto: Automaton, begin: np.ndarray, row: np.ndarray, steps: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Reads `steps` bytes from each place of begin on, side by side, from the rows given: the rows at the end, and for every
+    step the lanes that accept with the rules' bits."""
+    hits, last = [], len(data) - begin
+    for t in range(steps):
+        n = int(np.searchsorted(-last, -t, side="left"))  # places rise, so only the last lane ends early
+        row[:n] = auto.next_row[row[:n] + auto.class_of[data[begin[:n] + t]]]
+        bits = auto.accepts[row[:n] // auto.n_classes]
+        if bits.any():
+            i = np.flatnonzero(bits)
+            hits.append((i, bits[i], t))
+    return row, hits
+
+
+def accepting(data: np.ndarray, auto: Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """The places behind which a rule accepts, and the rules' bits: one pass over the bytes, in lanes of LANE bytes.
+
+    A lane starts in the state that the WARM bytes before it lead to from the start. Where the lane before really ends in
+    another one, the lane is read again from there, until all agree.
+    """
+    begin = np.arange(0, len(data), LANE)
+    row = np.zeros(len(begin), np.int32)
+    row[1:], _ = run_lanes(data, auto, begin[1:] - WARM, row[1:], WARM)
+    assumed = row.copy()
+    end, hits = run_lanes(data, auto, begin, row, LANE)
+    found = [(i, begin[i] + t, b, 0) for i, b, t in hits]
+    turn, last = 0, np.zeros(len(begin), np.int64)
+    wrong = np.flatnonzero(end[:-1] != assumed[1:]) + 1
+    while len(wrong):
+        turn += 1
+        assumed[wrong], last[wrong] = end[wrong - 1], turn
+        end[wrong], hits = run_lanes(data, auto, begin[wrong], assumed[wrong], LANE)
+        found += [(wrong[i], begin[wrong[i]] + t, b, turn) for i, b, t in hits]
+        wrong = np.flatnonzero(end[:-1] != assumed[1:]) + 1
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kept = [(at[ok], b[ok]) for i, at, b, n in found if (ok := last[i] == n).any()]
+    where, bits = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return where, bits
+
+
 def hot_stretches(data: np.ndarray, auto: Automaton) -> dict[tuple[int, int], int]:
     """Stretches between two resetting bytes of data in which a rule accepts: (start, end) to the rules' bits."""
-    cuts = np.flatnonzero(auto.resets[data])
-    goals = np.arange(0, len(data), LANE)
-    at = np.searchsorted(cuts, goals[1:])
-    starts = np.unique(np.concatenate([[0], cuts[at[at < len(cuts)]] + 1]))
-    starts = starts[starts < len(data)]
-    lens = np.diff(np.append(starts, len(data)))
-    order = np.argsort(-lens, kind="stable")
-    starts, lens = starts[order], lens[order]
-    row = np.zeros(len(starts), np.int32)
-    kinds = auto.class_of[data]
-    accepting = np.repeat(auto.accepts != 0, auto.n_classes)[:: auto.n_classes]
-    active = np.searchsorted(-lens, -np.arange(lens[0] if len(lens) else 0), side="left")
-    at_rows, at_cols, bits = [], [], []
-    for t, n in enumerate(active):
-        row[:n] = auto.next_row[row[:n] + kinds[starts[:n] + t]]
-        state = row[:n] // auto.n_classes
-        if (hit := accepting[state]).any():
-            i = np.flatnonzero(hit)
-            at_rows.append(starts[i] + t)
-            bits.append(auto.accepts[state[i]])
-    if not bits:
+    if not len(data):
+        return {}
+    where, bits = accepting(data, auto)
+    if not len(where):
         return {}
-    where, bits = np.concatenate(at_rows), np.concatenate(bits)
+    order = np.argsort(where)
+    where, bits = where[order], bits[order]
+    cuts = np.flatnonzero(auto.resets[data])
     k = np.searchsorted(cuts, where)
-    begin = np.where(k > 0, cuts[np.maximum(k - 1, 0)] + 1, 0) if len(cuts) else np.zeros(len(k), np.int64)
-    end = np.where(k < len(cuts), cuts[np.minimum(k, len(cuts) - 1)], len(data)) if len(cuts) else np.full(len(k), len(data))
-    out: dict[tuple[int, int], int] = {}
-    for a, b, m in zip(begin.tolist(), end.tolist(), bits.tolist(), strict=True):
-        out[a, b] = out.get((a, b), 0) | m
-    return out
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    mask, k = np.bitwise_or.reduceat(bits, first), k[first]
+    edges = np.concatenate([[-1], cuts, [len(data)]])
+    return dict(zip(zip((edges[k] + 1).tolist(), edges[k + 1].tolist(), strict=True), mask.tolist(), strict=True))
 
 
 def find_spans(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
@@ -272,8 +297,6 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     at = docs.columns.index(text_col)
 
     def run(batches):
-        from mailglass.llm.common import slices
-
         for whole in batches:
             for b in slices(whole, at):
                 texts = b.column(at).to_pylist()
@@ -287,7 +310,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
                     out.append("".join([*parts, t[done:]]) if spans else t)
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 :]], names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
 
 
 def span_digest(spans: list[dict], kinds: tuple[str, ...]) -> tuple[str, str]:

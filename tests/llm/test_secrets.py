@@ -1,6 +1,10 @@
 import hashlib
 import random
 import re
+import time
+
+import numpy as np
+import pytest
 
 from mailglass.llm import queries
 from mailglass.llm import secrets as S
@@ -59,3 +63,25 @@ def test_query(spark, folder):
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in want) for i in range(3)]
         assert [x for x in r.spans.split(",") if x and x.split(":")[0] in ("assign", "access", "hex")] == [x for x in base.split(",") if x]
+
+
+def test_lanes_agree_with_a_single_pass():
+    rnd = random.Random(5)
+    auto = S.compile_rules(S.RULES)
+    parts = ["password = ", "  ", "0123456789abcdef", "token=", "AKIA", "A1B2", "\n", "xyz ", "é", "eyJ", "'", ": "]
+    for size in (0, 1, 63, 64, 65, 5000, 30000):
+        data = np.frombuffer("".join(rnd.choice(parts) for _ in range(size)).encode(), np.uint8)
+        row, want = 0, []
+        for i, b in enumerate(data.tolist()):
+            row = int(auto.next_row[row + int(auto.class_of[b])])
+            if auto.accepts[row // auto.n_classes]:
+                want.append((i, int(auto.accepts[row // auto.n_classes])))
+        where, bits = S.accepting(data, auto) if len(data) else ([], [])
+        assert sorted(zip(map(int, where), map(int, bits), strict=True)) == want
+
+
+@pytest.mark.parametrize("text", ["ab01" * 2_000_000, "token=" + "x" * 8_000_000, "password" + " " * 100_000 + "= abcdefgh"])
+def test_long_texts_without_a_break(text):
+    start = time.perf_counter()
+    assert len(S.find_spans([text], S.RULES)[0]) == 1
+    assert time.perf_counter() - start < 40
