@@ -16,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from mailglass.llm.common import WordTable, append_columns, mix64, slices, word_hashes
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: most labelled texts to learn from, drawn by hash of their id. buckets: feature vectors; the last two are for
+    """sample, sample_chars: most labelled texts to learn from, and most characters of them, drawn by hash of their id. buckets: feature vectors; the last two are for
     the end of a text and for a word that repeats the one before."""
 
     sample: int = 6000
+    sample_chars: int = 16_000_000
     buckets: int = 1 << 17
     dim: int = 8
     least_n: int = 3
@@ -131,6 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, s: Settings) -> Model:
     nothing. The order of training follows the ids' hashes, so reruns agree."""
     ids = labels.filter("doc_id is not null and y in (0, 1)").select("doc_id", "y").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.sample)
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most s.sample ids
+    # A text brings at most some 16 bytes a character to the driver, so texts are taken until their characters are enough.
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "y").rowsBetween(Window.unboundedPreceding, -1)
+    lens = picked.groupBy("doc_id", "y").agg(F.sum(F.length("text")).alias("n"))  # as many rows at most as ids
+    some = lens.withColumn("n", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("n") < s.sample_chars).select("doc_id", "y")
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
