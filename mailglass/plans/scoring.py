@@ -3,7 +3,7 @@ part's number modulo the number of rules."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,44 +45,64 @@ verdicts AS (SELECT mail_id, n_signals, raw, CAST(round(auth, 6) AS DOUBLE) AS a
 """
 
 
-def rules_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, r, float(p)) for i, (r, p) in enumerate(V.RULES)], "ord int, rule_id string, points double")
+def _ords(names) -> Column:
+    """The rules' numbers as a literal array."""
+    return X.terms(str(i) for i, (r, _) in enumerate(V.RULES) if r in names).cast("array<int>")
 
 
-def signals(spark: SparkSession, folder: str) -> DataFrame:
-    """mail_id, line, ord, rule_id, points, with the stack signal: it counts only what fired before it and is no noise."""
-    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("mail_id"), F.col("l_linenumber").alias("line"), (F.col("l_partkey") % _N).cast("int").alias("ord"))
-    base = lines.join(F.broadcast(rules_table(spark)), "ord").filter("rule_id <> 'signal_stack'")  # a row per rule
-    before = (F.col("ord") < _STACK) & ~F.col("rule_id").isin(*V.STACK_NOISE)
-    stack = base.groupBy("mail_id").agg(F.count_if(before).alias("n")).filter("n >= 4")
-    stack = stack.select("mail_id", F.lit(0).alias("line"), F.lit(_STACK).alias("ord"), F.lit("signal_stack").alias("rule_id"), X.tiers(F.col("n"), V.STACK_TIERS).cast("double").alias("points"))
-    return base.select("mail_id", "line", "ord", "rule_id", "points").unionByName(stack)
+POINTS, NAMES = [str(float(p)) for _, p in V.RULES], [r for r, _ in V.RULES]
 
 
-def verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per mail: signals summed and capped, authentication, normalised score, category, verdict.
-
-    The stack signal is folded into the same aggregation, so the lines are shuffled once.
-    """
-    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("mail_id"), (F.col("l_partkey") % _N).cast("int").alias("ord"))
-    base = lines.join(F.broadcast(rules_table(spark)), "ord").filter("rule_id <> 'signal_stack'")
-    sums = base.groupBy("mail_id").agg(
-        F.sum("points").alias("raw"),
-        F.count("*").alias("n_signals"),
-        F.bool_or(F.col("rule_id").isin(*V.STRONG)).alias("strong"),
-        *[F.max((F.col("rule_id") == m).cast("int")).alias(f"_{m}") for m in V.MARKETING],
-        F.count_if((F.col("ord") < _STACK) & ~F.col("rule_id").isin(*V.STACK_NOISE)).alias("n"),
-    )
-    stack = X.tiers(F.col("n"), V.STACK_TIERS)
-    sums = sums.withColumns({"raw": F.col("raw") + stack, "n_signals": F.col("n_signals") + (stack > 0).cast("int"), "marketing": sum(F.col(f"_{m}") for m in V.MARKETING)})
+def rule_name(ord: Column) -> Column:
+    return F.get(X.terms(NAMES), ord)
+
+
+def fired(spark: SparkSession, folder: str) -> DataFrame:
+    """mail_id, ords (the rules' numbers, a number for each time), stack (points of the stack signal, which counts only what
+    fired before it and is no noise). One scan and one shuffle; a mail has as many numbers as signals."""
+    ord = (F.col("l_partkey") % _N).cast("int")
+    m = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("mail_id"), ord.alias("ord")).filter(F.col("ord") != _STACK).groupBy("mail_id").agg(F.collect_list("ord").alias("ords"))
+    noise = _ords(V.STACK_NOISE)
+    n = F.size(F.filter("ords", lambda o: (o < _STACK) & ~F.array_contains(noise, o)))
+    return m.withColumn("stack", X.tiers(n, V.STACK_TIERS).cast("double"))
+
+
+def own_points(ord: Column) -> Column:
+    """All points of a rule in a mail."""
+    times = F.size(F.filter("ords", lambda o: o == ord))
+    return F.when(ord == _STACK, F.col("stack")).otherwise(F.get(X.terms(POINTS).cast("array<double>"), ord) * times)
+
+
+def rules_of() -> Column:
+    """The different rules of a mail, the stack included."""
+    return F.array_distinct(F.when(F.col("stack") > 0, F.concat("ords", F.array(F.lit(_STACK)))).otherwise(F.col("ords")))
+
+
+def signals(spark: SparkSession, folder: str) -> DataFrame:
+    """mail_id, rule_id, points: a row per signal, with the stack signal."""
+    every = F.when(F.col("stack") > 0, F.concat("ords", F.array(F.lit(_STACK)))).otherwise(F.col("ords"))
+    x = fired(spark, folder).select("mail_id", "stack", F.explode(every).alias("ord"))
+    points = F.when(F.col("ord") == _STACK, F.col("stack")).otherwise(F.get(X.terms(POINTS).cast("array<double>"), F.col("ord")))
+    return x.select("mail_id", rule_name(F.col("ord")).alias("rule_id"), points.alias("points"))
+
+
+def judged(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per mail: ords and stack, their sum, authentication, normalised score, category, verdict and the mail's label."""
+    x = fired(spark, folder)
+    raw = F.aggregate("ords", F.lit(0.0), lambda a, o: a + F.get(X.terms(POINTS).cast("array<double>"), o)) + F.col("stack")
+    x = x.withColumns({"raw": raw, "n_signals": F.size("ords").cast("long") + (F.col("stack") > 0).cast("int"), "strong": F.arrays_overlap("ords", _ords(V.STRONG)), "marketing": F.size(F.array_intersect("ords", _ords(V.MARKETING)))})
     spf = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "pass").otherwise("none")
     dkim = F.when(F.col("o_custkey") % 3 == 0, "softfail").otherwise("pass")
-    auth = table(spark, folder, "orders").select(F.col("o_orderkey").alias("mail_id"), spf.alias("spf"), dkim.alias("dkim"))
-    x = sums.join(auth, "mail_id").withColumn("auth", X.auth_points(F.col("spf"), F.col("dkim"), F.lit(None)))
+    auth = table(spark, folder, "orders").select(F.col("o_orderkey").alias("mail_id"), spf.alias("spf"), dkim.alias("dkim"), (F.col("o_custkey") % 4 == 0).alias("spam"))
+    x = x.join(auth, "mail_id").withColumn("auth", X.auth_points(F.col("spf"), F.col("dkim"), F.lit(None)))
     x = x.withColumn("score", F.bround((F.col("auth") + F.least("raw", F.lit(float(V.HEURISTIC_CAP)))) / V.OFFLINE_MAX * 100, 0).cast("int"))
     x = x.withColumn("category", F.when(F.col("strong"), "phishing").when(F.col("marketing") >= 2, "marketing").otherwise("unknown"))
-    spam = (F.col("score") >= V.SUSPICIOUS_AT) & (F.col("category") == "marketing") & ((F.col("spf") == "pass") | (F.col("dkim") == "pass"))
-    return x.select("mail_id", "n_signals", "raw", F.round("auth", 6).alias("auth"), "score", "category", F.when(spam, "SPAM").otherwise(X.verdict(F.col("score"))).alias("verdict"))
+    lowered = (F.col("score") >= V.SUSPICIOUS_AT) & (F.col("category") == "marketing") & ((F.col("spf") == "pass") | (F.col("dkim") == "pass"))
+    return x.withColumn("verdict", F.when(lowered, "SPAM").otherwise(X.verdict(F.col("score"))))
+
+
+def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return judged(spark, folder).select("mail_id", "n_signals", "raw", F.round("auth", 6).alias("auth"), "score", "category", "verdict")
 
 
 @query(f"WITH {SCORED_SQL} SELECT * FROM verdicts")
@@ -142,18 +162,13 @@ def severity_sort(spark: SparkSession, folder: str) -> DataFrame:
 LABEL_SQL = "label AS (SELECT o_orderkey AS mail_id, o_custkey % 4 = 0 AS spam FROM orders)"
 
 
-def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    label = table(spark, folder, "orders").select(F.col("o_orderkey").alias("mail_id"), (F.col("o_custkey") % 4 == 0).alias("spam"))
-    return verdicts(spark, folder).join(label, "mail_id")
-
-
 @query(f"""WITH {SCORED_SQL}, {LABEL_SQL}, c AS (SELECT count(*) FILTER (WHERE spam AND verdict <> 'BENIGN') AS tp, count(*) FILTER (WHERE NOT spam AND verdict <> 'BENIGN') AS fp,
 count(*) FILTER (WHERE spam AND verdict = 'BENIGN') AS fn, count(*) FILTER (WHERE NOT spam AND verdict = 'BENIGN') AS tn FROM verdicts JOIN label USING (mail_id))
 SELECT *, round(tp / (tp + fp), 9) AS prec, round(tp / (tp + fn), 9) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""")
 def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Flagged means not benign."""
     hit = F.col("verdict") != "BENIGN"
-    c = labelled(spark, folder).agg(*[F.count_if(a & b).alias(n) for n, a, b in (("tp", F.col("spam"), hit), ("fp", ~F.col("spam"), hit), ("fn", F.col("spam"), ~hit), ("tn", ~F.col("spam"), ~hit))])
+    c = judged(spark, folder).agg(*[F.count_if(a & b).alias(n) for n, a, b in (("tp", F.col("spam"), hit), ("fp", ~F.col("spam"), hit), ("fn", F.col("spam"), ~hit), ("tn", ~F.col("spam"), ~hit))])
     tp, fp, fn = map(F.col, ("tp", "fp", "fn"))
     return c.select("*", F.round(tp / (tp + fp), 9).alias("prec"), F.round(tp / (tp + fn), 9).alias("recall"), F.round(2.0 * tp / (2 * tp + fp + fn), 9).alias("f1"))
 
@@ -163,7 +178,7 @@ round(count(*) FILTER (WHERE verdict IN ('MALICIOUS', 'SUSPICIOUS')) / count(*),
 def recall_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Spam verdicts do not count here."""
     n = F.count("*")
-    return labelled(spark, folder).filter("spam").agg(F.round(F.count_if(F.col("verdict") == "MALICIOUS") / n, 9).alias("recall_strict"), F.round(F.count_if(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")) / n, 9).alias("recall_flagged"))
+    return judged(spark, folder).filter("spam").agg(F.round(F.count_if(F.col("verdict") == "MALICIOUS") / n, 9).alias("recall_strict"), F.round(F.count_if(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")) / n, 9).alias("recall_flagged"))
 
 
 @query(f"""WITH {SCORED_SQL}, {LABEL_SQL}, h AS (SELECT verdict, score, row_number() OVER (ORDER BY score, mail_id) - 1 AS r, count(*) OVER () AS n FROM verdicts JOIN label USING (mail_id) WHERE NOT spam)
@@ -171,7 +186,7 @@ SELECT round(avg(CASE WHEN verdict <> 'BENIGN' THEN 1.0 ELSE 0 END), 9) AS fp_ra
 round(avg(score), 6) AS mean_score, max(CASE WHEN r = n // 2 THEN score END) AS median_score, max(score) AS max_score FROM h""")
 def fp_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The median is the upper one. Scores are few whole numbers, so it is read off their counts, not off sorted mails."""
-    h = labelled(spark, folder).filter("not spam").groupBy("score").agg(F.count("*").alias("c"), F.count_if(F.col("verdict") != "BENIGN").alias("fp"), F.count_if(F.col("verdict") == "MALICIOUS").alias("severe"))
+    h = judged(spark, folder).filter("not spam").groupBy("score").agg(F.count("*").alias("c"), F.count_if(F.col("verdict") != "BENIGN").alias("fp"), F.count_if(F.col("verdict") == "MALICIOUS").alias("severe"))
     upto = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumns({"upto": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy())})
     middle = F.floor(F.col("n") / 2)
@@ -188,21 +203,30 @@ FP_SQL = f"{SCORED_SQL}, {LABEL_SQL}, fp AS (SELECT mail_id, raw, score FROM ver
 
 
 def false_positives(spark: SparkSession, folder: str) -> DataFrame:
-    return labelled(spark, folder).filter("not spam and verdict in ('MALICIOUS', 'SUSPICIOUS')").select("mail_id", "raw", "score")
+    return judged(spark, folder).filter("not spam and verdict in ('MALICIOUS', 'SUSPICIOUS')")
 
 
 @query(f"WITH {FP_SQL} SELECT rule_id, count(DISTINCT mail_id) AS n, round(count(DISTINCT mail_id) / (SELECT count(*) FROM fp), 9) AS share FROM signals JOIN fp USING (mail_id) GROUP BY 1")
 def fp_presence(spark: SparkSession, folder: str) -> DataFrame:
-    """In which share of the false positives each rule fired."""
-    fp = false_positives(spark, folder)
-    s = signals(spark, folder).join(fp.select("mail_id"), "mail_id").groupBy("rule_id").agg(F.count_distinct("mail_id").alias("n"))
-    return s.crossJoin(F.broadcast(fp.agg(F.count("*").alias("all")))).select("rule_id", "n", F.round(F.col("n") / F.col("all"), 9).alias("share"))  # one row
+    """In which share of the false positives each rule fired. All mails count under the number -1."""
+    c = false_positives(spark, folder).select(F.explode(F.concat(rules_of(), F.array(F.lit(-1)))).alias("ord")).groupBy("ord").agg(F.count("*").alias("n"))
+    every = F.max(F.when(F.col("ord") == -1, F.col("n"))).over(Window.partitionBy())  # a row per rule
+    return c.withColumn("all", every).filter("ord >= 0").select(rule_name(F.col("ord")).alias("rule_id"), "n", F.round(F.col("n") / F.col("all"), 9).alias("share"))
+
+
+@query(f"""WITH {SCORED_SQL}, f AS (SELECT s.rule_id, count(*) AS n, count(*) FILTER (WHERE v.verdict <> 'BENIGN') AS flagged FROM signals s JOIN verdicts v USING (mail_id) GROUP BY 1)
+SELECT * FROM f ORDER BY flagged DESC, rule_id LIMIT 15""")
+def signals_top_flagged(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules that fire most in flagged mails, and overall; a report of 15."""
+    x = judged(spark, folder).withColumn("ord", F.explode(F.when(F.col("stack") > 0, F.concat("ords", F.array(F.lit(_STACK)))).otherwise(F.col("ords"))))
+    c = x.groupBy("ord").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") != "BENIGN").alias("flagged"))
+    return c.select(rule_name(F.col("ord")).alias("rule_id"), "n", "flagged").orderBy(F.desc("flagged"), "rule_id").limit(15)
 
 
-@query(f"WITH {SIGNALS_SQL}, one AS (SELECT mail_id, min(rule_id) AS rule_id FROM signals GROUP BY 1 HAVING count(*) = 1) SELECT rule_id, count(*) AS n FROM one GROUP BY 1")
+@query(f"WITH {FP_SQL}, one AS (SELECT mail_id, min(rule_id) AS rule_id FROM signals JOIN fp USING (mail_id) GROUP BY 1 HAVING count(*) = 1) SELECT rule_id, count(*) AS n FROM one GROUP BY 1")
 def single_signal_causes(spark: SparkSession, folder: str) -> DataFrame:
-    """Mails with one signal, by that signal."""
-    one = signals(spark, folder).groupBy("mail_id").agg(F.count("*").alias("c"), F.min("rule_id").alias("rule_id")).filter("c = 1")
+    """False positives with one signal, by that signal."""
+    one = false_positives(spark, folder).filter("n_signals = 1").select(rule_name(F.coalesce(F.get("ords", F.lit(0)), F.lit(_STACK))).alias("rule_id"))
     return one.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
@@ -210,24 +234,25 @@ def single_signal_causes(spark: SparkSession, folder: str) -> DataFrame:
 SELECT h.rule_id, count(*) FILTER (WHERE least(fp.raw - own, 30.0) + greatest(fp.score / 100.0 * 45 - least(fp.raw, 30.0), 0) < 13.5) AS saved, count(*) AS n
 FROM hit h JOIN fp USING (mail_id) GROUP BY 1""")
 def fp_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
-    """The false positives that would fall below the line without a rule."""
-    hit = signals(spark, folder).join(false_positives(spark, folder), "mail_id").groupBy("rule_id", "mail_id").agg(F.sum("points").alias("own"), F.first("raw").alias("raw"), F.first("score").alias("score"))
+    """The false positives that would fall below the line without a rule, all rules of a mail judged where it stands."""
+    hit = false_positives(spark, folder).withColumn("ord", F.explode(rules_of()))
     rest = F.greatest(F.col("score") / 100.0 * 45 - F.least("raw", F.lit(30.0)), F.lit(0.0))
-    return hit.groupBy("rule_id").agg(F.count_if(F.least(F.col("raw") - F.col("own"), F.lit(30.0)) + rest < 13.5).alias("saved"), F.count("*").alias("n"))
+    saved = F.least(F.col("raw") - own_points(F.col("ord")), F.lit(30.0)) + rest < 13.5
+    return hit.groupBy("ord").agg(F.count_if(saved).alias("saved"), F.count("*").alias("n")).select(rule_name(F.col("ord")).alias("rule_id"), "saved", "n")
 
 
-@query(f"WITH {SIGNALS_SQL}, c AS (SELECT mail_id, string_agg(DISTINCT rule_id, '+' ORDER BY rule_id) AS combo FROM signals GROUP BY 1) SELECT combo, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, combo LIMIT 10")
+@query(f"WITH {FP_SQL}, c AS (SELECT mail_id, string_agg(DISTINCT rule_id, '+' ORDER BY rule_id) AS combo FROM signals JOIN fp USING (mail_id) GROUP BY 1) SELECT combo, count(*) AS n FROM c GROUP BY 1 ORDER BY n DESC, combo LIMIT 10")
 def signal_combos_top(spark: SparkSession, folder: str) -> DataFrame:
-    """The sets of rules that fire together most, a report of 10."""
-    c = signals(spark, folder).groupBy("mail_id").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), "+").alias("combo"))
+    """The sets of rules that most often fire together in false positives, a report of 10."""
+    c = false_positives(spark, folder).select(F.array_join(F.array_sort(F.transform(rules_of(), rule_name)), "+").alias("combo"))
     return c.groupBy("combo").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "combo").limit(10)
 
 
-@query(f"WITH {SIGNALS_SQL}, m AS (SELECT mail_id, bool_and(rule_id IN ({_list(V.STACK_NOISE)})) AS noise FROM signals GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE noise) AS noise_only FROM m")
+@query(f"WITH {FP_SQL}, m AS (SELECT mail_id, bool_and(rule_id IN ({_list(V.STACK_NOISE)})) AS noise FROM signals JOIN fp USING (mail_id) GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE noise) AS noise_only FROM m")
 def noise_only_share(spark: SparkSession, folder: str) -> DataFrame:
-    """A23."""
-    m = signals(spark, folder).groupBy("mail_id").agg(F.bool_and(F.col("rule_id").isin(*V.STACK_NOISE)).alias("noise"))
-    return m.agg(F.count("*").alias("n"), F.count_if("noise").alias("noise_only"))
+    """False positives, and those of them that noise alone made."""
+    noise = F.size(F.array_except(rules_of(), _ords(V.STACK_NOISE))) == 0
+    return false_positives(spark, folder).agg(F.count("*").alias("n"), F.count_if(noise).alias("noise_only"))
 
 
 @query(f"""WITH {SIGNALS_SQL}, {LABEL_SQL}, t AS (SELECT count(*) FILTER (WHERE spam) AS s, count(*) FILTER (WHERE NOT spam) AS h FROM label),
@@ -235,22 +260,22 @@ r AS (SELECT rule_id, count(DISTINCT mail_id) FILTER (WHERE spam) AS in_spam, co
 SELECT rule_id, in_spam, in_ham, round(in_spam / s, 9) AS spam_rate, round(in_ham / h, 9) AS ham_rate, in_spam / s > in_ham / h AS effective FROM r, t""")
 def label_discrimination(spark: SparkSession, folder: str) -> DataFrame:
     """How much more often a rule fires on labelled mail."""
-    label = table(spark, folder, "orders").select(F.col("o_orderkey").alias("mail_id"), (F.col("o_custkey") % 4 == 0).alias("spam"))
-    t = label.agg(F.count_if("spam").alias("s"), F.count_if(~F.col("spam")).alias("h"))
-    r = signals(spark, folder).select("mail_id", "rule_id").distinct().join(label, "mail_id").groupBy("rule_id").agg(F.count_if("spam").alias("in_spam"), F.count_if(~F.col("spam")).alias("in_ham"))
+    t = table(spark, folder, "orders").agg(F.count_if(F.col("o_custkey") % 4 == 0).alias("s"), F.count_if(F.col("o_custkey") % 4 != 0).alias("h"))
+    r = judged(spark, folder).select("spam", F.explode(rules_of()).alias("ord")).groupBy("ord").agg(F.count_if("spam").alias("in_spam"), F.count_if(~F.col("spam")).alias("in_ham"))
     a, b = F.col("in_spam") / F.col("s"), F.col("in_ham") / F.col("h")
-    return r.crossJoin(F.broadcast(t)).select("rule_id", "in_spam", "in_ham", F.round(a, 9).alias("spam_rate"), F.round(b, 9).alias("ham_rate"), (a > b).alias("effective"))  # one row
+    return r.crossJoin(F.broadcast(t)).select(rule_name(F.col("ord")).alias("rule_id"), "in_spam", "in_ham", F.round(a, 9).alias("spam_rate"), F.round(b, 9).alias("ham_rate"), (a > b).alias("effective"))  # one row
 
 
 @query(f"""WITH {SCORED_SQL}, f AS (SELECT * FROM (VALUES (0.0), (0.3), (0.5)) f(factor)), hit AS (SELECT mail_id, rule_id, sum(points) AS own FROM signals GROUP BY 1, 2)
 SELECT rule_id, CAST(factor AS DOUBLE) AS factor, count(*) FILTER (WHERE v.score >= 30) AS was_flagged,
 count(*) FILTER (WHERE round_even((auth + least(raw - own * (1 - CAST(factor AS DOUBLE)), 30.0)) / 45 * 100, 0) >= 30) AS flagged FROM hit JOIN verdicts v USING (mail_id), f GROUP BY 1, 2""")
 def downweight_simulation(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagged mails if a rule's points are scaled, for all rules and factors in one pass over the signals."""
-    hit = signals(spark, folder).groupBy("mail_id", "rule_id").agg(F.sum("points").alias("own")).join(verdicts(spark, folder), "mail_id")
-    x = hit.withColumn("factor", F.explode(F.array(F.lit(0.0), F.lit(0.3), F.lit(0.5))))
-    new = F.bround((F.col("auth") + F.least(F.col("raw") - F.col("own") * (1 - F.col("factor")), F.lit(30.0))) / 45 * 100, 0)
-    return x.groupBy("rule_id", "factor").agg(F.count_if(F.col("score") >= 30).alias("was_flagged"), F.count_if(new >= 30).alias("flagged"))
+    """Flagged mails if a rule's points are scaled, for all rules and factors in one pass over the mails."""
+    factors = (0.0, 0.3, 0.5)
+    x = judged(spark, folder).withColumn("auth", F.round("auth", 6)).withColumn("ord", F.explode(rules_of())).withColumn("own", own_points(F.col("ord")))
+    new = lambda f: F.bround((F.col("auth") + F.least(F.col("raw") - F.col("own") * F.lit(1 - f), F.lit(30.0))) / 45 * 100, 0)
+    c = x.groupBy("ord").agg(F.count_if(F.col("score") >= 30).alias("was_flagged"), F.array(*[F.struct(F.lit(f).alias("factor"), F.count_if(new(f) >= 30).alias("flagged")) for f in factors]).alias("by"))
+    return c.select(rule_name(F.col("ord")).alias("rule_id"), "was_flagged", F.inline("by")).select("rule_id", "factor", "was_flagged", "flagged")
 
 
 _STRUCT, _WORD = _list(V.STRUCTURAL_DEMOTE), _list(V.WORDING_DEMOTE)

@@ -171,3 +171,38 @@ def test_tracking_links_carry_their_target():
 
     packed = base64.urlsafe_b64encode(zlib.compress(b"https://shop.example/verify?id=0123456789")).decode().rstrip("=")
     assert "shop.example" in M.tracked(f"https://track.esp.example/click/{packed}.html") and M.tracked("https://a.example/short") == ""
+
+
+def test_stream_gives_verdicts(spark, tmp_path):
+    from mailglass.streaming import watch
+
+    (tmp_path / "in").mkdir()
+    for name in ("offer", "portal"):
+        (tmp_path / "in" / f"{name}.eml").write_bytes(SAMPLES[name][0])
+    rounds = []
+    stream = watch.verdict_stream(spark, str(tmp_path / "in"), BOOK)
+    watch.run_watch(stream, lambda df, n: rounds.append([(r.score, r.verdict) for r in df.collect()]), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(x for r in rounds for x in r) == [(0, "BENIGN"), (75, "MALICIOUS")]
+
+
+def test_trust_lowers_wording_never_hard_signals(spark):
+    from mailglass.operators import mail_scoring, state, trust
+    from mailglass.operators.mail_indicators import with_authentication, with_indicators
+
+    deals, offer = SAMPLES["deals"][0], SAMPLES["offer"][0]
+    files = spark.createDataFrame([("deals", deals), ("offer", offer)], "path string, content binary")
+    x = mail_scoring.with_signals(M.with_features(with_authentication(with_indicators(parse_mails(files))), BOOK), BOOK)
+    now = F.expr("timestamp'2024-03-01 00:00:00'")
+    schema = "addr string, domain string, count long, first_seen timestamp, last_seen timestamp, replied boolean, link_domains array<string>"
+    said = "scope string, key string, verdict string, expires_at timestamp, note string"
+    history = spark.createDataFrame([("news@deals-weekly.example.info", "example.info", 1, None, None, True, ["bit.ly", "example.info"]), ("hr-recruit@headhunter-corp.example", "headhunter-corp.example", 9, None, None, True, [])], schema)
+    blocked = spark.createDataFrame([("domain", "headhunter-corp.example", "phishing", None, None)], said)
+    got = {r.path: r for r in mail_scoring.scored(trust.with_trust(x, history, blocked, BOOK, now)).collect()}
+    d, o = got["deals"], got["offer"]
+    assert d.trust_tier == "established" and {s.id: s.points for s in d.signals} == {"body_credentials": 2.1, "body_unsubscribe_link": 0.0, "header_missing_auth": 2.0, "url_shortener": 5.0}
+    assert d.score == 20 and "你给它写过信" in d.reasons[-1] and "链接域与历史一致" in d.reasons[-1]
+    assert (o.trust_tier, o.score) == ("blocked", 75) and "不适用信任降权" in o.reasons[-1]
+    free = {r.path: r for r in trust.with_trust(x, history, spark.createDataFrame([], said), BOOK, now).collect()}["offer"]
+    assert free.trust_tier == "established" and {s.id: s.points for s in free.signals}["att_ext_high_risk"] == 12.0
+    marks = state.label_senders(x, "benign", now, 30)
+    assert sorted((r.scope, r.key, str(r.expires_at)[:10]) for r in marks.collect()) == [("addr", "hr-recruit@headhunter-corp.example", "2024-03-31"), ("addr", "news@deals-weekly.example.info", "2024-03-31")]
