@@ -23,8 +23,9 @@ def private_ip(ip: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    """The lower-case host behind the scheme, without user, port or path."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+    """What stands in lower case between the scheme and the next : / ? or #; a user in front of the host stays, so that
+    disguised links are not taken for what they show."""
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/:?#]+)", 1))
 
 
 def labels(host: Column) -> Column:

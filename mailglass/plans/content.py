@@ -87,12 +87,14 @@ def pdf_scripts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", A.pdf_markers(A.latin(F.encode(F.concat(head, "text"), "utf-8")))["javascript"].alias("script"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_slice(list_distinct(regexp_extract_all(text, '(?i)(?:password|passcode|passwd|pwd)\s*(?:is|[:：=])?\s*([A-Za-z0-9@#$%^&*_\-+.]{3,32})', 1)), 1, 1), ',') AS first_candidate
-FROM documents WHERE contains(lower(text), 'password=')""")
+_STATED = "concat('pwd is ', regexp_extract(text, '[A-Za-z0-9]{3,32}'), chr(10), text)"
+
+
+@query(rf"""SELECT doc_id, regexp_replace(regexp_extract({_STATED}, '(?i)(?:password|passcode|passwd|pwd)\s*(?:is|[:：=])?\s*([A-Za-z0-9@#$%^&*_\-+.]{{3,32}})', 1), '^\.+|\.+$', '', 'g') AS first_candidate FROM documents""")
 def archive_passwords(spark: SparkSession, folder: str) -> DataFrame:
-    """words that may open an archive; the first for each text that names one."""
-    d = table(spark, folder, "documents").filter(F.lower("text").contains("password="))
-    return d.select("doc_id", F.array_join(F.slice(A.password_candidates(F.col("text")), 1, 1), ",").alias("first_candidate"))
+    """the first word that may open an archive, for every text; each begins with a statement of one of its own words."""
+    text = F.concat(F.lit("pwd is "), F.regexp_extract("text", "[A-Za-z0-9]{3,32}", 0), F.lit("\n"), "text")
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.get(A.password_candidates(text), F.lit(0)), F.lit("")).alias("first_candidate"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mailglass.functions import text as X
+from mailglass.operators.mail_features import PROGRAMS, junk_program
 from mailglass.plans.registry import query, table
 from mailglass.plans.state import events
 
@@ -14,7 +15,7 @@ from mailglass.plans.state import events
 BRANDS = ("apache", "license", "that")
 ALLOWED = ("example.com", "example.net")
 
-_HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1))"
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1))"
 
 
 @query(
@@ -41,13 +42,16 @@ def code_notice(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.lower("text").rlike(r"(password|token|secret)[\s\S]{0,80}?[a-z0-9]*[0-9][a-z0-9]*").alias("near_code"))
 
 
-@query(r"""WITH a AS (SELECT p_partkey, p_name, regexp_extract_all(p_name, '\b[A-Z][a-z]{2,8}\b') AS words FROM (SELECT p_partkey, concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' Outlook Qwzr') AS p_name FROM part))
-SELECT p_partkey, len(list_filter(words, lambda x: x NOT IN ('Outlook', 'Thunderbird', 'Foxmail'))) >= 2 AS junk FROM a""")
+_AGENT = "concat(upper(substr(p_name, 1, 1)), substr(p_name, 2), ' ', p_brand, ' ', CASE p_partkey % 4 WHEN 0 THEN 'Outlook Express' WHEN 1 THEN 'Qwzr 3.1' ELSE '' END)"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, {_AGENT} AS line FROM part)
+SELECT p_partkey, NOT ({" OR ".join(f"contains(lower(line), '{p}')" for p in PROGRAMS)}) AND len(list_filter(regexp_extract_all(line, '[A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z].{{2,8}}'))) >= 2 AS junk FROM a""")
 def junk_agents(spark: SparkSession, folder: str) -> DataFrame:
-    """an agent line of two or more capitalised words that name no known program."""
-    line = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"), F.lit(" Outlook Qwzr"))
-    words = F.regexp_extract_all(line, F.lit(r"\b[A-Z][a-z]{2,8}\b"), F.lit(0))
-    return table(spark, folder, "part").select("p_partkey", (F.size(F.filter(words, lambda w: ~w.isin("Outlook", "Thunderbird", "Foxmail"))) >= 2).alias("junk"))
+    """an agent line of two or more capitalised words that names no known program."""
+    end = F.when(F.col("p_partkey") % 4 == 0, "Outlook Express").when(F.col("p_partkey") % 4 == 1, "Qwzr 3.1").otherwise("")
+    line = F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"), F.lit(" "), "p_brand", F.lit(" "), end)
+    return table(spark, folder, "part").select("p_partkey", junk_program(line).alias("junk"))
 
 
 @query("""SELECT event_id, CASE WHEN user_id % 4 = 0 THEN concat('file:', event_id) ELSE concat('addr:u', user_id, '@d', user_id % 7, '.example') END AS key FROM events""")

@@ -25,7 +25,7 @@ def _hosts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", "url", X.url_host(F.col("url")).alias("host"))
 
 
-HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1))"
+HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1))"
 REG = f"""CASE WHEN len(p) < 2 THEN array_to_string(p, '.') WHEN array_to_string(p[-2:], '.') IN ({_sql_list(V.TWO_LEVEL)}) THEN array_to_string(p[greatest(len(p) - 2, 1):], '.') ELSE array_to_string(p[-2:], '.') END"""
 
 
@@ -128,12 +128,13 @@ def url_features(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(f"""WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages), k AS (SELECT host, substr(host, i) AS tail, i FROM h, range(2, 80) t(i) WHERE i <= length(host) AND substr(host, i - 1, 1) <> '.')
+@query(f"""WITH h AS (SELECT DISTINCT {HOST} AS host FROM pages UNION SELECT DISTINCT concat('my', {HOST}) FROM pages WHERE page_id % 3 = 0), k AS (SELECT host, substr(host, i) AS tail, i FROM h, range(2, 80) t(i) WHERE i <= length(host) AND substr(host, i - 1, 1) <> '.')
 SELECT k.host AS a, o.host AS b FROM k JOIN h o ON o.host = k.tail WHERE regexp_matches(substr(k.host, i - 1, 1), '[a-z0-9]')""")
 def lookalike_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Hosts that end with another host without a dot between. Every ending of a host is looked up by equality, so
+    """Hosts, and look-alikes of a third of them, that end with another host without a dot between. Every ending of a host is looked up by equality, so
     no pairs of hosts are tried."""
-    h = _hosts(spark, folder).select("host").distinct()
+    hosts = _hosts(spark, folder)
+    h = hosts.select("host").unionByName(hosts.filter("page_id % 3 = 0").select(F.concat(F.lit("my"), "host").alias("host"))).distinct()
     tails = h.select("host", F.explode(F.sequence(F.lit(2), F.greatest(F.length("host"), F.lit(2)))).alias("i")).withColumn("tail", F.expr("substr(host, i)"))
     j = tails.join(h.select(F.col("host").alias("b")), F.col("tail") == F.col("b"))
     return j.filter(X.lookalike(F.col("host"), F.col("b"))).select(F.col("host").alias("a"), "b")
@@ -176,7 +177,7 @@ def ioc_top(spark: SparkSession, folder: str) -> DataFrame:
 @query(rf"""SELECT page_id, len(list_distinct(list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x: x <> ''))) AS links, length(regexp_replace(regexp_replace(html, '(?is)<(?:style|script)[^>]*>.*?</(?:style|script)>', '', 'g'), '(?s)<[^>]+>', '', 'g')) AS visible,
 regexp_matches(html, '(?i)<input[^>]+type=["'']?password') AS password_field, contains(lower(html), 'file:///') AS file_uri, (length(html) - length(replace(html, '<!--', ''))) / 4 > 0 AS comments FROM pages""")
 def html_features(spark: SparkSession, folder: str) -> DataFrame:
-    """F14 F26 F52 and the HTML rules: links, visible length, password fields, file links, comments."""
+    """F26 F52 and the HTML rules: links, visible length, password fields, file links, comments."""
     h = F.col("html")
     links = F.size(F.array_distinct(F.filter(F.regexp_extract_all(h, F.lit('href="([^"]*)"'), F.lit(1)), lambda x: x != "")))
     return table(spark, folder, "pages").select(
@@ -195,7 +196,7 @@ def hidden_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(rf"""WITH a AS (SELECT page_id, concat('<a href="', url, '">www.other-', page_id % 7, '.example</a>') AS html FROM pages),
-x AS (SELECT page_id, lower(regexp_extract(regexp_extract(html, 'href="([^"]*)"', 1), '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS target, regexp_extract(html, '>([^<]*)</a>', 1) AS shown FROM a)
+x AS (SELECT page_id, lower(regexp_extract(regexp_extract(html, 'href="([^"]*)"', 1), '^[A-Za-z]+://([^/:?#]+)', 1)) AS target, regexp_extract(html, '>([^<]*)</a>', 1) AS shown FROM a)
 SELECT page_id, target, shown, target <> shown AS mismatch FROM x""")
 def anchor_mismatch(spark: SparkSession, folder: str) -> DataFrame:
     """The shown host against the host that the link leads to."""

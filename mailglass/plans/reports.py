@@ -132,7 +132,7 @@ def alert_payloads(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("event_id", F.get_json_object("p", "$.severity").cast("int").alias("severity"), F.get_json_object("p", "$.title").alias("title"))
 
 
-@query("""SELECT concat('URL', chr(9), url, chr(9), count(*)) AS line FROM pages GROUP BY url UNION ALL SELECT concat('DOMAIN', chr(9), h, chr(9), count(*)) FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://(?:[^/@]*@)?([^/:?#]+)', 1)) AS h FROM pages) GROUP BY h""")
+@query("""SELECT concat('URL', chr(9), url, chr(9), count(*)) AS line FROM pages GROUP BY url UNION ALL SELECT concat('DOMAIN', chr(9), h, chr(9), count(*)) FROM (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]+)', 1)) AS h FROM pages) GROUP BY h""")
 def indicator_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of an indicator feed."""
     p = table(spark, folder, "pages")

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mailglass.operators import reports
+from mailglass.operators import state as S
 from mailglass.plans.registry import query, table
 
 ADDR_SQL = "concat('u', user_id, '@d', user_id % 7, '.example')"
@@ -47,7 +49,7 @@ def sender_history(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(HISTORY_SQL)
 def history_incremental_equals_full(spark: SparkSession, folder: str) -> DataFrame:
-    """The history of two halves, merged, against the history of the whole."""
+    """Q08: the history of two halves, merged, against the history of the whole."""
     e = events(spark, folder)
     late = F.col("event_id") % 2 == 1
     return _shown(merge_history(history(e.filter(~late)), history(e.filter(late))))
@@ -114,16 +116,16 @@ def trusted_anti(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH f AS (SELECT event_type AS folder, max(event_id) FILTER (WHERE event_id % 2 = 0) AS prev, max(event_id) AS max_uid, min(user_id) % 2 = 0 AS same_validity FROM events GROUP BY 1)
 SELECT folder, prev, max_uid, CASE WHEN same_validity THEN prev ELSE 0 END AS since, CASE WHEN same_validity THEN greatest(prev, max_uid) ELSE max_uid END AS next FROM f""")
 def cursor_advance(spark: SparkSession, folder: str) -> DataFrame:
-    """Q04-Q07: a folder's cursor starts over when its validity changes, and else never goes back."""
+    """Q04 Q06: a folder's cursor starts over when its validity changes, and else never goes back."""
     f = events(spark, folder).groupBy(F.col("event_type").alias("folder")).agg(F.max(F.when(F.col("event_id") % 2 == 0, F.col("event_id"))).alias("prev"), F.max("event_id").alias("max_uid"), (F.min("user_id") % 2 == 0).alias("same"))
     return f.select("folder", "prev", "max_uid", F.when(F.col("same"), F.col("prev")).otherwise(0).alias("since"), F.when(F.col("same"), F.greatest("prev", "max_uid")).otherwise(F.col("max_uid")).alias("next"))
 
 
-@query(f"""WITH a AS (SELECT {ADDR_SQL} AS addr, event_id, ts, epoch_us(ts) // 43200000000 AS slot FROM events WHERE {BAND_SQL} = 'MALICIOUS')
+@query(f"""WITH a AS (SELECT {ADDR_SQL} AS addr, event_id, ts, epoch_us(ts) // 43200000000 AS slot FROM events WHERE {BAND_SQL} IN ('MALICIOUS', 'SUSPICIOUS'))
 SELECT addr, slot, event_id FROM (SELECT *, row_number() OVER (PARTITION BY addr, slot ORDER BY ts, event_id) AS r FROM a) WHERE r = 1""")
 def notify_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """One alert a sender and half day, the first."""
-    a = events(spark, folder).filter("verdict = 'MALICIOUS'").withColumn("slot", F.floor(F.expr(MICROS) / 43_200_000_000))
+    a = events(spark, folder).filter("verdict in ('MALICIOUS', 'SUSPICIOUS')").withColumn("slot", F.floor(F.expr(MICROS) / 43_200_000_000))
     first = a.groupBy("addr", "slot").agg(F.min(F.struct("ts", "event_id")).alias("f"))
     return first.select("addr", "slot", F.col("f.event_id").alias("event_id"))
 
@@ -178,7 +180,7 @@ def merge_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    """B01 B02."""
+    """B01."""
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
 
 
@@ -199,6 +201,54 @@ def thread_turns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 0) AS junk, round(avg(n_chars), 6) AS mean_chars FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def source_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """A16 A26 over labelled texts by source."""
+    """A16 over labelled texts by source."""
     d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 0).alias("junk"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+
+
+@query("""SELECT event_id FROM events e WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view' AND event_id % 3 <> 0)""")
+def ledger_anti(spark: SparkSession, folder: str) -> DataFrame:
+    """What the ledger does not have is counted."""
+    e = events(spark, folder).withColumn("path", F.col("event_id").cast("string"))
+    return S.not_counted(e, e.filter("event_type = 'view' and event_id % 3 <> 0").select("path")).select("event_id")
+
+
+@query("""SELECT folder, uid, max(uidvalidity) AS uidvalidity FROM (SELECT event_type AS folder, event_id % 500 AS uid, event_id // 500 AS uidvalidity FROM events) GROUP BY 1, 2""")
+def uid_dedupe(spark: SparkSession, folder: str) -> DataFrame:
+    """Q07: a mail of a folder counts once, under its newest validity."""
+    e = events(spark, folder).select(F.col("event_type").alias("folder"), (F.col("event_id") % 500).alias("uid"), F.floor(F.col("event_id") / 500).alias("uidvalidity"))
+    return S.newest_by_uid(e)
+
+
+@query(f"""SELECT {ADDR_SQL} AS key, max(ts) AS created_at FROM events WHERE event_type = 'purchase' GROUP BY 1 ORDER BY created_at DESC, key LIMIT 50""")
+def verdicts_recent(spark: SparkSession, folder: str) -> DataFrame:
+    """Human verdicts, the newest first; a report of 50."""
+    v = events(spark, folder).filter("event_type = 'purchase'").groupBy(F.col("addr").alias("key")).agg(F.max("ts").alias("created_at"))
+    return v.orderBy(F.desc("created_at"), "key").limit(50)
+
+
+@query(f"""WITH old AS (SELECT {ADDR_SQL} AS key, 'benign' AS verdict FROM events WHERE event_type = 'purchase' GROUP BY 1), new AS (SELECT {ADDR_SQL} AS key, 'phishing' AS verdict FROM events WHERE event_type = 'signup' GROUP BY 1),
+gone AS (SELECT {ADDR_SQL} AS key FROM events WHERE event_type = 'click' AND value > 90 GROUP BY 1)
+SELECT * FROM (SELECT * FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new) WHERE key NOT IN (SELECT key FROM gone)""")
+def verdict_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts for all senders of a batch take the place of older ones, others are revoked."""
+    e = events(spark, folder)
+    by = lambda kind, verdict: e.filter(F.col("event_type") == kind).select(F.col("addr").alias("key"), F.lit(verdict).alias("verdict")).distinct()
+    gone = e.filter("event_type = 'click' and value > 90").select(F.col("addr").alias("key"))
+    return S.delete(S.upsert(by("purchase", "benign"), by("signup", "phishing"), ["key"]), gone, ["key"])
+
+
+@query("""SELECT l_orderkey AS mail_id, l_linenumber AS line, CAST(least(100, 60 * (CAST(l_quantity AS INTEGER) % 3)) AS INTEGER) AS scan_score, l_discount * 1000 >= 50 AS abuse_hit FROM lineitem""")
+def lookup_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """What a page scanner's and an abuse list's answers count."""
+    l = table(spark, folder, "lineitem")
+    return l.select(F.col("l_orderkey").alias("mail_id"), F.col("l_linenumber").alias("line"), reports.scan_score(F.col("l_quantity").cast("int") % 3).cast("int").alias("scan_score"), reports.abuse_hit(F.col("l_discount") * 1000).alias("abuse_hit"))
+
+
+@query("""WITH f AS (SELECT page_id, length(html) AS n, page_id * 60 AS t FROM pages)
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(max(t) AS BIGINT) AS newest, CAST(sum(n) AS BIGINT) AS bytes FROM f""")
+def input_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a folder has changed: number, newest change and bytes of its files (beside a digest of paths)."""
+    p = table(spark, folder, "pages").select(F.col("url").alias("path"), F.timestamp_seconds(F.col("page_id") * 60).alias("modificationTime"), F.length("html").alias("length"))
+    parts = F.split("fingerprint", ":")
+    return S.fingerprint(p).select(*[parts[i].cast("long").alias(c) for i, c in enumerate(("n", "newest", "bytes"))])
