@@ -11,22 +11,29 @@ into the first bin with room.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mailglass.llm.common import WordTable, cut, slices
+from mailglass.llm.common import WordTable, bounded, cut, held, slices
 
 CAPACITY = 2048
 WASTE = 0.02
 END_ID = 1
+#: Bytes of text and words remembered that a worker handles at once.
+SLICE_BYTES, TABLE_WORDS = 2 << 20, 250_000
+#: A stop behind a letter, at a word's end. A space before it changes no id, as letters and other marks never share a token.
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|\Z)")
 
 
 def cut_length(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
@@ -61,7 +68,7 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.chars = str.maketrans({**{chr(b): chr(b) for b in shown}, **{chr(b): chr(256 + i) for i, b in enumerate(hidden)}})
-        self.table = WordTable(self.look, 400_000)
+        self.table = WordTable(self.look, TABLE_WORDS)
 
     def direct_ids(self, word: str) -> list[int]:
         return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin1").translate(self.chars))]
@@ -70,12 +77,15 @@ class WordIds:
         if not self.table.known:
             self.pieces, self.used = np.empty(1 << 16, np.uint16), 0
         got: list[list[int]] = [[]] * len(words)
-        slow = []
+        slow, of_model = [], self.tok.model.tokenize
         for i, w in enumerate(words):
+            # ASCII letters stand for themselves among the model's characters; bytes.isalpha() knows no others.
+            if self.direct and w.isalpha():
+                got[i] = [t.id for t in of_model(w.lower().decode())]
+                continue
             s = w.decode()
-            body, tail = (s[:-1], s[-1]) if s[-1] in ".," else (s, "")
-            if self.direct and body.isalpha() and max(body) < "ƀ" and "İ" not in body and "ŉ" not in body:
-                got[i] = self.direct_ids(body.lower()) + (self.direct_ids(tail) if tail else [])
+            if self.direct and s.isalpha() and max(s) < "ƀ" and "İ" not in s and "ŉ" not in s:
+                got[i] = self.direct_ids(s.lower())
             else:
                 slow.append(i)
         if slow:
@@ -85,7 +95,7 @@ class WordIds:
         n = int(lens.sum())
         if self.used + n > len(self.pieces):
             self.pieces = np.concatenate([self.pieces[: self.used], np.empty(max(len(self.pieces), n), np.uint16)])
-        self.pieces[self.used : self.used + n] = [x for g in got for x in g]
+        self.pieces[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), np.uint16, n)
         starts = self.used + np.cumsum(lens) - lens
         self.used += n
         return starts, lens
@@ -95,7 +105,9 @@ class WordIds:
         words = []
         for t in texts:
             b = t.encode()
-            words.append((b.lower() if self.lower and b"<|" not in b else b).split())
+            if self.direct and b"<|" not in b:
+                b = _STOP.sub(rb" \1", b.lower())
+            words.append(b.split())
         ids = self.table.ids([w for ws in words for w in ws])
         if not len(ids):
             return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
@@ -105,8 +117,6 @@ class WordIds:
         return flat, np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
 PIECE = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -115,37 +125,45 @@ PIECE = T.StructType(
         T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()),
         T.StructField("share", T.LongType()),
+        T.StructField("piece", T.LongType()),
     ]
 )
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: float = WASTE, keep_ids: bool = False) -> DataFrame:
-    """The pieces of each text (ids, then END_ID), one pass; `share` says which worker's share of a class a piece is in."""
+    """The pieces of each text (ids, then END_ID), one pass; `share` says which worker's share of a class a piece is in,
+    `piece` is its own number, from the task's and a count."""
     schema = T.StructType([*PIECE.fields, *([IDS] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer] = WordIds(tokenizer)
-        words = _TOKENIZERS[tokenizer]
+        words = held(("ids", tokenizer), lambda: WordIds(tokenizer))
+        number = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for b in slices(whole, 1):
-                docs, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for b in slices(whole, 1, SLICE_BYTES):
+                texts = [t or "" for t in b.column(1).to_pylist()]
                 flat, at = words.encode(texts)
-                rows: list[list] = [[] for _ in schema]
-                for i, doc in enumerate(docs):
-                    ids = np.append(flat[at[i] : at[i + 1]], END_ID).astype("<u4")
-                    start = 0
-                    for n in cut_length(len(ids), capacity, waste):
-                        raw = ids[start : start + n].tobytes()
-                        crc = zlib.crc32(raw)
-                        for c, v in zip(rows, (doc, start, n, crc, len(ids), crc ^ (start * 2654435761 % 4294967296), ids[start : start + n].astype(np.int32)), strict=False):
-                            c.append(v)
-                        start += n
-                types = [pa.int64()] * len(PIECE) + [pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+                # One run of ids with an end after each text, then the pieces' places in it.
+                lens = np.diff(at) + 1
+                ends = np.cumsum(lens)
+                ids = np.full(int(ends[-1]), END_ID, "<u4")
+                own = np.ones(len(ids), bool)
+                own[ends - 1] = False
+                ids[own] = flat
+                cuts = [cut_length(n, capacity, waste) for n in lens.tolist()]
+                doc = np.repeat(np.arange(len(lens)), list(map(len, cuts)))
+                n = np.fromiter(chain.from_iterable(cuts), np.int64, len(doc))
+                stop = np.cumsum(n)
+                raw = memoryview(ids.view(np.uint8))
+                crc = np.array([zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(stop.tolist(), n.tolist(), strict=True)], np.int64)
+                start = stop - n - (ends - lens)[doc]
+                cols = [b.column(0).cast(pa.int64()).take(pa.array(doc)), *map(pa.array, (start, n, crc, lens[doc], crc ^ (start * 2654435761 % 4294967296), number + np.arange(len(doc))))]
+                number += len(doc)
+                if keep_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), pa.array(ids.view("<i4"))))
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: float = WASTE, keep_ids: bool = False) -> DataFrame:
@@ -155,9 +173,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: float
     often as they come. Sequence ids are unique but not dense. With keep_ids, the piece's token ids come along.
 
     Only narrow rows are shuffled: to rank a class's pieces inside shares, and to gather bins of at most `capacity` rows.
+    Token ids are written once and shuffled once, to meet their places.
     """
-    spark = docs.sparkSession
     found = cut(pieces(docs, tokenizer, capacity, waste, keep_ids))
+    if not keep_ids:
+        return placed(found, capacity).drop("piece")
+    return found.select("piece", "ids").join(placed(found.drop("ids"), capacity), "piece").select(*PIECE.names[:-2], "ids", "sequence_id", "offset")
+
+
+def placed(found: DataFrame, capacity: int) -> DataFrame:
+    """Written pieces with sequence_id and offset, without ids."""
+    spark = found.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = found.withColumn("k", (F.lit(capacity) / F.col("length")).cast("long")).withColumn("share", F.pmod(F.xxhash64("share", "doc_id"), F.lit(shares)))
     held = p.groupBy("k", "share").count()
@@ -169,17 +195,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: float
     ranked = ranked.join(F.broadcast(held), ["k", "share"]).withColumn("nth", F.col("nth") + F.col("base"))
     full = F.floor(F.col("of_class") / F.col("k")) * F.col("k")
     ranked = ranked.withColumn("whole", F.col("nth") < full).withColumn("bin", F.floor(F.col("nth") / F.col("k")))
-    keep = [*PIECE.names[:-1], *(["ids"] if keep_ids else [])]
+    keep = [c for c in PIECE.names if c != "share"]
     fit = Window.partitionBy("k", "bin").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     whole = ranked.filter("whole").select(
         *keep, ((F.col("k") + 1) * F.lit(1 << 44) + F.col("bin")).alias("sequence_id"), F.coalesce(F.sum("length").over(fit), F.lit(0)).alias("offset")
     )
-    # The tail: fewer than k pieces of each class k, so at most about capacity * ln(capacity) rows for any input.
+    # The tail: fewer than k pieces of each class k, at most most_left(capacity) rows for any input, in one small group.
     tail = ranked.filter("not whole").select(*keep)
     schema = T.StructType([*tail.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return whole.unionByName(tail.withColumn("_all", F.col("length") * 0).groupBy("_all").applyInPandas(lambda rows: first_fit(rows, capacity)[schema.names], schema))
 
 
+def most_left(capacity: int) -> int:
+    """Pieces that all classes leave over at most: k - 1 of each class k that a length can have."""
+    return sum(k - 1 for k in {capacity // n for n in range(1, capacity + 1)})
+
+
 def first_fit(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Bins for the tail pieces: the longest first, each into the first bin with room."""
     rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+
 from mailglass.llm import packing as P
 from mailglass.llm.queries import WORD_BPE, op5_harmonic_packing, vocabulary
 
@@ -55,3 +56,21 @@ def test_cut_lengths():
         for p in parts:
             k = 2048 // p
             assert k * p >= 0.97 * 2048 or p <= 45
+
+
+def test_what_is_left_over_is_bounded_by_the_capacity():
+    assert P.most_left(2048) < 10_000
+    for n in range(1, 2048):
+        assert all(0 < x <= 2048 for x in P.cut_length(n)) and sum(P.cut_length(n)) == n
+
+
+def test_ids_meet_their_pieces(spark, folder):
+    import zlib
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").limit(60)
+    twice = docs.unionByName(docs.filter("doc_id < 10")).unionByName(spark.createDataFrame([(None, "no id here")], docs.schema))
+    rows = P.pack(twice, vocabulary(WORD_BPE), keep_ids=True).collect()
+    plain = P.pack(twice, vocabulary(WORD_BPE)).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in rows)
+    key = lambda rs: sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.length, r.ids_crc32) for r in rs)
+    assert key(rows) == key(plain)
