@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Most bytes of an Arrow batch between Spark and Python, and the setting that says so. Rows are whole texts, or packed
+#: numbers of a whole slice of texts, so a count of rows bounds nothing.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches bounded by BATCH_BYTES."""
+    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 #: Paths that cut() has written inside each open scratch().
 _SCRATCH: list[list[str]] = []
 
@@ -112,7 +123,7 @@ def append_columns(df: DataFrame, text_col: str, work: Callable[[list[str]], lis
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, *work(texts)], names=[*b.schema.names, *new])
 
-    return base.mapInArrow(run, schema)
+    return bounded(base).mapInArrow(run, schema)
 
 
 class Words(dict):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailglass.llm.common import WordTable, cut, held, mix64, scratch, slices, word_hashes
+from mailglass.llm.common import WordTable, bounded, cut, held, mix64, scratch, slices, word_hashes
 from mailglass.llm.components import connected_components
 
 WORDS = 5
@@ -346,12 +346,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def centre_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each node of a list against the list's centre: of every band of sizes that may link, the node of the least hash."""
+    """Each node against a centre: of every band of sizes that may link, a list's centre is the node of the least hash, and of
+    its lists' centres in other components a node takes the one of the least hash. So there is at most a pair a node."""
+    rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))
     x = lists.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * (turn % 2)).cast("int"))
-    rank = F.xxhash64(F.lit(turn), F.col("node"))
-    centre = x.groupBy("key", "band").agg(F.min_by(F.struct("node", "label"), rank).alias("c"))
+    centre = x.groupBy("key", "band").agg(F.min_by(F.struct("node", "label"), rank("node")).alias("c"))
     j = x.join(centre, ["key", "band"]).filter("label != c.label")
-    return j.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    j = j.groupBy("node").agg(F.min_by("c.node", rank("c.node")).alias("centre"))
+    return j.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
 
 def open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -414,7 +416,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     others. Other columns are not read. Copies fall together before anything is compared.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with scratch(spark):
         texts = cut(docs.select("doc_id", *text_hashes()))
         nodes = cut(nodes_of(texts))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mailglass.llm.common import WordTable, append_columns, cut, mix64, slices, word_hashes
+from mailglass.llm.common import WordTable, append_columns, bounded, cut, mix64, slices, word_hashes
 
 LEAST_N, MOST_N = 1, 4
 PROBES = 3
@@ -125,7 +125,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     n = np.bincount(inverse, times, len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=COUNTS.names)
 
-    return docs.select("text", "lang").mapInArrow(run, COUNTS)
+    return bounded(docs).select("text", "lang").mapInArrow(run, COUNTS)
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mailglass.llm.common import WordTable, append_columns
+from mailglass.llm.common import WordTable, append_columns, held
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -220,14 +220,8 @@ class Fertility:
         return counts, fallback, np.bincount(key // len(self.is_byte), -share * np.log2(share), n)
 
 
-#: By path; a Python worker keeps its word tables from task to task.
-_MEASURES: dict[str, Fertility] = {}
-
-
 def measure_texts(texts: list[str], path: str, bands: dict[str, Band]) -> list[pa.Array]:
-    if path not in _MEASURES:
-        _MEASURES[path] = Fertility(path)
-    fertility = _MEASURES[path]
+    fertility = held(("fertility", path), lambda: Fertility(path))
     words = [t.encode().split() for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.concatenate([[0], np.cumsum(lens)])
