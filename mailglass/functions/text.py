@@ -42,7 +42,7 @@ def registrable_domain(host: Column) -> Column:
 def site(host: Column) -> Column:
     """The registrable domain: the last two labels, three behind a two-level suffix; empty for a single label."""
     suffixes = "|".join(x.replace(".", r"\.") for x in V.TWO_LEVEL)
-    return F.regexp_extract(F.regexp_replace(F.lower(host), r"\.{2,}", "."), rf"([^.]+\.(?:{suffixes})|[^.]+\.[^.]+)\.?$", 1)
+    return F.regexp_extract(F.regexp_replace(F.lower(host), r"\.{2,}", "."), rf"(?<![^.])([^.]++\.(?:{suffixes})|[^.]++\.[^.]++)\.?$", 1)
 
 
 def terms(names: Iterable[str]) -> Column:
