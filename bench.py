@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 HEADLINE = (
     "score_signals", "verdict_category_cube", "rule_triggers_top", "confusion_matrix", "fp_leave_one_out", "downweight_simulation", "label_discrimination", "rule_contains_any", "rule_regex_any",
-    "ioc_text", "url_features", "html_features", "filename_features", "sender_history", "trust_tier", "notify_dedupe", "rate_limit_windows", "fingerprint", "scope_any_first_item", "intel_max_floor",
+    "ioc_text", "url_features", "html_features", "filename_features", "sender_history", "trust_tier", "notify_dedupe", "rate_limit_windows", "fingerprint", "scope_any_first_item", "intel_max_floor", "mail_indicators", "mail_verdicts",
 )
 
 

@@ -85,7 +85,7 @@ def with_brand_hits(df: DataFrame, texts: dict[str, str], book: Rulebook) -> Dat
     shadows = dict(book.shadows)
 
     def met(text: Column) -> Column:
-        as_word = lambda b: F.rlike(text, F.concat(F.lit(r"(?i)(?<![a-z0-9])\Q"), b, F.lit(r"\E(?![a-z0-9])")))
+        as_word = lambda b: F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), b, F.lit(r"\E(?![a-z0-9])")))
         return F.filter(terms(brands), lambda b: F.contains(text, b) & (b.rlike(NOT_ASCII) | as_word(b)))
 
     @F.pandas_udf("array<string>")
