@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from mailglass.functions.folding import fold_one
@@ -121,3 +121,50 @@ def read_folder(folder: str) -> Rulebook:
     dicts = [(p.name, p.read_bytes(), {p.stem: parse_terms("[x]\n" + p.read_text())["x"]}) for p in sorted((top / "dicts").glob("*.txt"))]
     return _merge([*(rules_in("builtin") or own[0]), *rules_in("custom")], [*own[1], *dicts])
 
+
+
+# --- changes: each gives a new book, so a bad one leaves the old as it was
+
+
+def with_rule(book: Rulebook, fields: dict) -> Rulebook:
+    """The book with a custom rule, in the place of one of the same id or at the end. Fields are those of a rule file."""
+    rule = rule_of(fields)
+    validate(rule, book.terms)
+    rules = [rule if r.id == rule.id else r for r in book.rules]
+    return _changed(book, rules if rule.id in book.origin else [*rules, rule], origin=book.origin | {rule.id: "custom"})
+
+
+def patched(book: Rulebook, rule_id: str, **changes) -> Rulebook:
+    """The book with a rule's enabled, points, name or reason changed; nothing else may be."""
+    if set(changes) - {"enabled", "points", "name", "reason"} or rule_id not in book.origin:
+        raise RuleError(f"cannot change {sorted(changes)} of {rule_id}")
+    rules = [replace(r, **changes) if r.id == rule_id else r for r in book.rules]
+    for r in rules:
+        validate(r, book.terms)
+    return _changed(book, rules)
+
+
+def without(book: Rulebook, rule_id: str) -> Rulebook:
+    """The book without a custom rule; built-in ones can only be disabled."""
+    if book.origin.get(rule_id) != "custom":
+        raise RuleError(f"{rule_id} is no custom rule")
+    return _changed(book, [r for r in book.rules if r.id != rule_id], origin={k: v for k, v in book.origin.items() if k != rule_id})
+
+
+def with_terms(book: Rulebook, name: str, add: tuple[str, ...] = (), remove: tuple[str, ...] = ()) -> Rulebook:
+    """The book with terms of a dictionary added (once, at its end) or taken out, folded as in files."""
+    fold = lambda terms: [fold_one(t.strip()).lower() for t in terms]
+    now = [t for t in book.terms.get(name, ()) if t not in fold(remove)]
+    return _changed(book, book.rules, terms=book.terms | {name: tuple(dict.fromkeys([*now, *filter(None, fold(add))]))})
+
+
+def listing(book: Rulebook) -> list[dict]:
+    """A row per rule: id, name, category, scope, points, enabled, reason, detector, source, version."""
+    keys = ("id", "name", "category", "scope", "points", "enabled", "reason", "detector")
+    return [{k: getattr(r, k) for k in keys} | {"source": book.origin[r.id], "version": book.version} for r in book.rules]
+
+
+def _changed(book: Rulebook, rules, terms=None, origin=None) -> Rulebook:
+    terms = book.terms if terms is None else terms
+    state = json.dumps([[repr(r) for r in rules], {k: list(v) for k, v in terms.items()}], sort_keys=True)
+    return Rulebook(tuple(rules), terms, book.shadows, hashlib.sha256((book.version + state).encode()).hexdigest()[:16], origin or book.origin)

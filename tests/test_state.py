@@ -74,3 +74,26 @@ def test_lookups_states_and_pages(spark):
     doc = spark.createDataFrame([("<script>", "MALICIOUS", 87, "a&b", "f.eml", ["r"], (["http://x/<"], [], [], [], []))], "subject string, verdict string, score int, from string, filename string, reasons array<string>, iocs struct<urls:array<string>,domains:array<string>,ips:array<string>,hashes:array<string>,header_domains:array<string>>")
     page = doc.select(reports.page()).first()[0]
     assert "<script>" not in page and "&lt;script&gt;" in page and "a&amp;b" in page and "http://x/&lt;" in page and "#EF4444" in page
+
+
+def test_rulebooks_change_by_copies():
+    import pytest
+
+    from mailglass import rulebook as B
+
+    book = B.builtin()
+    rule = {"id": "own_rule", "name": "Own", "points": 3, "match": {"field": "body", "operator": "contains_any", "values": ["@dict:own"]}}
+    with pytest.raises(B.RuleError):
+        B.with_rule(book, rule)  # no such dictionary yet
+    more = B.with_rule(B.with_terms(book, "own", add=("Ａbc", "abc", " ")), rule)
+    assert more.terms["own"] == ("abc",) and more.rules[-1].id == "own_rule" and len(book.rules) == 90 and more.version != book.version
+    assert B.with_terms(more, "own", remove=("ABC",)).terms["own"] == ()
+    off = B.patched(more, "att_html", enabled=False, points=9)
+    assert [(r.enabled, r.points) for r in off.rules if r.id == "att_html"] == [(False, 9)]
+    for bad in ({"points": 99}, {"scope": "url"}):
+        with pytest.raises(B.RuleError):
+            B.patched(more, "att_html", **bad)
+    assert len(B.without(more, "own_rule").rules) == 90
+    with pytest.raises(B.RuleError):
+        B.without(more, "att_html")
+    assert B.listing(more)[-1]["source"] == "custom" and {r["version"] for r in B.listing(more)} == {more.version}
