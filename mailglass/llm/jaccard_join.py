@@ -337,12 +337,12 @@ def possible(a: str, b: str, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link, with all their columns."""
     x = pairs
     for c in ("a", "b"):
         x = x.join(sets.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n", "shingles", "bitmap"))), c)
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return x.filter(possible("a", "b", percent) & ((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+    return x.filter(possible("a", "b", percent) & ((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b")))).select(pairs.columns)
 
 
 def centre_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -352,8 +352,8 @@ def centre_pairs(lists: DataFrame, percent: int, turn: int) -> DataFrame:
     x = lists.withColumn("band", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * (turn % 2)).cast("int"))
     centre = x.groupBy("key", "band").agg(F.min_by(F.struct("node", "label"), rank("node")).alias("c"))
     j = x.join(centre, ["key", "band"]).filter("label != c.label")
-    j = j.groupBy("node").agg(F.min_by("c.node", rank("c.node")).alias("centre"))
-    return j.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    j = j.groupBy("node").agg(F.first("label").alias("label_a"), F.min_by("c", rank("c.node")).alias("c"))
+    return j.select(F.col("node").alias("a"), F.col("c.node").alias("b"), "label_a", F.col("c.label").alias("label_b"))
 
 
 def open_lists(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -375,21 +375,29 @@ def open_pairs(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     b = x.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *side("b"))
     room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     j = a.join(b, ["key", "block"]).filter((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & ((100 + percent) * room >= percent * (F.col("n_a") + F.col("n_b"))) & possible("a", "b", percent))
-    return j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return j.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "label_a", "label_b").distinct()
+
+
+def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels after links between the components label_a and label_b. Only components are joined, not all links so far."""
+    new = connected_components(found.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    if labels is None:
+        return new
+    to = new.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = labels.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return cut(old.unionByName(new.join(labels, "node", "left_anti")))
 
 
 def list_links(lists: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int) -> DataFrame | None:
-    """links (small sets', if any) and those between nodes that meet on lists, enough to connect all that is connected; as
-    labels (node, component), or None where there is nothing."""
+    """Labels (node, component) by links (small sets', if any) and by those between nodes that meet on lists, enough to connect
+    all that is connected; None where there is nothing."""
     labels = connected_components(links) if links is not None else None
     for turn in range(TURNS + 1):
         still = cut(open_lists(lists, labels))
         if still.isEmpty():
             break
         pairs = cut(centre_pairs(still, percent, turn) if turn < TURNS else open_pairs(still, sets, percent))
-        found = cut(verified(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
+        labels = merged(labels, cut(verified(pairs, sets, percent)))
     return labels
 
 

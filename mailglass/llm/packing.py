@@ -31,7 +31,7 @@ CAPACITY = 2048
 WASTE = 0.02
 END_ID = 1
 #: Bytes of text and words remembered that a worker handles at once.
-SLICE_BYTES, TABLE_WORDS = 2 << 20, 250_000
+SLICE_BYTES, TABLE_WORDS = 1 << 20, 200_000
 #: A stop behind a letter, at a word's end. A space before it changes no id, as letters and other marks never share a token.
 _STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|\Z)")
 
