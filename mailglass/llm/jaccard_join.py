@@ -38,7 +38,7 @@ PERCENT = 80
 #: Subsets of a set beyond this size are more than any scan; it bounds the cost table, not the sets.
 MAX_SMALL = 24
 #: Rounds against centres before all pairs that remain open are compared.
-TURNS = 3
+TURNS = 8
 #: Nodes of a list in one block when its open pairs are compared.
 BLOCK = 2048
 #: Rows (about 70 bytes each) up to which a table of nodes is broadcast to pick their texts; beyond, texts are shuffled.
