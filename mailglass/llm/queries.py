@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailglass.llm import html_extraction, jaccard_join, language_id, lm_scoring, mixing, neighbours, oracles, packing, quality_classifier, quality_rules, secrets
+from mailglass.llm import fill_in_middle, html_extraction, jaccard_join, language_id, lm_scoring, mixing, neighbours, oracles, packing, quality_classifier, quality_rules, resampling, scaled_sketch, secrets
 from mailglass.llm.common import crc_rest
 
 #: Of the public tokenizer files, by default from the installed package of that name.
@@ -74,6 +74,19 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.jaccard_components(documents(spark, folder))
 
 
+def op11_piece_table(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle.digests(documents(spark, folder).select("doc_id", "text"))
+
+
+def op12_scaled_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return scaled_sketch.edit_report(documents(spark, folder))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resample(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
