@@ -6,6 +6,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,21 +17,37 @@ from mailglass.functions.text import ZERO_WIDTH
 
 _INVISIBLE = re.compile(ZERO_WIDTH)
 _LOOKS = str.maketrans(*V.HOMOGLYPHS)
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7F]+")
+#: Runs up to this length, single accented letters most of all, are remembered.
+_SHORT = 8
+
+
+def _bare(run: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", run) if unicodedata.category(c) != "Mn")
+
+
+def _folded(run: str) -> str:
+    return _bare(_INVISIBLE.sub("", run)).translate(_LOOKS)
+
+
+_short_bare, _short_folded = lru_cache(1 << 14)(_bare), lru_cache(1 << 14)(_folded)
+
+
+def bare_one(text: str) -> str:
+    """The text without compatibility forms and marks. Marks belong to what stands before them, and ASCII characters are bases,
+    so runs beyond ASCII are made plain by themselves."""
+    return text if text.isascii() else _BEYOND_ASCII.sub(lambda m: _short_bare(m[0]) if len(m[0]) <= _SHORT else _bare(m[0]), text)
 
 
 def fold_one(text: str) -> str:
-    text = _INVISIBLE.sub("", text)
-    if text.isascii():
-        return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn").translate(_LOOKS)
+    """The text without invisible characters, compatibility forms and marks; look-alikes of Latin letters made Latin."""
+    return text if text.isascii() else _BEYOND_ASCII.sub(lambda m: _short_folded(m[0]) if len(m[0]) <= _SHORT else _folded(m[0]), text)
 
 
 def refang_one(text: str) -> str:
     """Invisible characters out, references decoded, compatibility forms, marks and slashes made plain; hxxp stays."""
-    text = html.unescape(_INVISIBLE.sub("", text))
-    if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) != "Mn")
-    return re.sub(r"\\+/", "/", text)
+    text = text if text.isascii() else _INVISIBLE.sub("", text)
+    return re.sub(r"\\+/", "/", bare_one(html.unescape(text) if "&" in text else text))
 
 
 #: What ASCII text never needs: only texts with other characters go through Python.

@@ -12,15 +12,16 @@ import re
 import zlib
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass.functions import values as V
-from mailglass.functions.folding import NOT_ASCII, by_batch, fold_each, fold_lower, fold_text, unescape, unescape_each
+from mailglass.functions.folding import by_batch, fold_each, unescape_each
+from mailglass.functions.rules import quoted
 from mailglass.functions.text import double_extension, invisible_obfuscation, leet, longest_run, lookalike, random_filename, same_owner, site, terms, under_any, upper_ratio
 from mailglass.operators import attachments as A
 from mailglass.operators.mail_indicators import every, header, link_host
+from mailglass.operators.mail_texts import hits_of, otp_notice, read_texts, with_brand_hits  # noqa: F401
 from mailglass.rulebook import Rulebook
 
 #: How HTML hides text, and elements with a style.
@@ -28,16 +29,15 @@ HIDING = r"(?:display\s*:\s*none|visibility\s*:\s*hidden|(?:max-)?height\s*:\s*0
 #: A hidden element (its inside is group 2), else any other styled element as it stands (group 3), from left to right.
 STYLED_ELEMENT = rf"""(?is)<([a-z][a-z0-9]*)\b[^>]*?style\s*=\s*["'](?=[^"']*?{HIDING})[^"']*["'][^>]*?>(.*?)</\1\s*>|(<([a-z][a-z0-9]*)\b[^>]*?style\s*=\s*["'][^"']*["'][^>]*?>.*?</\4\s*>)"""
 TAG, STYLE_BLOCK = r"<[^>]+>", r"(?is)<(?:style|script)\b[^>]*>.*?</(?:style|script)>"
+#: Two noncharacters, which no text holds: hidden insides stand between them, and all of a page is read for them once. Only
+#: pages with a hiding style are searched for its elements.
+OPEN, SHUT = "\ufdd0", "\ufdd1"
+MARKED = f"""case when _html rlike {quoted("(?i)" + HIDING)} then regexp_replace(translate(_html, '{OPEN}{SHUT}', ''), {quoted(STYLED_ELEMENT)}, '{OPEN}$2{SHUT}$3') else _html end"""
+SHOWN = f"""regexp_replace(regexp_replace(regexp_replace(_marked, '(?s){OPEN}.*?{SHUT}', ''), {quoted(STYLE_BLOCK)}, ' '), '{TAG}', ' ')"""
 ASSET = r"""(?i)(?:src|background)\s*=\s*["']?([^"'\s>]+)|url\(\s*["']?([^"')\s]+)"""
 ANCHOR = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>"""
-#: Brands that mails often only refer to, the words of such references, and how far around they are sought.
-PLATFORMS = ("微信", "微信支付", "微博", "支付宝", "知乎", "抖音", "小红书", "朋友圈", "wechat", "weixin", "weibo", "alipay", "zhihu", "instagram", "facebook", "twitter", "linkedin", "youtube", "tiktok", "whatsapp")
-CUES = ("关注我们", "公众号", "微信号", "扫码", "二维码", "扫描", "订阅号", "服务号", "官方微博", "微博:", "微信:", "follow us", "find us on", "official account", "支付方式", "付款方式", "支付渠道", "payment method", "paid with")
-AROUND_BRAND, AROUND_CODE = 60, 80
-#: A code of 4 to 10 letters and digits; mail programs that write their own name; marks of a way to unsubscribe.
-CODE = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{4,10}(?![A-Za-z0-9]))[A-Za-z0-9]*\d[A-Za-z0-9]*"
+#: Mail programs that write their own name.
 PROGRAMS = tuple("outlook foxmail thunderbird apple gmail microsoft smtp esmtp qq 163 coremail alimail swiftmailer phpmailer postfix sendmail exim mailagent easymail iphone ipad netease aliyun mime mailer webmail exchange lotus kmail mutt pine claws sylpheed".split())
-UNSUBSCRIBE = ("unsubscribe", "退订", "取消订阅", "取消訂閱")
 
 
 def strip(c: Column) -> Column:
@@ -60,66 +60,7 @@ def one_of(c: Column, names: tuple[str, ...]) -> Column:
     return F.array_contains(terms(names), c) if names else F.lit(False)
 
 
-# --- brands and codes
-
-
-def brand_pattern(brand: str) -> str:
-    return rf"(?<![a-z0-9]){re.escape(brand)}(?![a-z0-9])" if brand.isascii() else re.escape(brand)
-
-
-def brand_stands(text: str, brand: str, shadows: tuple[str, ...]) -> bool:
-    """Whether a brand that occurs is meant: some place is no part of another word, and a platform is not only referred to."""
-    at = [m.span() for m in re.finditer(brand_pattern(brand), text, re.I)]
-    dark = [m.span() for s in shadows for m in re.finditer(re.escape(s), text)]
-    if shadows and all(any(a < end and start < b for a, b in dark) for start, end in at):
-        return False
-    near = lambda start, end: any(c in text[max(0, start - AROUND_BRAND) : end + AROUND_BRAND] for c in CUES)
-    return not (brand in PLATFORMS and all(near(*span) for span in at))
-
-
-def with_brand_hits(df: DataFrame, texts: dict[str, str], book: Rulebook) -> DataFrame:
-    """df with arrays of brands: for each new column, those that a folded text in lower case mentions, in the dictionary's
-    order; names of hosts among them are left out."""
-    brands = [b for b in dict.fromkeys(book.terms["brands"]) if "." not in b]
-    special = [b for b in brands if b in PLATFORMS or b in book.shadows]
-    shadows = dict(book.shadows)
-
-    def met(text: Column) -> Column:
-        as_word = lambda b: F.rlike(text, F.concat(F.lit(r"(?<![a-z0-9])\Q"), b, F.lit(r"\E(?![a-z0-9])")))
-        return F.filter(terms(brands), lambda b: F.contains(text, b) & (b.rlike(NOT_ASCII) | as_word(b)))
-
-    @F.pandas_udf("array<string>")
-    def standing(texts: pd.Series, asked: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [b for b in a if brand_stands(t, b, shadows.get(b, ()))] for t, a in zip(texts, asked, strict=True)], dtype=object)
-
-    x = df.withColumns({name: met(F.col(text)) for name, text in texts.items()})
-    if not special:
-        return x
-    asked = {name: F.array_intersect(F.col(name), terms(special)) for name in texts}
-    x = x.withColumns({f"_asked{name}": F.when(F.size(a) > 0, a) for name, a in asked.items()})
-    x = x.withColumns({f"_ok{name}": standing(F.when(F.col(f"_asked{name}").isNotNull(), F.col(text)), F.col(f"_asked{name}")) for name, text in texts.items()})
-
-    def kept(name: str) -> Column:
-        ok = F.coalesce(F.col(f"_ok{name}"), F.array().cast("array<string>"))
-        return F.filter(name, lambda b: ~one_of(b, tuple(special)) | F.array_contains(ok, b))
-
-    return x.withColumns({name: kept(name) for name in texts}).drop(*[f"{p}{name}" for name in texts for p in ("_asked", "_ok")])
-
-
-def otp_notice(text: Column, book: Rulebook) -> Column:
-    """The word of a notice that delivers a code: near the word stand a code and a clause on its use. Empty without one."""
-    words, clauses = book.terms["otp_keywords"], book.terms["otp_notice_clauses"]
-
-    def seek(t: str) -> str:
-        for w in words:
-            for m in re.finditer(re.escape(w), t):
-                near = t[max(0, m.start() - AROUND_CODE) : m.end() + AROUND_CODE]
-                if any(c in near for c in clauses) and re.search(CODE, near):
-                    return w
-        return ""
-
-    low = F.lower(text)
-    return F.coalesce(by_batch(seek)(F.when(any_of(low, words) & any_of(low, clauses) & low.rlike(r"\d"), low)), F.lit(""))
+# --- hosts and programs
 
 
 def is_brand_host(host: Column, book: Rulebook) -> Column:
@@ -252,12 +193,11 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
     x = x.withColumns({"_name": name, "_addr": addr})
     x = x.withColumn("_domain", F.when(F.contains("_addr", F.lit("@")), strip(F.regexp_replace(F.substring_index("_addr", "@", -1), "^>+|>+$", ""))).otherwise(""))
     # Texts, folded once.
-    x = x.withColumns({"_plain": unescape(F.col("_html")), "_visible": F.regexp_replace(F.regexp_replace(F.regexp_replace("_html", STYLED_ELEMENT, "$3"), STYLE_BLOCK, " "), TAG, " ")})
-    hidden = F.filter(F.transform(F.regexp_extract_all("_html", F.lit(STYLED_ELEMENT), F.lit(2)), lambda h: strip(F.regexp_replace(h, TAG, ""))), lambda h: h != "")
-    x = x.withColumn("_hidden", F.array_join(hidden, " "))
-    x = x.withColumns({f"_f{c}": fold_lower(F.col(c)) for c in ("_text", "_html", "_plain", "_visible", "_hidden", "_name", "_subject")} | {"_fold_domain": fold_text(F.col("_domain"))})
-    x = x.withColumns({"_body": F.concat_ws("\n", "_f_text", "_f_html", "_f_plain"), "_seen": F.concat_ws("\n", "_f_text", "_f_visible")})
-    x = with_brand_hits(x, {"_b_seen": "_seen", "_b_hidden": "_f_hidden", "_b_name": "_f_name"}, book).withColumn("_otp", otp_notice(F.col("_seen"), book))
+    shown, hidden = F.expr(SHOWN), F.array_join(F.filter(F.transform(F.regexp_extract_all("_marked", F.lit(f"(?s){OPEN}(.*?){SHUT}"), F.lit(1)), lambda h: strip(F.regexp_replace(h, TAG, ""))), lambda h: h != ""), " ")
+    x = x.withColumn("_marked", F.expr(MARKED)).withColumns({"_visible": shown, "_hidden": hidden})
+    given = {"text": "_text", "html": "_html", "visible": "_visible", "hidden": "_hidden", "subject": "_subject", "name": "_name", "domain": "_domain"}
+    x = x.withColumn("_read", read_texts({k: F.col(c) for k, c in given.items()} | {"senders": every("from")}, book))
+    x = x.withColumns({"_body": F.concat_ws("\n", "_read.text", "_read.html", "_read.plain"), "_seen": F.concat_ws("\n", "_read.text", "_read.visible"), "_fold_domain": F.col("_read.domain")})
     # Links: those that are not only pictures, by registrable domain.
     got = lambda i: F.regexp_extract_all("_html", F.lit(ASSET), F.lit(i))
     assets = F.filter(F.concat(got(1), got(2)), lambda a: a != "")
@@ -294,18 +234,18 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
     x = x.withColumn("_images", F.size(F.filter("attachment", lambda a: a["content_type"].startswith("image/") | a["real_type"].isin("jpeg", "png", "gif"))) + inline)
     reply = F.lower(F.coalesce(F.col("auth.reply_to_domain"), F.lit("")))
     mail = F.struct(
-        F.col("_f_subject").alias("subject"), F.col("_subject").alias("subject_raw"), letters(F.col("_subject")).alias("subject_letter_count"), upper_ratio(F.col("_subject")).alias("subject_upper_ratio"),
-        F.col("_body").alias("body"), F.col("_html").alias("raw_html"), F.concat_ws("\n", "_f_subject", "_body").alias("text"), F.col("_seen").alias("visible_text"), F.array_join("_b_seen", ",").alias("text_brand_hits"),
-        F.col("_otp").alias("otp_notice"), F.length(strip(F.col("_text"))).alias("body_text_length"), F.size("iocs.urls").alias("url_count"), F.size("attachment").alias("attachment_count"), F.col("_images").alias("image_count"),
+        F.col("_read.subject").alias("subject"), F.col("_subject").alias("subject_raw"), letters(F.col("_subject")).alias("subject_letter_count"), upper_ratio(F.col("_subject")).alias("subject_upper_ratio"),
+        F.col("_body").alias("body"), F.col("_html").alias("raw_html"), F.concat_ws("\n", "_read.subject", "_body").alias("text"), F.col("_seen").alias("visible_text"), F.array_join("_read.brands.seen", ",").alias("text_brand_hits"),
+        F.col("_read.code").alias("otp_notice"), F.length(strip(F.col("_text"))).alias("body_text_length"), F.size("iocs.urls").alias("url_count"), F.size("attachment").alias("attachment_count"), F.col("_images").alias("image_count"),
         ((F.col("_images") > 0) & (F.col("_images") == F.size("attachment") + inline)).alias("image_only_attachments"),
         ((smtp != "") & (party(F.col("_domain")) != "") & (party(smtp) != party(F.col("_domain")))).alias("smtp_mail_mismatch"), F.contains("_body", F.lit("file:///")).alias("html_file_uri"),
-        (header("list-unsubscribe") != "").alias("has_list_unsubscribe"), F.lower(strip(header("precedence"))).isin("bulk", "junk", "list").alias("precedence_bulk"), any_of(F.col("_body"), UNSUBSCRIBE).alias("has_unsubscribe_link"),
+        (header("list-unsubscribe") != "").alias("has_list_unsubscribe"), F.lower(strip(header("precedence"))).isin("bulk", "junk", "list").alias("precedence_bulk"), F.get("_read.hits", F.lit(0)).isNotNull().alias("has_unsubscribe_link"),
         F.coalesce(*esp, F.lit("")).alias("esp_domain"), junk_program(header("x-mailer")).alias("xmailer_junk"), F.size("iocs.domains").alias("domain_count"), F.size(bare).alias("brandless_domain_count"),
-        F.col("_hidden").alias("hidden_html_text"), F.length("_hidden").alias("hidden_html_text_len"), ((F.size("_b_hidden") > 0) & (F.size("_b_seen") == 0)).alias("hidden_html_brand_mismatch"),
+        F.col("_hidden").alias("hidden_html_text"), F.length("_hidden").alias("hidden_html_text_len"), ((F.size("_read.brands.hidden") > 0) & (F.size("_read.brands.seen") == 0)).alias("hidden_html_brand_mismatch"),
         split_base64(F.col("_html")).alias("html_comment_split_base64"), F.col("_links").alias("link_domains"), F.coalesce(F.concat(alike, F.lit(" ←→ "), own), F.lit("")).alias("link_domain_lookalike"),
         F.coalesce(F.concat(other, F.lit("（发件域 "), own, F.lit("）")), F.lit("")).alias("link_domain_mismatch"), F.coalesce(F.concat(hosted, F.lit("（"), site(hosted), F.lit("）")), F.lit("")).alias("user_content_link"),
         F.struct(
-            F.col("_f_name").alias("display_name"), F.col("_addr").alias("addr"), F.array_join("_b_name", ",").alias("display_brand"), F.col("_name").alias("display_name_raw"), letters(F.col("_name")).alias("display_letter_count"),
+            F.col("_read.name").alias("display_name"), F.col("_addr").alias("addr"), F.array_join("_read.brands.name", ",").alias("display_brand"), F.col("_name").alias("display_name_raw"), letters(F.col("_name")).alias("display_letter_count"),
             upper_ratio(F.col("_name")).alias("display_upper_ratio"), F.size(F.filter(F.split("_name", r"(?U)\s+"), lambda w: w != "")).alias("display_word_count"), F.col("_domain").alias("domain"), own.alias("domain_reg"),
             is_brand_host(F.col("_fold_domain"), book).alias("domain_is_brand"), is_freemail(F.col("_fold_domain"), book).alias("is_freemail"), F.substring_index("_addr", "@", 1).alias("localpart"), leet(F.col("_domain")).alias("domain_leet"),
             every("from").alias("raw"),
@@ -321,9 +261,10 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
         F.when(F.contains("_name", F.lit("@")) & (F.col("_domain") != "") & F.forall(shown, lambda d: d != F.col("_domain")), F.col("_domain")).alias("from_display_email_mismatch"),
         F.col("_anchor").alias("anchor_text_mismatch"),
         F.transform(F.filter("attachment", lambda a: (a["size"] > 0) & random_filename(a["stem"])), lambda a: a["filename"]).alias("att_random_name"),
-        fold_lower(F.col("_html")).alias("folded_html"),
-        F.struct(fold_lower(every("from")).alias("raw"), F.lower(F.col("_fold_domain")).alias("domain")).alias("folded_from"),
+        F.col("_read.html").alias("folded_html"),
+        F.struct(F.col("_read.senders").alias("raw"), F.lower(F.col("_fold_domain")).alias("domain")).alias("folded_from"),
         F.transform("_urls", F.lower).alias("folded_urls"),
+        F.col("_read.hits").alias(hits_of(book)),
     )
     domains = F.transform(F.col("iocs.domains"), lambda d: F.struct(d.alias("domain")))
     return x.select(*kept, mail.alias("mail"), url_items(F.col("iocs.urls")).alias("url"), domains.alias("domain"), "attachment", found.alias("found"))

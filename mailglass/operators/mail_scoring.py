@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailglass.functions import values as V
-from mailglass.functions.rules import Rule, Spec, holds, reason
+from mailglass.functions.rules import Rule, Spec, holds_sql, quoted, reason_sql
 from mailglass.functions.text import auth_points, verdict
 from mailglass.operators.mail_features import with_features
 from mailglass.operators.mail_indicators import ioc_count, with_authentication, with_indicators
+from mailglass.operators.mail_texts import Seek, hits_of, seek_of
 from mailglass.rulebook import Rulebook
 
 SIGNAL = "array<struct<id:string,points:double,reason:string>>"
-NONE = F.array
 #: What names an item of a scope in a reason where no condition shows a value.
 NAMES = {"url": "url", "attachment": "filename", "domain": "domain", "mail": None}
 #: Mail fields whose text is folded already.
@@ -43,101 +43,104 @@ def _typed(s: Spec, schema: T.StructType) -> Spec:
     return Spec(s.field, s.operator, s.values, s.case_sensitive, _typed(s.exclude, schema) if s.exclude else None, _kind(schema, s.field) or "string")
 
 
-def _reader(item: Column, schema: T.StructType):
-    def get(path: str) -> Column | None:
-        if _kind(schema, path) is None:
-            return None
-        return reduce(lambda c, name: c[name], path.split("."), item)
+def _path(item: str, path: str) -> str:
+    return ".".join([item, *(f"`{name}`" for name in path.split("."))])
+
 
-    return get
+def _reader(item: str, schema: T.StructType):
+    return lambda path: _path(item, path) if _kind(schema, path) else None
 
 
 def _shown(get, schema: T.StructType):
     """Fields as reasons show them: lists in brackets."""
 
-    def show(path: str) -> Column | None:
+    def show(path: str) -> str | None:
         c = get(path)
-        if c is not None and _kind(schema, path) == "array":
-            return F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: F.concat(F.lit("'"), v, F.lit("'"))), ", "), F.lit("]"))
-        return c
+        return f"concat('[', array_join(transform({c}, v -> concat('\\'', v, '\\'')), ', '), ']')" if c and _kind(schema, path) == "array" else c
 
     return show
 
 
-def _signal(rule: Rule, points: Column, text: Column) -> Column:
-    return F.struct(F.lit(rule.id).alias("id"), points.cast("double").alias("points"), text.alias("reason"))
+def _signal(rule: Rule, points: str, text: str) -> str:
+    return f"named_struct('id', {quoted(rule.id)}, 'points', cast({points} as double), 'reason', {text})"
 
 
-def _declared(rule: Rule, mails: DataFrame, book: Rulebook) -> Column:
-    """The signal of a rule of conditions, null where it does not hold. Of several items the first that fits counts."""
-    kind = mails.schema[rule.scope].dataType
-    schema = kind if rule.scope == "mail" else kind.elementType
+def _declared(rule: Rule, schemas: dict[str, T.StructType], book: Rulebook, seek: Seek | None) -> str:
+    """The signal of a rule of conditions, null where it does not hold. Of several items the first that fits counts.
+
+    seek: of the automaton that has read the mail's texts; None if it read them for another book."""
+    schema = schemas[rule.scope]
     typed = Rule(rule.id, rule.points, tuple(_typed(s, schema) for s in rule.specs), rule.reason, rule.scope)
 
-    def judge(item: Column, folded) -> Column:
+    def judge(item: str, folded, slot=None) -> str:
         get = _reader(item, schema)
-        hit, value = holds(typed, get, book.terms, folded)
-        own = get(NAMES[rule.scope]) if NAMES[rule.scope] else F.lit("")
-        return F.when(hit, _signal(rule, F.lit(rule.points), reason(rule.reason, F.coalesce(value, own), _shown(get, schema))))
+        hit, value = holds_sql(typed, get, book.terms, folded, slot)
+        own = get(NAMES[rule.scope]) if NAMES[rule.scope] else "''"
+        return f"case when {hit} then {_signal(rule, str(rule.points), reason_sql(rule.reason, f'coalesce({value}, {own})' if value else own, _shown(get, schema)))} end"
 
     if rule.scope == "mail":
 
-        def folded(path: str) -> Column | None:
+        def folded(path: str) -> str | None:
             if path in FOLDED:
-                return F.col(f"mail.{path}")
-            return {"raw_html": F.col("found.folded_html"), "from.raw": F.col("found.folded_from.raw"), "from.domain": F.col("found.folded_from.domain")}.get(path)
+                return _path("mail", path)
+            return {"raw_html": "found.folded_html", "from.raw": "found.folded_from.raw", "from.domain": "found.folded_from.domain"}.get(path)
+
+        def slot(path: str, terms) -> str | None:
+            n = seek.slot(path, terms) if seek else None
+            return None if n is None else f"get(found.{hits_of(book)}, {n})"
 
-        return judge(F.col("mail"), folded)
+        return judge("mail", folded, slot)
     if rule.scope == "url":
-        items = F.arrays_zip(F.col("url").alias("item"), F.col("found.folded_urls").alias("low"))
-        judged = F.transform(items, lambda x: judge(x["item"], lambda path: x["low"] if path == "url" else None))
+        judged = f"transform(url, (x, i) -> {judge('x', lambda path: 'get(found.folded_urls, i)' if path == 'url' else None)})"
     else:
-        judged = F.transform(F.col(rule.scope), lambda x: judge(x, lambda path: None))
-    return F.get(F.filter(judged, lambda s: s.isNotNull()), F.lit(0))
+        judged = f"transform({rule.scope}, x -> {judge('x', lambda path: None)})"
+    return f"get(filter({judged}, s -> s is not null), 0)"
 
 
-def _detected(rule: Rule, mails: DataFrame) -> Column:
+def _detected(rule: Rule, schema: T.StructType) -> str:
     """Signals of a rule whose detector reads one mail alone."""
-    schema = mails.schema["mail"].dataType
-    show = _shown(_reader(F.col("mail"), schema), schema)
-    found = F.col(f"found.{rule.detector}")
-    make = lambda value: _signal(rule, F.lit(rule.points), reason(rule.reason, value, show))
+    show = _shown(_reader("mail", schema), schema)
+    found = f"found.{rule.detector}"
+    make = lambda value: _signal(rule, str(rule.points), reason_sql(rule.reason, value, show))
     if rule.detector == "att_random_name":
-        return F.transform(found, make)
+        return f"transform({found}, v -> {make('v')})"
     if rule.detector == "text_invisible_obfuscation":
-        return F.array(F.when(found, make(F.lit(""))))
-    return F.array(F.when(found.isNotNull(), make(found)))
+        return f"array(case when {found} then {make(quoted(''))} end)"
+    return f"array(case when {found} is not null then {make(found)} end)"
 
 
 def with_signals(mails: DataFrame, book: Rulebook) -> DataFrame:
     """mails (with features) with `signals`: id, points and reason of every rule that fires, in the rules' order."""
-    real = lambda a: F.filter(a, lambda s: s.isNotNull())
-    parts: list[Column] = []
-    singles: list[Column] = []
+    kinds = {scope: mails.schema[scope].dataType for scope in ("mail", "url", "domain", "attachment")}
+    schemas = {scope: k.elementType if isinstance(k, T.ArrayType) else k for scope, k in kinds.items()}
+    seek = seek_of(book) if hits_of(book) in mails.schema["found"].dataType.names else None
+    real = lambda parts: [f"filter({p}, s -> s is not null)" for p in parts]
+    all_of = lambda parts: f"cast(concat({', '.join(parts)}) as {SIGNAL})" if parts else f"cast(array() as {SIGNAL})"
+    parts: list[str] = []
+    singles: list[str] = []
     x = mails
 
     def settle() -> None:
         if singles:
-            parts.append(real(F.array(*singles)))
+            parts.extend(real([f"array({', '.join(singles)})"]))
             singles.clear()
 
     for rule in book.rules:
         if not rule.enabled:
             continue
         if rule.detector is None:
-            singles.append(_declared(rule, mails, book))
+            singles.append(_declared(rule, schemas, book, seek))
         elif rule.detector == "signal_stack":
             settle()
-            x = x.withColumn("_fired", F.concat(*parts) if parts else F.array().cast(SIGNAL))
-            n = F.size(F.filter("_fired", lambda s: ~s["id"].isin(*V.STACK_NOISE)))
-            points = reduce(lambda c, step: c.when(n >= step[0], F.lit(step[1])), V.STACK_TIERS, F.when(F.lit(False), F.lit(0)))
-            parts[:] = [F.col("_fired"), real(F.array(F.when(points.isNotNull(), _signal(rule, points, reason(rule.reason, n, lambda path: None)))))]
+            x = x.withColumn("_fired", F.expr(all_of(parts)))
+            n = f"size(filter(_fired, s -> not s.id in ({', '.join(map(quoted, V.STACK_NOISE))})))"
+            points = "case " + " ".join(f"when {n} >= {least} then {given}" for least, given in V.STACK_TIERS) + " end"
+            parts[:] = ["_fired", *real([f"array(case when {points} is not null then {_signal(rule, points, reason_sql(rule.reason, n, lambda path: None))} end)"])]
         else:
             settle()
-            parts.append(real(_detected(rule, mails)))
+            parts += real([_detected(rule, schemas["mail"])])
     settle()
-    x = x.withColumn("signals", (F.concat(*parts) if parts else F.array()).cast(SIGNAL))
-    return x.drop("_fired")
+    return x.withColumn("signals", F.expr(all_of(parts))).drop("_fired")
 
 
 def has_signal(ids: tuple[str, ...]) -> Column:

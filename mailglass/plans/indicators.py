@@ -31,7 +31,7 @@ REG = f"""CASE WHEN len(p) < 2 THEN array_to_string(p, '.') WHEN array_to_string
 
 def _rule(spark, folder, spec: R.Spec, name: str, col: str = "text"):
     docs = _docs(spark, folder, col)
-    hit, show = R.condition(spec, lambda f: F.col(f) if f == col else None)
+    hit, show = R.condition(spec, lambda f: f if f == col else None)
     return docs.select("doc_id", hit.alias(name), show.alias("shown"))
 
 
@@ -66,7 +66,7 @@ def rule_counts_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _counts(d: DataFrame) -> DataFrame:
-    get = lambda f: F.col(f)
+    get = lambda f: f
     many, _ = R.condition(R.Spec("text", "regex_count_gt", ("th[a-z]", 40)), get)
     often, _ = R.condition(R.Spec("text", "count_gt", ("the", 10)), get)
     return d.select("doc_id", many.alias("many"), often.alias("often"))
@@ -76,7 +76,7 @@ def _counts(d: DataFrame) -> DataFrame:
 lower(p_brand) IN ('brand#12', 'brand#23') AS equals_any, p_size > 20 AND NOT lower(p_brand) IN ('brand#12', 'brand#23') AS excluded FROM part""")
 def rule_numeric(spark: SparkSession, folder: str) -> DataFrame:
     """P04 P06-P10 P13 P14."""
-    get = lambda f: F.col(f)
+    get = lambda f: f
     brands = R.Spec("p_brand", "equals_any", ("Brand#12", "Brand#23"))
     specs = {
         "gt": R.Spec("p_size", "gt", (20,), kind="number"), "lt": R.Spec("p_size", "lt", (5,), kind="number"), "length_gt": R.Spec("p_name", "length_gt", (12,)),
@@ -94,7 +94,7 @@ def rule_suffix_any(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT o_orderkey AS mail_id, min(l_linenumber) AS first_item FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 40 AND l_discount < 0.05 GROUP BY 1""")
 def scope_any_first_item(spark: SparkSession, folder: str) -> DataFrame:
     """A rule fires once for a mail if all its conditions hold on one item; the first such item."""
-    get = lambda f: F.col(f)
+    get = lambda f: f
     hit, _ = R.holds(R.Rule("wide", 3, (R.Spec("l_quantity", "gt", (40,), kind="number"), R.Spec("l_discount", "lt", (0.05,), kind="number"))), get)
     items = table(spark, folder, "lineitem").filter(hit)
     return items.join(table(spark, folder, "orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy(F.col("l_orderkey").alias("mail_id")).agg(F.min("l_linenumber").alias("first_item"))
@@ -103,7 +103,7 @@ def scope_any_first_item(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT p_partkey, concat('large part ', p_name, ' of ', p_brand, ': ', CAST(p_size AS VARCHAR)) AS reason FROM part WHERE p_size > 45")
 def reason_render(spark: SparkSession, folder: str) -> DataFrame:
     """Signals of a rule set with their reasons filled in."""
-    get = lambda f: F.col(f) if f in ("p_name", "p_brand", "p_size") else None
+    get = lambda f: f if f in ("p_name", "p_brand", "p_size") else None
     rule = R.Rule("large", 5, (R.Spec("p_size", "gt", (45,), kind="number"),), "large part {p_name} of {p_brand}: {p_size}{missing}")
     s = table(spark, folder, "part").select("p_partkey", F.explode(R.signals([rule], get)).alias("s"))
     return s.select("p_partkey", F.col("s.reason").alias("reason"))
@@ -121,7 +121,7 @@ def registrable_domain(spark: SparkSession, folder: str) -> DataFrame:
 def url_features(spark: SparkSession, folder: str) -> DataFrame:
     """F13 and the URL rules."""
     h, u = F.col("host"), F.lower("url")
-    any_of = lambda names: R.condition(R.Spec("url", "contains_any", names), lambda f: F.col(f))[0]
+    any_of = lambda names: R.condition(R.Spec("url", "contains_any", names), lambda f: f)[0]
     return _hosts(spark, folder).select(
         "page_id", u.rlike(r"^[a-z]+://\d{1,3}(\.\d{1,3}){3}").alias("ip_literal"), u.contains("xn--").alias("punycode"), F.col("url").rlike("^[a-z]+://[^/]*@").alias("at_sign"),
         X.suffix_any(h, V.SUSPICIOUS_TLDS).alias("odd_tld"), X.suffix_any(h, V.SHORTENERS).alias("shortener"), (F.size(F.split(h, r"\.")) > 3).alias("many_subdomains"), any_of(("password", "wallet", "recover", "unlock")).alias("keywords"),

@@ -6,7 +6,7 @@ from mailglass.functions import text as X
 
 
 def get(name):
-    return F.col(f"`{name}`") if name in ("s", "n", "b", "a", "h") else None
+    return f"`{name}`" if name in ("s", "n", "b", "a", "h") else None
 
 
 @pytest.fixture(scope="module")
