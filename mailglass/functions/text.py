@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass.functions import values as V
@@ -17,6 +17,18 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 MD5, SHA256 = r"\b[0-9a-fA-F]{32}\b", r"\b[0-9a-fA-F]{64}\b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a column that a lambda reads would be put in its place and computed for every
+    element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a struct that is computed once a row, however many of its fields are read and wherever: what a generator gives is
+    not put in the place of its uses, as the expression of a plain column is."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def private_ip(ip: Column) -> Column:
     """Loopback, link-local, shared and private IPv4 ranges."""
     return ip.rlike(r"^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.|100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.)")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mailglass.functions import values as V
 from mailglass.functions.folding import by_batch, fold_each, unescape_each
 from mailglass.functions.rules import quoted
-from mailglass.functions.text import double_extension, invisible_obfuscation, leet, longest_run, lookalike, random_filename, same_owner, site, terms, under_any, upper_ratio
+from mailglass.functions.text import double_extension, invisible_obfuscation, leet, let, longest_run, lookalike, random_filename, same_owner, settled, site, terms, under_any, upper_ratio
 from mailglass.operators import attachments as A
 from mailglass.operators.mail_indicators import every, header, link_host
 from mailglass.operators.mail_texts import hits_of, otp_notice, read_texts, with_brand_hits  # noqa: F401
@@ -85,8 +85,9 @@ def split_base64(page: Column) -> Column:
     """Without comments the page has a longer run of base64 than with them."""
     dense = F.regexp_replace(page, r"(?U)\s+", "")
     run = r"[A-Za-z0-9+/=]{20,}"
-    joined = longest_run(F.regexp_replace(dense, r"(?s)<!--.*?-->", ""), run)
-    return F.contains(page, F.lit("<!--")) & (joined >= 40) & (joined > longest_run(dense, run))
+    joined = lambda d: longest_run(F.regexp_replace(d, r"(?s)<!--.*?-->", ""), run)
+    longer = let(dense, lambda d: let(joined(d), lambda j: (j >= 40) & (j > longest_run(d, run))))
+    return F.when(F.contains(page, F.lit("<!--")), longer).otherwise(F.lit(False))
 
 
 # --- links
@@ -126,13 +127,18 @@ def with_false_anchor(df: DataFrame, name: str, page: str, from_site: str, book:
     """
     hrefs, texts = (F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
     pairs = F.transform(F.arrays_zip(hrefs.alias("h"), texts.alias("t")), lambda a: F.struct(a["h"].alias("href"), shown_host(F.regexp_replace(a["t"], TAG, "")).alias("shown"), shown_host(a["h"]).alias("real")))
-    under = lambda p: (p["shown"] == p["real"]) | p["shown"].endswith(F.concat(F.lit("."), p["real"])) | p["real"].endswith(F.concat(F.lit("."), p["shown"]))
-    odd = F.filter(pairs, lambda p: (p["shown"] != "") & (p["real"] != "") & (site(p["shown"]) != site(p["real"])) & ~under(p) & ~one_of(site(p["real"]), book.terms["link_allowlist"]))
-    own = lambda p: (F.col(from_site) != "") & (site(p["shown"]) == F.col(from_site))
-    x = df.withColumn("_odd", odd)
-    x = x.withColumn("_carried", by_batch(lambda hs: [tracked(h) for h in hs], "array<string>")(F.when(F.exists("_odd", own), F.transform("_odd", lambda p: p["href"]))))
-    kept = F.filter("_odd", lambda p, i: ~(own(p) & F.coalesce(F.contains(F.get(F.col("_carried"), i), site(p["shown"])), F.lit(False))))
-    return x.withColumn(name, F.get(F.transform(kept, lambda p: F.concat(p["shown"], F.lit(" -> "), p["real"])), F.lit(0))).drop("_odd", "_carried")
+    both = F.transform(F.filter(pairs, lambda p: (p["shown"] != "") & (p["real"] != "") & (p["shown"] != p["real"])), lambda p: F.struct(p["href"].alias("href"), p["shown"].alias("shown"), p["real"].alias("real"), site(p["shown"]).alias("seen"), site(p["real"]).alias("leads")))
+    under = lambda p: p["shown"].endswith(F.concat(F.lit("."), p["real"])) | p["real"].endswith(F.concat(F.lit("."), p["shown"]))
+    odd = F.filter(both, lambda p: (p["seen"] != p["leads"]) & ~under(p) & ~one_of(p["leads"], book.terms["link_allowlist"]))
+    own = lambda p, me: (me != "") & (p["seen"] == me)
+    x = df.withColumn("_odd", let(F.struct(F.col(from_site).alias("me"), odd.alias("odd")), lambda g: F.struct(g["me"].alias("me"), g["odd"].alias("odd"), F.exists(g["odd"], lambda p: own(p, g["me"])).alias("own"))))
+    x = x.withColumn("_carried", by_batch(lambda hs: [tracked(h) for h in hs], "array<string>")(F.when(F.col("_odd.own"), F.transform("_odd.odd", lambda p: p["href"]))))
+
+    def first(g: Column) -> Column:
+        return first_of(g["odd"]["odd"], lambda p, i: ~(own(p, g["odd"]["me"]) & F.coalesce(F.contains(F.get(g["paths"], i), p["seen"]), F.lit(False))))
+
+    x = x.withColumn("_first", let(F.struct(F.col("_odd").alias("odd"), F.col("_carried").alias("paths")), first))
+    return x.withColumn(name, F.concat("_first.shown", F.lit(" -> "), "_first.real")).drop("_odd", "_carried", "_first")
 
 
 # --- the whole record
@@ -201,13 +207,28 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
     # Links: those that are not only pictures, by registrable domain.
     got = lambda i: F.regexp_extract_all("_html", F.lit(ASSET), F.lit(i))
     assets = F.filter(F.concat(got(1), got(2)), lambda a: a != "")
-    x = x.withColumns({"_raw_assets": unescape_each(assets), "_urls": fold_each(F.col("iocs.urls"))}).withColumn("_assets", F.transform("_raw_assets", plain_url))
-    x = x.withColumn("_click", F.filter(F.col("iocs.urls"), lambda u: ~F.array_contains("_assets", plain_url(u))))
-    x = x.withColumns({"_site": site(F.col("_fold_domain")), "_clicked": F.transform("_click", lambda u: site(link_host(u)))})
-    x = x.withColumn("_links", F.array_distinct(F.filter(F.transform(F.col("iocs.urls"), lambda u: site(link_host(u))), lambda s: (s != "") & F.array_contains("_clicked", s))))
+    x = x.withColumns({"_raw_assets": unescape_each(assets), "_urls": fold_each(F.col("iocs.urls")), "_site": site(F.col("_fold_domain"))})
     own = F.col("_site")
-    foreign = F.filter("_links", lambda s: (own != "") & (s != own) & ~one_of(s, t["link_allowlist"]))
-    x = with_false_anchor(x.withColumn("_foreign", foreign), "_anchor", "_html", "_site", book)
+
+    def of_urls(given: Column) -> Column:
+        hosts = F.transform(given["urls"], lambda u: F.struct(link_host(u).alias("host"), (~F.array_contains(given["pictures"], plain_url(u))).alias("click")))
+        return F.transform(hosts, lambda h: F.struct(h["host"].alias("host"), site(h["host"]).alias("site"), h["click"].alias("click")))
+
+    def of_links(u: Column) -> Column:
+        clicked = F.filter(u, lambda h: h["click"])
+        names = lambda a: F.transform(F.filter(a, lambda h: h["site"] != ""), lambda h: h["site"])
+        return F.struct(F.array_intersect(names(u), names(clicked)).alias("links"), F.transform(clicked, lambda h: F.struct(h["host"].alias("host"), h["site"].alias("site"))).alias("clicked"))
+
+    def of_sender(given: Column) -> Column:
+        me, links = given["me"], let(of_urls(given), of_links)
+        foreign = lambda l: F.filter(l["links"], lambda s: (me != "") & (s != me) & ~one_of(s, t["link_allowlist"]))
+        public = lambda l: first_of(l["clicked"], lambda h: (h["host"] != "") & one_of(h["site"], t["user_content_hosting"]) & (h["host"] != h["site"]) & (h["host"] != F.concat(F.lit("www."), h["site"])) & ~((me != "") & (h["site"] == me)))
+        other = lambda f: F.struct(first_of(f, lambda s: lookalike(s, me)).alias("alike"), first_of(f, lambda s: ~lookalike(s, me) & ~same_owner(s, me)).alias("other"))
+        return let(links, lambda l: F.struct(l["links"].alias("links"), let(foreign(l), other).alias("foreign"), public(l)["host"].alias("hosted")))
+
+    # Columns that Python makes must not stand in a lambda, so they are bound outside of all.
+    x = settled(x, "_link", let(F.struct(own.alias("me"), F.transform("_raw_assets", plain_url).alias("pictures"), F.col("iocs.urls").alias("urls")), of_sender))
+    x = with_false_anchor(x, "_anchor", "_html", "_site", book)
     in_list = lambda names: reduce(lambda a, b: a | b, (header(n) != "" for n in names))
     spared = F.lit(False)
     if exempt_lists in ("1", "true", "all"):
@@ -216,9 +237,7 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
         spared = in_list(("list-id", "list-post"))
     if exempt_freemail:
         spared = spared | one_of(own, t["freemail"])
-    alike = first_of(F.col("_foreign"), lambda s: lookalike(s, own))
-    other = F.when(~spared, first_of(F.col("_foreign"), lambda s: ~lookalike(s, own) & ~same_owner(s, own)))
-    hosted = first_of(F.transform("_click", link_host), lambda h: (h != "") & one_of(site(h), t["user_content_hosting"]) & (h != site(h)) & (h != F.concat(F.lit("www."), site(h))) & ~((own != "") & (site(h) == own)))
+    alike, other, hosted = F.col("_link.foreign.alike"), F.when(~spared, F.col("_link.foreign.other")), F.col("_link.hosted")
     back = F.lower(F.coalesce(F.col("auth.return_path_domain"), F.lit("")))
     senders = terms(t["esp_domains"])
     sent_by = lambda d: first_of(senders, lambda e: (d != "") & ((d == e) | d.endswith(F.concat(F.lit("."), e))))
@@ -242,7 +261,7 @@ def with_features(mails: DataFrame, book: Rulebook, exempt_lists: str = "0", exe
         (header("list-unsubscribe") != "").alias("has_list_unsubscribe"), F.lower(strip(header("precedence"))).isin("bulk", "junk", "list").alias("precedence_bulk"), F.get("_read.hits", F.lit(0)).isNotNull().alias("has_unsubscribe_link"),
         F.coalesce(*esp, F.lit("")).alias("esp_domain"), junk_program(header("x-mailer")).alias("xmailer_junk"), F.size("iocs.domains").alias("domain_count"), F.size(bare).alias("brandless_domain_count"),
         F.col("_hidden").alias("hidden_html_text"), F.length("_hidden").alias("hidden_html_text_len"), ((F.size("_read.brands.hidden") > 0) & (F.size("_read.brands.seen") == 0)).alias("hidden_html_brand_mismatch"),
-        split_base64(F.col("_html")).alias("html_comment_split_base64"), F.col("_links").alias("link_domains"), F.coalesce(F.concat(alike, F.lit(" ←→ "), own), F.lit("")).alias("link_domain_lookalike"),
+        split_base64(F.col("_html")).alias("html_comment_split_base64"), F.col("_link.links").alias("link_domains"), F.coalesce(F.concat(alike, F.lit(" ←→ "), own), F.lit("")).alias("link_domain_lookalike"),
         F.coalesce(F.concat(other, F.lit("（发件域 "), own, F.lit("）")), F.lit("")).alias("link_domain_mismatch"), F.coalesce(F.concat(hosted, F.lit("（"), site(hosted), F.lit("）")), F.lit("")).alias("user_content_link"),
         F.struct(
             F.col("_read.name").alias("display_name"), F.col("_addr").alias("addr"), F.array_join("_read.brands.name", ",").alias("display_brand"), F.col("_name").alias("display_name_raw"), letters(F.col("_name")).alias("display_letter_count"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailglass.functions.folding import refang
-from mailglass.functions.text import private_ip, site, under_any
+from mailglass.functions.text import let, private_ip, settled, site, under_any
 
 #: How URLs, links, addresses and numbers are found, and what is cut from their ends.
 URL = r"(?iU)\b(?:https?|ftp)://[^\s\"'<>{}\[\]|\\^`]+"
@@ -48,34 +48,52 @@ def link_host(url: Column) -> Column:
 def with_indicators(mails: DataFrame) -> DataFrame:
     """mails with a struct `iocs`: urls, domains, header_domains, sender_domains, ips, private_ips, hashes; order of first
     sight, nothing twice (URLs regardless of case). Null texts are empty. No shuffle."""
-    kept = mails.columns
-    scanned = ("body_text", "body_html")
-    x = mails.withColumns({f"_r_{c}": refang(F.coalesce(F.col(c), F.lit(""))) for c in scanned} | {f"_r_{h}": refang(every(h)) for h in ("from", "to", "cc", "reply-to", "return-path", "list-unsubscribe")})
-    cut_tail = lambda a: F.transform(a, lambda u: F.regexp_replace(u, TAIL, ""))
-    urls = [cut_tail(found(F.col(f"`_r_{c}`"), URL)) for c in scanned]
-    urls.append(F.filter(found(F.col("_r_body_html"), HREF, 1), lambda u: F.lower(u).rlike("^(http|ftp)")))
-    urls += [cut_tail(found(F.col(f"`_r_{h}`"), URL)) for h in ("reply-to", "return-path", "list-unsubscribe")]
-    x = x.withColumn("_all", F.transform(F.concat(*urls), lambda u: F.regexp_replace(u, "/+$", "")))
+    kept = [c for c in mails.columns if c != "iocs"]
+    heads = ("from", "to", "cc", "reply-to", "return-path", "list-unsubscribe")
+    given = F.struct(*[refang(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ("body_text", "body_html")], *[refang(every(h)).alias(h) for h in heads], F.transform("attachments", lambda a: a["sha256"]).alias("files"))
+    return settled(mails.select(*[F.col(f"`{c}`") for c in kept], given.alias("_given")), "iocs", let(F.col("_given"), _indicators)).drop("_given")
+
+
+def _indicators(g: Column) -> Column:
+    """The struct of indicators from refanged texts and headers; everything comes in by g, because a column that Python makes
+    must not stand in a lambda."""
+    texts = [g["body_text"], g["body_html"]]
+    none = F.array().cast("array<string>")
+    linked = lambda t: F.when(F.contains(t, F.lit("://")), F.transform(found(t, URL), lambda u: F.regexp_replace(u, TAIL, ""))).otherwise(none)
+    hrefs = F.filter(found(g["body_html"], HREF, 1), lambda u: F.lower(u).rlike("^(http|ftp)"))
+    every_url = F.transform(F.concat(*map(linked, texts), hrefs, *(linked(g[h]) for h in ("reply-to", "return-path", "list-unsubscribe"))), lambda u: F.regexp_replace(u, "/+$", ""))
     bare = lambda u: F.regexp_replace(F.regexp_replace(host_part(u), r"^[\[\]]+|[\[\]]+$", ""), r"^\.+|\.+$", "")
-    x = x.withColumn("_all", F.filter("_all", lambda u: F.contains(bare(u), F.lit(".")) & ~under_any(bare(u), STRUCTURAL)))
-    x = x.withColumn("_low", F.transform("_all", F.lower))
-    x = x.withColumn("_urls", F.filter("_all", lambda u, i: F.array_position("_low", F.lower(u)) == i + 1))
-    x = x.withColumn("_hosts", F.transform("_urls", lambda u: F.regexp_replace(host_part(u), r"^[._-]+|[._-]+$", "")))
+    outside = F.transform(F.filter(F.transform(every_url, lambda u: F.struct(u.alias("url"), bare(u).alias("host"))), lambda x: F.contains(x["host"], F.lit(".")) & ~under_any(x["host"], STRUCTURAL)), lambda x: x["url"])
     number = rf"^{IPV4[4:].replace(chr(92) + 'b', '')}$"
-    x = x.withColumn("_body", F.concat("_r_body_text", F.lit("\n"), "_r_body_html"))
-    x = x.withColumn("_ips", F.array_distinct(F.concat(F.filter("_hosts", lambda h: h.rlike(number)), found(F.col("_body"), IPV4))))
-    senders = [F.transform(found(F.col(f"`_r_{h}`"), ADDRESS_DOMAIN, 1), F.lower) for h in ("from", "to", "cc", "reply-to", "return-path")]
-    hashes = F.array_sort(F.array_distinct(F.transform(F.concat(found(F.col("_body"), SHA256), found(F.col("_body"), MD5)), F.lower)))
-    iocs = F.struct(
-        F.col("_urls").alias("urls"),
-        F.array_distinct(F.filter("_hosts", lambda h: F.contains(h, F.lit(".")) & ~h.rlike(number))).alias("domains"),
-        F.array_distinct(F.concat(*senders)).alias("header_domains"),
-        F.array_distinct(F.concat(senders[0], senders[3], senders[4])).alias("sender_domains"),
-        F.filter("_ips", lambda i: ~private_ip(i)).alias("ips"),
-        F.filter("_ips", private_ip).alias("private_ips"),
-        F.array_distinct(F.concat(hashes, F.transform("attachments", lambda a: a["sha256"]))).alias("hashes"),
-    )
-    return x.select(*[F.col(f"`{c}`") for c in kept if c != "iocs"], iocs.alias("iocs"))
+    addresses = F.concat(*(F.when(t.rlike(r"(?U)\d\.\d"), found(t, IPV4)).otherwise(none) for t in texts))
+    # All of the long ones of both texts before the short ones makes no difference, as they are sorted.
+    hashes = F.concat(*(F.when(t.rlike("[a-fA-F0-9]{32}"), F.concat(found(t, SHA256), found(t, MD5))).otherwise(none) for t in texts))
+    senders = [F.transform(found(g[h], ADDRESS_DOMAIN, 1), F.lower) for h in ("from", "to", "cc", "reply-to", "return-path")]
+    hosts = lambda u: F.transform(u, lambda x: F.regexp_replace(host_part(x), r"^[._-]+|[._-]+$", ""))
+
+    def lists(u: Column) -> Column:
+        ips = F.array_distinct(F.concat(F.filter(u["hosts"], lambda h: h.rlike(number)), addresses))
+        return let(
+            ips,
+            lambda i: F.struct(
+                u["urls"].alias("urls"),
+                F.array_distinct(F.filter(u["hosts"], lambda h: F.contains(h, F.lit(".")) & ~h.rlike(number))).alias("domains"),
+                F.array_distinct(F.concat(*senders)).alias("header_domains"),
+                F.array_distinct(F.concat(senders[0], senders[3], senders[4])).alias("sender_domains"),
+                F.filter(i, lambda v: ~private_ip(v)).alias("ips"),
+                F.filter(i, private_ip).alias("private_ips"),
+                F.array_distinct(F.concat(F.array_sort(F.array_distinct(F.transform(hashes, F.lower))), g["files"])).alias("hashes"),
+            ),
+        )
+
+    return let(let(first_spellings(outside), lambda u: F.struct(u.alias("urls"), hosts(u).alias("hosts"))), lists)
+
+
+def first_spellings(texts: Column) -> Column:
+    """Texts that differ in more than case, each as it stands first, in order of first sight."""
+    told = F.array_sort(F.transform(texts, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("text"))))
+    first = let(told, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["low"] != x["low"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text")))), lambda x: x["text"])
 
 
 def ioc_count(iocs: str = "iocs") -> Column:
