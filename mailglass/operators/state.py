@@ -40,26 +40,27 @@ def label_senders(mails: DataFrame, verdict: str, now: Column, days: int | None
 def history_of(mails: DataFrame, at: Column) -> DataFrame:
     """addr, domain, count, first_seen, last_seen, replied, link_domains of the senders of mails."""
     x = mails.select(F.col("mail.from.addr").alias("addr"), F.col("mail.from.domain_reg").alias("domain"), F.col("mail.link_domains").alias("_links"), at.alias("_at")).filter("addr != ''")
-    seen = x.groupBy("addr").agg(F.first("domain").alias("domain"), F.count("*").alias("count"), F.min("_at").alias("first_seen"), F.max("_at").alias("last_seen"), F.lit(False).alias("replied"))
+    seen = x.groupBy("addr").agg(F.max("domain").alias("domain"), F.count("*").alias("count"), F.min("_at").alias("first_seen"), F.max("_at").alias("last_seen"), F.lit(False).alias("replied"))
     links = x.select("addr", F.explode("_links").alias("d")).distinct().groupBy("addr").agg(F.sort_array(F.collect_list("d")).alias("link_domains"))
     return seen.join(links, "addr", "left").withColumn("link_domains", F.coalesce("link_domains", F.array().cast("array<string>")))
 
 
 def merge_history(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two histories as one. Link domains become pairs and meet distinct, so a busy sender is no single row of lists."""
+    """Two histories as one; who is known by an own letter only has no domain until a mail of theirs gives it. Link domains become pairs and meet distinct, so a busy sender is no single row of lists."""
     both = old.unionByName(new)
-    one = both.groupBy("addr").agg(F.first("domain").alias("domain"), F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.bool_or("replied").alias("replied"))
+    one = both.groupBy("addr").agg(F.max("domain").alias("domain"), F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.bool_or("replied").alias("replied"))
     links = both.select("addr", F.explode("link_domains").alias("d")).distinct().groupBy("addr").agg(F.sort_array(F.collect_list("d")).alias("link_domains"))
     return one.join(links, "addr", "left").withColumn("link_domains", F.coalesce("link_domains", F.array().cast("array<string>")))
 
 
-def mark_replied(history: DataFrame, sent: DataFrame, at: Column) -> DataFrame:
-    """history in which the addressees of own mails count as answered; strangers get a row with no mail of theirs."""
+def mark_replied(history: DataFrame, sent: DataFrame) -> DataFrame:
+    """history in which the addressees of own mails count as answered; strangers get a row with no domain, no dates and no mail
+    of theirs, so that a letter to them widens nobody's trust."""
     to = F.concat(*[F.coalesce(F.regexp_extract_all(F.lower(F.array_join(F.element_at("headers", F.lit(h)), " ")), F.lit(r"[\w.+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0)), F.array().cast("array<string>")) for h in ("to", "cc")])
     who = sent.select(F.explode(to).alias("addr")).distinct()
-    fresh = who.select("addr", F.substring_index("addr", "@", -1).alias("domain"), F.lit(0).cast("long").alias("count"), at.alias("first_seen"), at.alias("last_seen"), F.lit(True).alias("replied"), F.array().cast("array<string>").alias("link_domains"))
-    known = history.join(who.withColumn("_hit", F.lit(True)), "addr", "left").withColumn("replied", F.col("replied") | F.coalesce("_hit", F.lit(False))).drop("_hit")
-    return known.unionByName(fresh.join(history.select("addr"), "addr", "left_anti"))
+    when = F.lit(None).cast("timestamp")
+    fresh = who.select("addr", F.lit("").alias("domain"), F.lit(0).cast("long").alias("count"), when.alias("first_seen"), when.alias("last_seen"), F.lit(True).alias("replied"), F.array().cast("array<string>").alias("link_domains"))
+    return merge_history(history, fresh)
 
 
 def not_counted(files: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailglass.plans import content, features, indicators, mails, reports, scoring, state
+from mailglass.plans import content, features, indicators, mails, rebuild, reports, scoring, state
 from mailglass.plans.registry import QUERIES, Query
 
-_MODULES = (scoring, indicators, state, content, reports, features, mails)
+_MODULES = (scoring, indicators, state, content, reports, features, mails, rebuild)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
