@@ -96,15 +96,19 @@ def newest_by_uid(mails: DataFrame) -> DataFrame:
     return mails.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
+def alert_key() -> Column:
+    """Whom or what a report's alert is about: the sender's address, else the file."""
+    addr = F.lower(F.regexp_extract(F.coalesce("from", F.lit("")), r"[\w.+-]+@[\w.-]+", 0))
+    return F.when(addr != "", F.concat(F.lit("addr:"), addr)).otherwise(F.concat(F.lit("file:"), F.coalesce("filename", "report_id", F.lit("?"))))
+
+
 def alert_round(reports: DataFrame, state: DataFrame, now: Column, hours: int = 12, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a round of reports pushes: (alerts, summary, new state).
 
     Only MALICIOUS and SUSPICIOUS mails, none of a sender alerted in the last `hours`. The first `most` in order of reports
     are pushed, a summary counts the others; all of them are marked. state: key, last_at.
     """
-    addr = F.lower(F.regexp_extract(F.coalesce("from", F.lit("")), r"[\w.+-]+@[\w.-]+", 0))
-    key = F.when(addr != "", F.concat(F.lit("addr:"), addr)).otherwise(F.concat(F.lit("file:"), F.coalesce("filename", "report_id", F.lit("?"))))
-    x = reports.filter(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")).withColumn("key", key)
+    x = reports.filter(F.col("verdict").isin("MALICIOUS", "SUSPICIOUS")).withColumn("key", alert_key())
     recent = state.filter(F.col("last_at") > now - F.expr(f"INTERVAL {hours} HOUR")).select("key")
     x = x.join(recent, "key", "left_anti")
     first = x.orderBy("created_at", "report_id").limit(most)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mailglass import rulebook
 from mailglass.functions.text import site
-from mailglass.operators import mail_scoring, reports, state, trust
+from mailglass.operators import attribution, mail_scoring, reports, state, trust
 from mailglass.operators.mail_features import with_features
 from mailglass.operators.mail_indicators import every, ioc_count, link_host, with_authentication, with_indicators
 from mailglass.plans.registry import query, table
@@ -109,3 +109,27 @@ def mail_reports(spark: SparkSession, folder: str) -> DataFrame:
 def mail_lookups(spark: SparkSession, folder: str) -> DataFrame:
     """What would be asked of which service, trusted hosts left out."""
     return reports.lookups(with_indicators(mails(spark, folder)), trusted=("bit.ly",))
+
+
+def labelled(spark: SparkSession, folder: str) -> DataFrame:
+    """Scored mails with `bad`: a page whose document is labelled 0 stands for a bad mail; without a label it is neither."""
+    l = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
+    return analysed(spark, folder).join(l, "page_id")
+
+
+@query()
+def mail_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """What bad mails that were judged BENIGN lack."""
+    return attribution.miss_causes(labelled(spark, folder), "bad")
+
+
+@query()
+def mail_demotions(spark: SparkSession, folder: str) -> DataFrame:
+    """Authentication of demoted mails, and those among them that ask for credentials."""
+    return attribution.demotions(analysed(spark, folder))
+
+
+@query()
+def mail_leave_one_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of scored mails that were flagged wrongly, and how many each alone has flagged."""
+    return attribution.leave_one_out(labelled(spark, folder), "bad")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailglass.functions.dates import mail_date
-from mailglass.operators import rebuild
+from mailglass.functions.names import folder_decoded, folder_encoded, safe_file_name
+from mailglass.operators import domain_lists, rebuild
 from mailglass.plans import mails as M
 from mailglass.plans.indicators import REG
 from mailglass.plans.registry import query, table
@@ -71,3 +72,36 @@ def mail_dates(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce(*[F.when(i == k, F.concat(F.date_format(utc, form), F.lit(" " + zone))) for k, (form, (_, zone)) in enumerate(zip(forms, ZONED, strict=True))])
     broken = F.when(F.col("event_id") % 11 == 10, F.concat(F.lit("sometime in "), F.date_format("ts", "MMMM")))
     return table(spark, folder, "events").select("event_id", mail_date(F.coalesce(broken, text)).alias("sent"))
+
+
+@query(r"""WITH runs AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20-\x7E]+|[^\x20-\x7E]+') AS r FROM documents),
+coded AS (SELECT doc_id, text, array_to_string(list_transform(r, lambda x: CASE WHEN regexp_matches(x, '^[\x20-\x7E]') THEN replace(x, '&', '&-') ELSE '&' || replace(rtrim(base64(unhex(array_to_string(
+  list_transform(regexp_extract_all(x, '(?s).'), lambda c: CASE WHEN unicode(c) < 65536 THEN printf('%04X', unicode(c)) ELSE printf('%04X%04X', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END), ''))), '='), '/', ',') || '-' END), '') AS name FROM runs)
+SELECT doc_id, md5(name) AS encoded, md5(text) AS decoded, length(name) AS n FROM coded""")
+def folder_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as a folder's name, encoded and decoded again."""
+    x = table(spark, folder, "documents").select("doc_id", folder_encoded(F.col("text")).alias("name"))
+    return x.select("doc_id", F.md5("name").alias("encoded"), F.md5(folder_decoded(F.col("name"))).alias("decoded"), F.length("name").cast("long").alias("n"))
+
+
+@query(r"""WITH cut AS (SELECT doc_id, rtrim(substr(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\\/:*?"<>|\x00-\x1F\x7F]', '_', 'g'), '\s+', ' ', 'g'), '^[. ]+|[. ]+$', '', 'g'), 1, 80), '. ') AS name FROM documents)
+SELECT doc_id, CASE WHEN name = '' OR length(name) - length(replace(name, chr(65533), '')) > 0.3 * length(name) THEN 'mail_' || doc_id ELSE name END AS name FROM cut""")
+def safe_file_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as a file's name."""
+    return table(spark, folder, "documents").select("doc_id", safe_file_name(F.col("text"), F.concat(F.lit("mail_"), "doc_id")).alias("name"))
+
+
+#: Entries of a list from pages' hosts: as they are, with a wildcard, under a sub-domain, with dots and capitals, or broken.
+ENTRY = "CASE page_id % 5 WHEN 0 THEN host WHEN 1 THEN concat('*.', host) WHEN 2 THEN concat('mail.', host, '.') WHEN 3 THEN upper(concat('.', host)) ELSE concat('-', host) END"
+
+
+@query(f"""WITH hosts AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages), entries AS (SELECT lower(trim({ENTRY})) AS e FROM hosts),
+plain AS (SELECT DISTINCT regexp_extract(regexp_replace(e, '^\\.+|\\.+$', '', 'g'), '^(?:\\*\\.)?([a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?(?:\\.[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?)+)$', 1) AS host FROM entries),
+split AS (SELECT host, string_split(host, '.') AS p FROM plain WHERE host <> ''), named AS (SELECT host, p, {REG} AS domain FROM split),
+ups AS (SELECT host, i, array_to_string(p[i:], '.') AS parent FROM named, generate_series(2, 20) t(i) WHERE i <= len(p)),
+met AS (SELECT u.host, arg_min(u.parent, u.i) AS parent FROM ups u JOIN named n ON n.host = u.parent GROUP BY 1)
+SELECT n.host, n.domain, m.parent FROM named n LEFT JOIN met m USING (host)""")
+def domain_list(spark: SparkSession, folder: str) -> DataFrame:
+    """a list of hosts made plain, with the listed host that covers each."""
+    hosts = table(spark, folder, "pages").select("page_id", F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"))
+    return domain_lists.covered(domain_lists.normalised(hosts.select(F.expr(ENTRY).alias("entry"))))

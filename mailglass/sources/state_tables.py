@@ -21,6 +21,7 @@ SCHEMAS = {
     "notify_state": "key string, last_at timestamp",
     "reports": "report_id string, path string, score int, verdict string, category string, signals array<string>, ioc_count int, created_at timestamp",
     "intel_cache": "key string, value string, created_at timestamp, expires_at timestamp",
+    "events": "folder string, at timestamp, kind string, text string, round long",
     "mailbox_sync": "folder string, uidvalidity long, last_uid long, last_sync timestamp",
 }
 
