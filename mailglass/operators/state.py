@@ -10,8 +10,11 @@ from pyspark.sql.window import Window
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows take the place of those with the same keys (nulls equal nulls); of several new ones for a key, any one."""
-    return _without(table, rows, keys).unionByName(rows.dropDuplicates(keys), allowMissingColumns=True)
+    """rows take the place of those with the same keys (nulls equal nulls); of several new ones for a key, the one that is last
+    in the order of all its other columns as JSON."""
+    others = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.to_json(F.struct(*others))).alias("_row")).select(*keys, "_row.*") if others else rows.distinct()
+    return _without(table, rows, keys).unionByName(last, allowMissingColumns=True)
 
 
 def delete(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,8 +94,9 @@ def self_sent(mails: DataFrame, own: tuple[str, ...], sent_folders: tuple[str, .
 
 
 def newest_by_uid(mails: DataFrame) -> DataFrame:
-    """Mails (folder, uid, ...) each once: of several rows of one uid, that of the greatest uidvalidity."""
-    w = Window.partitionBy("folder", "uid").orderBy(F.desc("uidvalidity"))
+    """Mails (folder, uid, ...) each once: of several rows of one uid, that of the greatest uidvalidity, and of equal ones the
+    last in the order of all columns as JSON."""
+    w = Window.partitionBy("folder", "uid").orderBy(F.desc("uidvalidity"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in mails.columns])).desc())
     return mails.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 

@@ -12,18 +12,18 @@ from mailglass.operators import attachments as A
 from mailglass.plans.registry import query, table
 
 
-@query("SELECT doc_id, text AS folded FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@query("SELECT doc_id, regexp_full_match(text, '[\\x00-\\x7F]*') AS plain, CASE WHEN regexp_full_match(text, '[\\x00-\\x7F]*') THEN true END AS same FROM documents")
 def fold_ascii(spark: SparkSession, folder: str) -> DataFrame:
-    """F01 F02 on plain texts: folding leaves them alone."""
-    d = table(spark, folder, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return d.select("doc_id", folding.fold_text(F.col("text")).alias("folded"))
+    """Which texts are plain, and that folding leaves those alone."""
+    text = F.col("text")
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    return table(spark, folder, "documents").select("doc_id", plain.alias("plain"), F.when(plain, folding.fold_text(text) == text).alias("same"))
 
 
-@query("SELECT doc_id, strip_accents(text) AS folded FROM documents WHERE lang IN ('fr', 'es')")
+@query("SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def fold_marks(spark: SparkSession, folder: str) -> DataFrame:
     """Letters without their marks."""
-    d = table(spark, folder, "documents").filter("lang in ('fr', 'es')")
-    return d.select("doc_id", folding.fold_text(F.col("text")).alias("folded"))
+    return table(spark, folder, "documents").select("doc_id", folding.fold_text(F.col("text")).alias("folded"))
 
 
 @query()

@@ -13,7 +13,7 @@ from mailglass.functions.text import site
 from mailglass.operators import attribution, mail_scoring, reports, state, trust
 from mailglass.operators.mail_features import with_features
 from mailglass.operators.mail_indicators import every, ioc_count, link_host, with_authentication, with_indicators
-from mailglass.plans.registry import query, table
+from mailglass.plans.registry import query, spread, table
 from mailglass.rulebook import Rulebook
 
 #: Headers by the page's number, the same in both engines.
@@ -30,7 +30,7 @@ def book() -> Rulebook:
 
 def mails(spark: SparkSession, folder: str) -> DataFrame:
     """The tables' pages and documents as rows of sources.mail."""
-    p = table(spark, folder, "pages").select("page_id", "url", "html")
+    p = spread(table(spark, folder, "pages").select("page_id", "url", "html"))
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), "text", "source")
     x = p.join(d, "page_id", "left").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
     some = lambda sql: F.filter(F.array(F.expr(sql)), lambda v: v.isNotNull() & (v != ""))

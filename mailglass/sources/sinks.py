@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailglass.operators.state import upsert  # noqa: F401
+
 
 def write_reports(reports: DataFrame, path: str) -> None:
     """A JSON document a row, by verdict; the index is the same table."""
@@ -25,8 +27,3 @@ def alert_payload(verdict: Column, title: Column, observables: Column) -> Column
     """The JSON of an alert; severity 4, 3, 2, 1 for malicious, suspicious, benign, spam."""
     severity = F.when(verdict == "MALICIOUS", 4).when(verdict == "SUSPICIOUS", 3).when(verdict == "SPAM", 1).otherwise(2)
     return F.to_json(F.struct(F.lit("mail-triage").alias("type"), title.alias("title"), severity.alias("severity"), observables.alias("observables")))
-
-
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with the rows of new put in by key; new wins. Keys are unique on either side."""
-    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

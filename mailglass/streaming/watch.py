@@ -16,9 +16,10 @@ MESSAGES = "path string, modificationTime timestamp, length long, content binary
 
 
 def mail_stream(spark: SparkSession, folder: str, per_round: int = 200, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """New .eml files as mails, at most per_round of them in a micro-batch."""
+    """New .eml files as mails, at most per_round of them in a micro-batch. Of larger ones than max_bytes path and size stay."""
     files = spark.readStream.format("binaryFile").schema(MESSAGES).option("pathGlobFilter", "*.eml").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_round).load(folder)
-    return parse_mails(files.filter(F.col("length") <= max_bytes))
+    large = files.filter(F.col("length") > max_bytes).select("path", F.col("length").alias("raw_size"))
+    return parse_mails(files.filter(F.col("length") <= max_bytes)).unionByName(large, allowMissingColumns=True)
 
 
 def run_watch(mails: DataFrame, on_round: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None) -> StreamingQuery:
