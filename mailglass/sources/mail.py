@@ -22,8 +22,9 @@ MAX_PART, MAX_PARTS = 5 << 20, 20 << 20
 #: Names that mails give to character sets, and what they mean by them.
 CHARSETS = {"gb2312": "gb18030", "gbk": "gb18030", "gb_2312-80": "gb18030", "ks_c_5601-1987": "cp949", "hz-gb-2312": "hz"}
 
-MAIL = """path string, mail_id string, raw_size long, headers map<string, array<string>>, auth_results array<string>, body_text string, body_html string,
-attachments array<struct<idx int, filename string, content_type string, size long, sha256 string, md5 string, extension string, content binary>>, inline_images int"""
+FILES = "array<struct<idx int, filename string, content_type string, size long, sha256 string, md5 string, extension string, content binary>>"
+MAIL = f"""path string, mail_id string, raw_size long, headers map<string, array<string>>, auth_results array<string>, body_text string, body_html string,
+attachments {FILES}, inline_images int"""
 
 
 def readable(text: str) -> float:
