@@ -79,7 +79,7 @@ def rebuild_history(tables: StateTables, key: str, files: DataFrame, own: tuple[
     if more:
         history, counted = merge_history(tables.read("sender_history", base), history), ledger.unionByName(counted)
     tables.commit({"sender_history": history, "trust_files": counted, "trust_state": others.unionByName(state)}, base)
-    tables._fs.delete(tables._path(work[len(tables.root) + 1 :]), True)
+    tables.remove(work)
     return {"files": n, **counts, "skipped": False}
 
 

@@ -21,6 +21,7 @@ SCHEMAS = {
     "notify_state": "key string, last_at timestamp",
     "reports": "report_id string, path string, score int, verdict string, category string, signals array<string>, ioc_count int, created_at timestamp",
     "intel_cache": "key string, value string, created_at timestamp, expires_at timestamp",
+    "report_index": "report_id string, filename string, verdict string, score int, created_at timestamp, ioc_count int, report_path string, page_path string",
     "events": "folder string, at timestamp, kind string, text string, round long",
     "mailbox_sync": "folder string, uidvalidity long, last_uid long, last_sync timestamp",
 }
@@ -94,6 +95,14 @@ class StateTables:
             raise
         return manifest["version"]
 
+    def remove(self, path: str) -> None:
+        """Delete a folder of intermediate rows."""
+        self._fs.delete(self._hadoop.Path(path), True)
+
+    def exists(self, path: str) -> bool:
+        at = self._hadoop.Path(path)
+        return at.getFileSystem(self._conf).exists(at)
+
     def clear(self, *names: str) -> dict[str, int]:
         """Empty tables in one commit; returns how many rows each had."""
         had = {n: self.read(n).count() for n in names}
@@ -117,6 +126,6 @@ class StateTables:
 
 
 def purge_analysis(tables: StateTables, with_intel: bool = False) -> dict[str, int]:
-    """Forget what was analysed (reports, alert marks and, if asked, stored look-ups), together; repeating it changes nothing.
+    """Forget what was analysed (reports and their index, alert marks and, if asked, stored look-ups), together; repeating it changes nothing.
     History, human verdicts and the mailbox cursor stay."""
-    return tables.clear("reports", "notify_state", *(("intel_cache",) if with_intel else ()))
+    return tables.clear("reports", "report_index", "notify_state", *(("intel_cache",) if with_intel else ()))

@@ -97,8 +97,8 @@ def test_tables_are_cleared_together(spark, tmp_path):
     mark = spark.createDataFrame([("a",)], "key string").withColumn("last_at", now())
     intel = spark.createDataFrame([("k", "{}")], "key string, value string").withColumns({"created_at": now(), "expires_at": now()})
     t.commit({"notify_state": mark, "intel_cache": intel})
-    assert purge_analysis(t) == {"reports": 0, "notify_state": 1} and t.read("intel_cache").count() == 1
-    assert purge_analysis(t, with_intel=True) == {"reports": 0, "notify_state": 0, "intel_cache": 1}
+    assert purge_analysis(t) == {"reports": 0, "report_index": 0, "notify_state": 1} and t.read("intel_cache").count() == 1
+    assert purge_analysis(t, with_intel=True) == {"reports": 0, "report_index": 0, "notify_state": 0, "intel_cache": 1}
     assert t.manifest()["version"] == 3 and t.read("intel_cache").count() == 0
 
 
