@@ -31,8 +31,11 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 LOOSE = frozenset("p li dt dd td th tr option".split())
 #: Words that mark what is not the article, in a class, id or role whose other parts only say where it is or what shape it has.
 MARK = r"(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|side-?bar|widgets?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend(?:ed|ations)?|comments?|commentlist|replies|disqus|respond|pagination|pager|skip|toolbar|complementary|contentinfo|(?:site|page|top)[_-]?header)"
+#: Where such an element is or whose it is; what shape it has.
+WHERE = r"(?:site|page|top|bottom|left|right|main|primary|secondary|global|post|article|entry|user|users|reader|readers|visitor|guest|inline|sticky|floating|fixed|mobile|desktop|google|facebook|fb|wp|js|block|module|component|widget|mid|in)"
+SHAPE = r"(?:inline|body|thread|tree|module|panel|overlay|layer|native|sticky|floating|fixed|mobile|desktop|responsive|placeholder|label|zone|region|row|col|column|count|holder|frame|space|spot|strip|card|teaser|hero|leaderboard|rectangle|skyscraper|mpu|prompt|cta|header|meta|main|v\d+)"
 MARKS = re.compile(
-    rf"(?:^|\s)(?:(?:site|page|top|bottom|left|right|main|primary|secondary|global|post|article|entry)[_-]+)*{MARK}(?:[_-]+(?:{MARK}|\d+|wrap(?:per)?|container|box|block|list|area|section|inner|outer|top|bottom|left|right|links?|items?|icons?|buttons?|form|bar|title|content|posts?|articles?|stories|text|unit|slot|to))*(?:$|\s)",
+    rf"(?:^|\s)(?:{WHERE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|\d+|wrap(?:per)?|container|box|block|list|area|section|inner|outer|top|bottom|left|right|links?|items?|icons?|buttons?|form|bar|title|content|posts?|articles?|stories|text|unit|slot|to|{SHAPE}))*(?:$|\s)",
     re.I,
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -77,18 +80,27 @@ def holders(tokens: list[re.Match]) -> set[int]:
     return found | {at for opened in stacks.values() for at, before in opened if seen > before}
 
 
-def is_dropped(tag: str, attrs: str, inside: bool, holds: bool) -> bool:
+#: A reader's comment, which pages often mark up as an article inside the article.
+COMMENT = re.compile(r"(?:^|\s)(?:div[_-]+)?(?:user[_-]+|reader[_-]+)?(?:comment|reply)(?:[_-]+(?:body|item|content|entry|text|\d+))*(?:$|\s)", re.I)
+
+
+def is_dropped(tag: str, attrs: str, inside: bool, holds: bool, in_article: bool) -> bool:
+    """inside: of an article or main element; holds: the element holds such a one, and so is no part to drop unless it stands in
+    an article itself, as a list of comments does."""
     if tag in DROPPED and tag not in ("figure",):
         return True
     if tag == "header" and not inside:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body", "main"):
         return False
+    named = " ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs))
+    if tag == "article":
+        return in_article and bool(COMMENT.search(named))
     if _HIDDEN.search(attrs):
         return True
-    if tag not in BLOCKS or holds or (inside and tag in HEADINGS):  # an element inside a line is part of its sentence
+    if tag not in BLOCKS or (holds and not in_article) or (inside and tag in HEADINGS):  # an element inside a line is part of its sentence
         return False
-    return bool(MARKS.search(" ".join(next(filter(None, m), "") for m in _NAMED.findall(attrs))))
+    return bool(MARKS.search(named) or (in_article and COMMENT.search(named)))
 
 
 def lines_of(page: str) -> list[Line]:
@@ -136,7 +148,10 @@ def lines_of(page: str) -> list[Line]:
             if tag == "article":
                 number += not close and not article
                 article = max(0, article + (-1 if close else 1))
-        if not close and tag not in VOID and not attrs.endswith("/") and is_dropped(tag, attrs, inside > 0, m.start() in holding):
+        # An article counts as inside of itself by now.
+        if not close and tag not in VOID and not attrs.endswith("/") and is_dropped(tag, attrs, inside > 0, m.start() in holding, article > (tag == "article")):
+            if tag == "article":
+                article, inside = article - 1, inside - 1
             flush()
             if lines and lines[-1].text:  # several dropped elements in a row are one gap
                 lines.append(Line("", 0, inside > 0, number if article else 0))

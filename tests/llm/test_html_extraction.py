@@ -84,6 +84,14 @@ WHOLE = " ".join(f"{PROSE}{i}" for i in range(6))
         (f"<div class='story'>{STORY}</div><article><h3>Another story.</h3></article>", WHOLE),
         (f"<article>{STORY}</article><article class='card'><p>Read another story soon.</p></article>", WHOLE),
         (f"<article>{STORY}</article><section id='comments'><p>{PROSE}</p></section>", WHOLE),
+        (f"<article>{STORY}<div id='comments'><ol><li><article class='comment-body'><p>{PROSE}</p></article></li></ol></div></article>", WHOLE),
+        (f"<article>{STORY}<article id='div-comment-5' class='comment-body'><p>{PROSE}</p></article></article>", WHOLE),
+        (f"<article>{STORY}<article class='comment-free'><p>An inner part.</p></article></article>", WHOLE + " An inner part."),
+        (f"<main>{STORY}<section class='user-comments'><p>{PROSE}</p></section></main>", WHOLE),
+        (f"<article>{STORY}<div class='ad-slot-inline'>Buy this.</div><div class='js-newsletter-signup'>Write to us.</div><p>The end.</p></article>", WHOLE + " The end."),
+        (f"<div class='sidebar'><article class='comment'>{STORY}</article></div>", WHOLE),
+        (f"<main><div class='in-depth'>{STORY}</div><div class='body-text'><p>More of it.</p></div></main>", WHOLE + " More of it."),
+        (f"<article>{STORY}<div class='comment'><p>{PROSE}</p></div><div class='reader-comment-3'><p>{PROSE}</p></div></article>", WHOLE),
         (f"<article>{STORY}</article><article><p>{PROSE * 3}</p></article>", WHOLE + " " + (PROSE * 3).strip()),
     ],
 )
