@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from mailglass.functions import values as V
 from mailglass.functions.rules import Rule, Spec, holds_sql, quoted, reason_sql
-from mailglass.functions.text import auth_points, verdict
+from mailglass.functions.text import auth_points, settled, verdict
 from mailglass.operators.mail_features import with_features
 from mailglass.operators.mail_indicators import ioc_count, with_authentication, with_indicators
 from mailglass.operators.mail_texts import Seek, hits_of, seek_of
@@ -140,7 +140,7 @@ def with_signals(mails: DataFrame, book: Rulebook) -> DataFrame:
             settle()
             parts += real([_detected(rule, schemas["mail"])])
     settle()
-    return x.withColumn("signals", F.expr(all_of(parts))).drop("_fired")
+    return settled(x, "signals", F.expr(all_of(parts))).drop("_fired")
 
 
 def has_signal(ids: tuple[str, ...]) -> Column:
@@ -213,7 +213,10 @@ def scored(mails: DataFrame, offline: bool = True, profile: str = "gateway") ->
     )
     x = x.withColumn("reasons", F.filter(lines, lambda t: t.isNotNull()))
     parts = F.struct(F.round("_intel", 1).alias("intel"), F.round("_auth", 1).alias("auth"), F.round("_heuristic", 1).alias("heuristic"), F.col("_raw").alias("raw_signals_points"), F.col("_local").alias("normalized"))
-    return x.withColumn("breakdown", parts).drop("_gone", "_hits", "_best", "_raw", "_auth", "_intel", "_heuristic", "_total", "_local", "_was", "_spam")
+    # Settled, so that a filter on the verdict is not pushed below all that the verdict follows from, and computed there again.
+    result = F.struct("score", "verdict", "category", "reasons", parts.alias("breakdown"))
+    kept = [c for c in x.columns if c not in ("score", "verdict", "category", "reasons", "breakdown") and (c in mails.columns or not c.startswith("_"))]
+    return settled(x.select(*[F.col(f"`{c}`") for c in kept], result.alias("_made")), "_result", F.col("_made")).select(*[F.col(f"`{c}`") for c in kept], "_result.*")
 
 
 def analysed(mails: DataFrame, book: Rulebook, offline: bool = True, profile: str = "gateway", **options) -> DataFrame:
