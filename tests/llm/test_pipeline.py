@@ -36,7 +36,7 @@ def test_entry_registers_everything():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == {str(i) for i in range(1, 11)}
+    assert "pipeline" in names and {re.match(r"op(\d+)_", n)[1] for n in names if re.match(r"op\d+_", n)} == {str(i) for i in range(1, 14)}
     assert set(e.oracle_sql()) <= names
 
 
