@@ -12,12 +12,15 @@ from mailglass.operators import attachments as A
 from mailglass.plans.registry import query, table
 
 
-@query("SELECT doc_id, regexp_full_match(text, '[\\x00-\\x7F]*') AS plain, CASE WHEN regexp_full_match(text, '[\\x00-\\x7F]*') THEN true END AS same FROM documents")
+_PLAIN = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+
+
+@query(f"SELECT doc_id, folded, plain, folded = text AS same FROM (SELECT doc_id, text, {_PLAIN} AS plain, CASE WHEN {_PLAIN} THEN text ELSE strip_accents(text) END AS folded FROM documents)")
 def fold_ascii(spark: SparkSession, folder: str) -> DataFrame:
-    """Which texts are plain, and that folding leaves those alone."""
+    """Every text folded, which texts are plain, and which folding leaves alone, as it does all plain ones."""
     text = F.col("text")
-    plain = ~text.rlike(r"[^\x00-\x7F]")
-    return table(spark, folder, "documents").select("doc_id", plain.alias("plain"), F.when(plain, folding.fold_text(text) == text).alias("same"))
+    x = table(spark, folder, "documents").select("doc_id", "text", folding.fold_text(text).alias("folded"))
+    return x.select("doc_id", "folded", (~text.rlike(folding.NOT_ASCII)).alias("plain"), (F.col("folded") == text).alias("same"))
 
 
 @query("SELECT doc_id, strip_accents(text) AS folded FROM documents")

@@ -28,6 +28,15 @@ def test_every_text_is_folded(spark, folder, texts):
     assert all(r.folded == r.unmasked == folded(texts[r.doc_id]) for r in rows)
 
 
+def test_plain_texts_are_folded_with_all_others(spark, folder, texts):
+    rows = catalog.queries()["fold_ascii"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        t = texts[r.doc_id]
+        assert (r.folded, r.plain, r.same) == (folded(t), t.isascii(), folded(t) == t)
+        assert r.same or not r.plain
+
+
 def test_every_password_candidate_is_found(spark, folder, texts):
     rows = catalog.queries()["archive_password_lists"](spark, folder).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
