@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailglass.functions import values as V
+from mailglass.functions.batches import by_arrow
 from mailglass.functions.text import ZERO_WIDTH
 
 _INVISIBLE = re.compile(ZERO_WIDTH)
@@ -55,9 +56,9 @@ NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def by_batch(one: Callable, kind: str = "string") -> Callable[[Column], Column]:
-    """`one` over Arrow batches, value by value; null stays null."""
+    """`one` over bounded Arrow batches, value by value; null stays null."""
 
-    @F.pandas_udf(kind)
+    @by_arrow(kind)
     def apply(values: pd.Series) -> pd.Series:
         return values.map(one, na_action="ignore")
 

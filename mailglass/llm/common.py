@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mailglass.functions.batches import bounded
+
 #: The characters that separate words in every contract here; bytes.split() uses exactly these.
 SPACE = r"\x20\x09-\x0D"
 #: Most bytes of text that a numpy step handles at once.
@@ -35,17 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-#: Most bytes of an Arrow batch between Spark and Python, and the setting that says so. Rows are whole texts, or packed
-#: numbers of a whole slice of texts, so a count of rows bounds nothing.
-BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches bounded by BATCH_BYTES."""
-    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df
-
-
 #: Paths that cut() has written inside each open scratch().
 _SCRATCH: list[list[str]] = []
 
