@@ -22,3 +22,9 @@ def test_folding_bounds_batches(spark):
     spark.conf.unset(BATCH_SETTING)
     folding.fold_text(F.col("text"))
     assert largest_batch(spark) <= BATCH_BYTES + (1 << 19)
+
+
+def test_restoring_bounds_batches(spark):
+    spark.conf.unset(BATCH_SETTING)
+    folding.refang(F.col("text"))
+    assert largest_batch(spark) <= BATCH_BYTES + (1 << 19)
