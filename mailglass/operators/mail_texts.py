@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailglass.functions.batches import by_arrow
 from mailglass.functions.folding import fold_one
 from mailglass.functions.rules import term_lists
 from mailglass.rulebook import Rulebook
@@ -171,7 +172,7 @@ def read_texts(given: dict[str, Column], book: Rulebook) -> Column:
     """FOUND for a mail's raw texts (of GIVEN; null: empty): its parts folded, in lower case, and what stands in them."""
     seek = seek_of(book)
 
-    @F.pandas_udf(FOUND)
+    @by_arrow(FOUND)
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder.of(seek)
         fold = lambda t: fold_one(t).lower()
@@ -191,7 +192,7 @@ def with_brand_hits(df: DataFrame, texts: dict[str, str], book: Rulebook) -> Dat
     order; names of hosts among them are left out."""
     seek = seek_of(book)
 
-    @F.pandas_udf("array<string>")
+    @by_arrow("array<string>")
     def brands(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder.of(seek)
         for batch in batches:
@@ -204,7 +205,7 @@ def otp_notice(text: Column, book: Rulebook) -> Column:
     """The word of a notice that delivers a code: near the word stand a code and a clause on its use. Empty without one."""
     seek = seek_of(book)
 
-    @F.pandas_udf("string")
+    @by_arrow("string")
     def notice(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder.of(seek)
         for batch in batches:

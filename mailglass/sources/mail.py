@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailglass.functions.batches import bounded
+
 #: Headers that are kept, in lower case; all received lines are kept in order.
 HEADERS = (
     "from", "to", "cc", "subject", "date", "message-id", "reply-to", "return-path", "sender", "x-mailer", "user-agent", "content-type", "list-unsubscribe", "list-id", "list-post", "precedence", "received-spf", "x-originating-ip",
@@ -107,7 +109,7 @@ def parse_mails(files: DataFrame) -> DataFrame:
                 rows.append({"path": path, "mail_id": hashlib.sha256(data).hexdigest()[:32], "raw_size": len(data), **parse_message(data)})
             yield pd.DataFrame(rows, columns=["path", "mail_id", "raw_size", "headers", "auth_results", "body_text", "body_html", "attachments", "inline_images"])
 
-    return files.select("path", "content").mapInPandas(run, MAIL)
+    return bounded(files.select("path", "content")).mapInPandas(run, MAIL)
 
 
 def read_mails(spark: SparkSession, folder: str, recursive: bool = True, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailglass.functions.batches import bounded
 from mailglass.functions.names import safe_file_name
 from mailglass.operators.reports import page
 from mailglass.operators.state import upsert
@@ -60,7 +61,7 @@ def write_report_files(tables: StateTables, reports: DataFrame, root: str) -> Da
 
     schema = rows.select(*kept).schema
     done = f"{tables.root}/work-{uuid.uuid4().hex}"
-    rows.mapInArrow(run, schema).write.parquet(done)
+    bounded(rows).mapInArrow(run, schema).write.parquet(done)
     index = upsert(tables.read("report_index", base), tables.spark.read.schema(schema).parquet(done), ["report_id"])
     tables.commit({"report_index": index}, base)
     tables.remove(done)

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from mailglass.functions import folding
 from mailglass.functions.batches import BATCH_BYTES, BATCH_SETTING
+from mailglass.operators import attachments, mail_texts
+from mailglass.plans.mails import book
+from mailglass.sources.mail import parse_mails
 
 
 def largest_batch(spark):
@@ -28,3 +31,16 @@ def test_restoring_bounds_batches(spark):
     spark.conf.unset(BATCH_SETTING)
     folding.refang(F.col("text"))
     assert largest_batch(spark) <= BATCH_BYTES + (1 << 19)
+
+
+def test_reading_mails_bounds_batches(spark):
+    passes = (
+        lambda: mail_texts.read_texts({p: F.col("text") for p in mail_texts.GIVEN}, book()),
+        lambda: mail_texts.otp_notice(F.col("text"), book()),
+        lambda: attachments.inspect_all(F.col("files"), F.col("words")),
+        lambda: parse_mails(spark.createDataFrame([], "path string, content binary")),
+    )
+    for make in passes:
+        spark.conf.unset(BATCH_SETTING)
+        make()
+        assert largest_batch(spark) <= BATCH_BYTES + (1 << 19)
