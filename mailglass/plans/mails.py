@@ -28,9 +28,12 @@ def book() -> Rulebook:
     return rulebook.builtin()
 
 
-def mails(spark: SparkSession, folder: str) -> DataFrame:
-    """The tables' pages and documents as rows of sources.mail."""
-    p = spread(table(spark, folder, "pages").select("page_id", "url", "html"))
+def mails(spark: SparkSession, folder: str, told: DataFrame | None = None) -> DataFrame:
+    """The tables' pages and documents as rows of sources.mail. told: columns by page_id that go with them; pages without a row
+    of it are none."""
+    p = table(spark, folder, "pages").select("page_id", "url", "html")
+    p = spread(p if told is None else p.join(told, "page_id"))
+    more = [] if told is None else [c for c in told.columns if c != "page_id"]
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("page_id"), "text", "source")
     x = p.join(d, "page_id", "left").withColumn("host", F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
     some = lambda sql: F.filter(F.array(F.expr(sql)), lambda v: v.isNotNull() & (v != ""))
@@ -42,7 +45,7 @@ def mails(spark: SparkSession, folder: str) -> DataFrame:
     file = F.struct(F.lit(0).alias("idx"), name.alias("filename"), kind.alias("content_type"), F.length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"), F.md5(content).alias("md5"), F.element_at(F.split(name, r"\."), -1).alias("extension"), content.alias("content"))
     files = F.filter(F.array(F.when(content.isNotNull(), file)), lambda f: f.isNotNull())
     path = F.concat(F.lit("/inbox/"), F.col("page_id").cast("string"), F.lit(".eml"))
-    return x.select("page_id", path.alias("path"), F.col("page_id").cast("string").alias("mail_id"), F.length("html").cast("long").alias("raw_size"), headers.alias("headers"), some(AUTH).alias("auth_results"), body.alias("body_text"), F.coalesce("html", F.lit("")).alias("body_html"), files.alias("attachments"), F.lit(0).alias("inline_images"))
+    return x.select("page_id", path.alias("path"), F.col("page_id").cast("string").alias("mail_id"), F.length("html").cast("long").alias("raw_size"), headers.alias("headers"), some(AUTH).alias("auth_results"), body.alias("body_text"), F.coalesce("html", F.lit("")).alias("body_html"), files.alias("attachments"), F.lit(0).alias("inline_images"), *more)
 
 
 HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host"
@@ -112,9 +115,10 @@ def mail_lookups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    """Scored mails with `bad`: a page whose document is labelled 0 stands for a bad mail; without a label it is neither."""
+    """Scored mails with `bad`: a page whose document is labelled 0 stands for a bad mail; without a label it is neither. Labels
+    are met before mails are scored, and what is asked of `bad` alone is asked there too."""
     l = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return analysed(spark, folder).join(l, "page_id")
+    return mail_scoring.analysed(mails(spark, folder, l), book())
 
 
 @query()

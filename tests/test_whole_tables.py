@@ -5,7 +5,7 @@ import unicodedata
 
 import pytest
 from mailglass.functions import values as V
-from mailglass.plans import catalog
+from mailglass.plans import catalog, mails
 
 
 @pytest.fixture(scope="module")
@@ -55,3 +55,12 @@ def test_every_language_is_counted(spark, folder, texts):
     for r in rows:
         t = texts[r.doc_id]
         assert (r.many, r.often) == (len(re.findall("th[a-z]", t, re.I)) > 40, t.lower().count("the") > 10)
+
+
+def test_labels_are_met_before_mails_are_scored(spark, folder):
+    x = mails.labelled(spark, folder)
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("ArrowEvalPython") < plan.index("Join Inner")
+    labels = {r.doc_id: r.quality == 0 for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    pages = {r.page_id for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    assert {r.page_id: r.bad for r in x.select("page_id", "bad").collect()} == {k: v for k, v in labels.items() if k in pages}
