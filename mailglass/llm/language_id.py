@@ -36,10 +36,28 @@ def letters(word: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in word.lower()).split())
 
 
-def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of the words' letters between blanks, as 64-bit keys, and where each word's begin. Words without a letter
-    have none."""
-    shapes = [letters(w.decode()) for w in words]
+class Letters(dict):
+    """For str.translate: letters and line breaks stay, all else is a blank; each character is looked at once."""
+
+    def __missing__(self, point: int) -> int:
+        self[point] = kept = point if point == 10 or chr(point).isalpha() else 32
+        return kept
+
+
+_LETTERS = Letters()
+
+
+def letters_of(words: list[bytes]) -> list[str]:
+    """letters() of words without white space, all in one go: a line break between keeps them apart, also where lower case
+    depends on a letter's neighbours."""
+    lines = b"\n".join(words).decode().lower().translate(_LETTERS).split("\n") if words else []
+    return [x if x.isalpha() else " ".join(x.split()) for x in lines]
+
+
+def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of the words' letters between blanks, as 64-bit keys, and the word of each, shorter n-grams first. Words without
+    a letter have none."""
+    shapes = letters_of(words)
     padded = [f" {x} " if x else "" for x in shapes]
     points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     word = np.repeat(np.arange(len(words)), [len(p) for p in padded])
@@ -57,10 +75,15 @@ def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         owners.append(word[:k][inside])
         keys.append(mix64(h[inside]))
     if not owners:
-        return np.zeros(0, np.uint64), np.zeros(len(words) + 1, np.int64)
-    owner = np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """grams_of(words) word by word, and where each word's begin."""
+    keys, owner = grams_of(words)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(keys)[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+    return keys[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -119,11 +142,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     names = list(table.words)
                     if not names:
                         continue
-                    keys, at = word_grams(names)
-                    times = np.repeat(np.bincount(ids, minlength=len(names)), np.diff(at))
-                    keys, inverse = np.unique(keys, return_inverse=True)
-                    n = np.bincount(inverse, times, len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=COUNTS.names)
+                    keys, owner = grams_of(names)
+                    times = np.bincount(ids, minlength=len(names))[owner]
+                    each = pa.table({"gram": keys.view(np.int64), "n": times}).group_by("gram", use_threads=False).aggregate([("n", "sum")])
+                    for part in each.to_batches():
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part.column("gram"), part.column("n_sum")], names=COUNTS.names)
 
     return bounded(docs).select("text", "lang").mapInArrow(run, COUNTS)
 

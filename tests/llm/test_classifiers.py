@@ -91,3 +91,8 @@ def test_no_n_gram_is_left_out(spark, monkeypatch):
     assert all(abs(a[4] - b[4]) < 0.05 for a, b in zip(got, whole, strict=True))
     parts = L.learn(df)
     assert parts.parts > 3 and sum(parts.grams.filter(F.shiftrightunsigned("gram", 33) % parts.parts == i).count() for i in range(parts.parts)) == learned.grams.count() == parts.grams.count()
+
+
+def test_letters_of_many_words_at_once():
+    words = ["Ab1c", "", "ΣΑΣ", "ΟΔΟΣ", "İx", "a²b", "--", "naïve,", "x\u0301y", "Ⅷth", "\u00a0q"]
+    assert L.letters_of([w.encode() for w in words]) == [L.letters(w) for w in words] and L.letters_of([]) == []
