@@ -96,10 +96,10 @@ def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def append_columns(df: DataFrame, text_col: str, work: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, work: Callable[[list[str]], list[pa.Array]], fields: list[T.StructField], most: int = CHUNK_BYTES) -> DataFrame:
     """df with columns that `work` makes from its texts (null: empty), in one pass of Arrow batches.
 
-    `work` gets a list of texts and returns an array for each field. A column of df that has the name of a new one
+    `work` gets a list of texts, of about `most` bytes or a single one, and returns an array for each field. A column of df that has the name of a new one
     gives way to it.
     """
     names = {f.name.lower() for f in fields}
@@ -110,7 +110,7 @@ def append_columns(df: DataFrame, text_col: str, work: Callable[[list[str]], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, at):
+            for b in slices(whole, at, most):
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, *work(texts)], names=[*b.schema.names, *new])
 

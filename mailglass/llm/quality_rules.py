@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from mailglass.llm.common import WordTable, append_columns, held
 
 WINDOW = 8
+#: Most bytes of text that are measured at once: tokens, their counts and windows take many times its size.
+STEP_BYTES = 1 << 20
 SYMBOLS = "#*$%&|<>"
 
 
@@ -256,4 +258,4 @@ def quality_rules(docs: DataFrame, vocabulary: str, text_col: str = "text", band
     base_failed true and kept false. Repeated rows get equal results. A column with the name of a result gives way.
     """
     bands = bands or BANDS
-    return append_columns(docs, text_col, lambda texts: measure_texts(texts, vocabulary, bands), FIELDS)
+    return append_columns(docs, text_col, lambda texts: measure_texts(texts, vocabulary, bands), FIELDS, STEP_BYTES)

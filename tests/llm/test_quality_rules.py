@@ -81,3 +81,17 @@ def test_letters_tell_the_language():
     words = [t.encode().split() for t in [*texts.values(), "", "123 !?", "漢字"]]
     ids = fertility.table.ids([w for ws in words for w in ws])
     assert fertility.languages(ids, np.cumsum([0, *map(len, words)])) == [*texts, "", "", ""]
+
+
+def test_texts_are_measured_in_small_steps(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from mailglass.llm import quality_rules as Q
+
+    real = Q.append_columns
+    seen = lambda texts: [pa.array([sum(map(len, texts))] * len(texts), pa.int64())]
+    monkeypatch.setattr(Q, "append_columns", lambda df, col, work, fields, *most: real(df, col, seen, [T.StructField("seen", T.LongType())], *most))
+    docs = spark.range(12, numPartitions=1).select("id", F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    assert Q.quality_rules(docs, "none").agg(F.max("seen")).first()[0] <= Q.STEP_BYTES
