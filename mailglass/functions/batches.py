@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 #: Most bytes of an Arrow batch, and the setting that says so. A larger row is a batch of its own, whole.
 BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The same for pandas functions, which hold a batch as Arrow, as Python's strings, and as results at once.
+UDF_BYTES = 1 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -19,6 +21,6 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def by_arrow(kind: str | T.DataType) -> Callable:
-    """F.pandas_udf, with the active session's Arrow batches bounded by BATCH_BYTES."""
-    SparkSession.active().conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    """F.pandas_udf, with the active session's Arrow batches bounded by UDF_BYTES."""
+    SparkSession.active().conf.set(BATCH_SETTING, str(UDF_BYTES))
     return F.pandas_udf(kind)

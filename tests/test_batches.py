@@ -44,3 +44,10 @@ def test_reading_mails_bounds_batches(spark):
         spark.conf.unset(BATCH_SETTING)
         make()
         assert largest_batch(spark) <= BATCH_BYTES + (1 << 19)
+
+
+def test_pandas_functions_get_a_megabyte(spark):
+    for make in (lambda: folding.refang(F.col("text")), lambda: mail_texts.otp_notice(F.col("text"), book())):
+        spark.conf.unset(BATCH_SETTING)
+        make()
+        assert largest_batch(spark) <= (1 << 20) + (1 << 19)
