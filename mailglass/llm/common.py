@@ -82,6 +82,24 @@ def crc_rest(c: Column, m: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with give_back() at the end of each task: Python workers live on beside the JVM while later stages need its memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about `most` bytes of text each; a longer text stands alone, whole."""
     col = batch.column(column)
@@ -114,7 +132,7 @@ def append_columns(df: DataFrame, text_col: str, work: Callable[[list[str]], lis
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, *work(texts)], names=[*b.schema.names, *new])
 
-    return bounded(base).mapInArrow(run, schema)
+    return bounded(base).mapInArrow(tidy(run), schema)
 
 
 class Words(dict):
@@ -177,9 +195,7 @@ def held(key: object, make: Callable[[], object]) -> object:
     if key not in _HELD:
         _HELD.clear()
         WordTable.used = None
-        gc.collect()
-        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-            libc.malloc_trim(0)
+        give_back()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mailglass.llm.common import WordTable, bounded, cut, held, mix64, scratch, slices, word_hashes
+from mailglass.llm.common import WordTable, bounded, cut, held, mix64, scratch, slices, tidy, word_hashes
 from mailglass.llm.components import connected_components
 
 WORDS = 5
@@ -166,7 +166,7 @@ def packed_shingles(texts: DataFrame, cell_bits: int, words: int) -> DataFrame:
                 rows.append((int(mix64(nodes[:1])[0] >> np.uint64(64 - cell_bits)), True, planes(size, 8), planes(nodes, 8)))
                 yield record(PACKED, zip(*rows, strict=True))
 
-    return texts.mapInArrow(run, PACKED)
+    return texts.mapInArrow(tidy(run), PACKED)
 
 
 def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -221,7 +221,7 @@ def shared_shingles(packed: DataFrame, cell_bits: int) -> DataFrame:
         if out:
             yield deal(out)
 
-    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, SHARED)
+    return packed.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), SHARED)
 
 
 def prefixes(shared: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +254,7 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
         for _, rows in by_cell(batches):
             yield settle(rows)
 
-    return shared.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LISTED)
+    return shared.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(run), LISTED)
 
 
 # --- small sets
@@ -325,7 +325,7 @@ def sets_of(texts: DataFrame, words: int) -> DataFrame:
             lists = lambda x, ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.view(np.int64)))
             yield record(SETS, (nodes, size, lists(flat, np.append(0, np.cumsum(size))), lists(marks, BITMAP * np.arange(len(sets) + 1))))
 
-    return texts.mapInArrow(run, SETS)
+    return texts.mapInArrow(tidy(run), SETS)
 
 
 def possible(a: str, b: str, percent: int) -> Column:

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mailglass.llm.common import WordTable, bounded, cut, held, slices
+from mailglass.llm.common import WordTable, bounded, cut, held, slices, tidy
 
 CAPACITY = 2048
 WASTE = 0.02
 END_ID = 1
 #: Bytes of text and words remembered that a worker handles at once.
-SLICE_BYTES, TABLE_WORDS = 1 << 20, 200_000
+SLICE_BYTES, TABLE_WORDS = 1 << 18, 100_000
 #: A stop behind a letter, at a word's end. A space before it changes no id, as letters and other marks never share a token.
 _STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|\Z)")
 
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: flo
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, stop), pa.int32()), pa.array(ids.view("<i4"))))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, schema)
+    return bounded(docs).select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: float = WASTE, keep_ids: bool = False) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from mailglass.llm.common import append_columns, bounded, slices
+from mailglass.llm.common import append_columns, bounded, slices, tidy
 
 
 @dataclass(frozen=True)
@@ -310,7 +310,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
                     out.append("".join([*parts, t[done:]]) if spans else t)
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.string()), *b.columns[at + 1 :]], names=b.schema.names)
 
-    return bounded(docs).mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def span_digest(spans: list[dict], kinds: tuple[str, ...]) -> tuple[str, str]:

@@ -74,3 +74,23 @@ def test_ids_meet_their_pieces(spark, folder):
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in rows)
     key = lambda rs: sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.length, r.ids_crc32) for r in rs)
     assert key(rows) == key(plain)
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    from mailglass.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "give_back", lambda: said.append("given back"))
+
+    def run(batches):
+        for b in batches:
+            yield b
+        said.append("ended")
+
+    assert list(common.tidy(run)(iter([1, 2]))) == [1, 2] and said == ["ended", "given back"]
+
+
+def test_few_words_are_remembered_and_slices_small(spark):
+    rows = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word and ', 8000) AS text")
+    assert P.SLICE_BYTES <= 1 << 18 and P.TABLE_WORDS <= 100_000
+    assert P.pieces(rows, vocabulary(WORD_BPE)).agg({"length": "sum"}).first()[0] == 40 * 16_001
