@@ -11,29 +11,40 @@ into the first bin with room.
 from __future__ import annotations
 
 import math
+import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import batched, chain, compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from mailglass.llm.common import WordTable, bounded, cut, held, slices, tidy
+from mailglass.llm.common import bounded, cut, held, mix64, slices, tidy
 
 CAPACITY = 2048
 WASTE = 0.02
 END_ID = 1
-#: Bytes of text and words remembered that a worker handles at once.
-SLICE_BYTES, TABLE_WORDS = 1 << 18, 100_000
-#: A stop behind a letter, at a word's end. A space before it changes no id, as letters and other marks never share a token.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])(?=\s|\Z)")
+#: Bytes of text that a worker handles at once, words that it remembers, and the longest of these: below so many bytes, at most so many ids.
+SLICE_BYTES, TABLE_WORDS, KEY_BYTES, KEY_IDS = 1 << 18, 100_000, 24, 12
+#: Factors of a key's eight-byte parts in its hash.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Words that the merge model gets at once.
+RUN_WORDS = 200
+#: Letters below U+0180 in UTF-8, but for a few that normalisation changes.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\x88\x8a-\xbf])+")
+#: Kinds of bytes. A MARK behind a LETTER begins a word of its own: letters and other marks never share a token, so a space
+#: between them changes no id. A bar is no MARK, as special tokens have one behind a letter.
+_SPACE, _LETTER, _MARK, _OTHER = range(4)
+_KIND = np.array([_SPACE if c in b" \t\n\v\f\r" else _LETTER if bytes([c]).isalpha() else _MARK if chr(c) in string.punctuation.replace("|", "") else _OTHER for c in range(256)], np.uint8)
 
 
 def cut_length(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[int]:
@@ -53,68 +64,103 @@ def cut_length(n: int, capacity: int = CAPACITY, waste: float = WASTE) -> list[i
 class WordIds:
     """Token ids of white-space separated words; a text's ids are those of its words in turn.
 
-    That holds for tokenizers whose pre-tokenizer drops white space. `plain` words (letters below U+0180) go straight to
+    That holds for tokenizers whose pre-tokenizer drops white space. Plain words (letters below U+0180) go straight to
     the merge model, after lower-casing, when the tokenizer is byte-level and lower-casing; all others through the whole
-    tokenizer.
+    tokenizer. Of the words seen, TABLE_WORDS are remembered in arrays, where a slice's words are met all at once: each has
+    one place, by its hash, and leaves it only to a word that comes when it was not met since the last one that came.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side as it is
         self.tok = Tokenizer.from_file(path)
         names = "".join(map(str, (self.tok.normalizer, self.tok.pre_tokenizer)))
-        self.lower = "Lowercase" in names
-        self.direct = self.lower and "ByteLevel" in names
+        # The bare merge model tells its words' ends by the last id.
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[n for t, n in vocab.items() if t.endswith("</w>")]] = True
+        self.direct = "Lowercase" in names and "ByteLevel" in names and getattr(self.tok.model, "end_of_word_suffix", None) == "</w>"
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.chars = str.maketrans({**{chr(b): chr(b) for b in shown}, **{chr(b): chr(256 + i) for i, b in enumerate(hidden)}})
-        self.table = WordTable(self.look, TABLE_WORDS)
-
-    def direct_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.tok.model.tokenize(word.encode().decode("latin1").translate(self.chars))]
-
-    def look(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
-        if not self.table.known:
-            self.pieces, self.used = np.empty(1 << 16, np.uint16), 0
-        got: list[list[int]] = [[]] * len(words)
-        slow, of_model = [], self.tok.model.tokenize
-        for i, w in enumerate(words):
-            # ASCII letters stand for themselves among the model's characters; bytes.isalpha() knows no others.
-            if self.direct and w.isalpha():
-                got[i] = [t.id for t in of_model(w.lower().decode())]
-                continue
-            s = w.decode()
-            if self.direct and s.isalpha() and max(s) < "ƀ" and "İ" not in s and "ŉ" not in s:
-                got[i] = self.direct_ids(s.lower())
-            else:
-                slow.append(i)
-        if slow:
-            for i, e in zip(slow, self.tok.encode_batch_fast([words[i].decode() for i in slow], add_special_tokens=False), strict=True):
-                got[i] = e.ids
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        n = int(lens.sum())
-        if self.used + n > len(self.pieces):
-            self.pieces = np.concatenate([self.pieces[: self.used], np.empty(max(len(self.pieces), n), np.uint16)])
-        self.pieces[self.used : self.used + n] = np.fromiter(chain.from_iterable(got), np.uint16, n)
-        starts = self.used + np.cumsum(lens) - lens
-        self.used += n
-        return starts, lens
+        # The model's character for each byte, but for the space.
+        self.chars = np.arange(256, dtype="<u2")
+        self.chars[[b for b in range(256) if b not in shown]] = 256 + np.arange(256 - len(shown))
+        self.chars[32] = 32
+        # For each place its word's bytes and their number, its ids and theirs, and whether it was met since the last newcomer.
+        self.keys = np.zeros((TABLE_WORDS, KEY_BYTES // 8), np.uint64)
+        self.ids, self.counts = np.zeros((TABLE_WORDS, KEY_IDS), np.uint16), np.zeros(TABLE_WORDS, np.int8)
+        self.met = np.zeros(TABLE_WORDS, bool)
+
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words in one array, where each begins in it and how many it has."""
+        plain = np.fromiter((self.direct and (w.isalpha() or _LATIN.fullmatch(w) is not None) for w in words), bool, len(words))
+        runs = [b" ".join(x).decode().lower().encode() for x in batched(compress(words, plain), RUN_WORDS)]
+        runs = [self.chars[np.frombuffer(r, np.uint8)].tobytes().decode("utf-16-le") for r in runs]
+        others = [w.decode() for w in compress(words, ~plain)]
+        of_runs, of_others = self.bare.encode_batch_fast(runs, add_special_tokens=False), self.tok.encode_batch_fast(others, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in chain(of_runs, of_others)), np.uint16)
+        lens = np.empty(len(words), np.int64)
+        lens[~plain] = [len(e) for e in of_others]
+        lens[plain] = np.diff(np.flatnonzero(self.last[ids[: len(ids) - lens[~plain].sum()]]), prepend=-1)
+        order = np.argsort(~plain, kind="stable")
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(lens[order]) - lens[order]
+        return ids, begin, lens
+
+    def words(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a text that begins and ends with a space start and stop."""
+        kind = _KIND[np.frombuffer(blob, np.uint8)]
+        inside = kind != _SPACE
+        first = ~inside[:-1]
+        if self.direct:
+            first |= (kind[:-1] == _LETTER) & (kind[1:] == _MARK)
+        first &= inside[1:]
+        return np.flatnonzero(first) + 1, np.flatnonzero(inside[:-1] & (first | ~inside[1:])) + 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text begins in it."""
-        words = []
-        for t in texts:
-            b = t.encode()
-            if self.direct and b"<|" not in b:
-                b = _STOP.sub(rb" \1", b.lower())
-            words.append(b.split())
-        ids = self.table.ids([w for ws in words for w in ws])
-        if not len(ids):
-            return np.zeros(0, np.uint16), np.zeros(len(texts) + 1, np.int64)
-        at, lens = (x[ids] for x in self.table.rows)
-        ends = np.cumsum(lens)
-        flat = self.pieces[np.repeat(at - (ends - lens), lens) + np.arange(ends[-1])]
-        return flat, np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        raw = [t.encode() for t in texts]
+        if self.direct:
+            raw = [b if b"<|" in b else b.lower() for b in raw]
+        blob = b" ".join([b"", *raw, b" " * KEY_BYTES])
+        start, stop = self.words(blob)
+        size = stop - start
+        chars = sliding_window_view(np.frombuffer(blob, np.uint8), KEY_BYTES)[start]
+        chars *= np.arange(KEY_BYTES) < size[:, None]
+        chars[:, -1] = np.minimum(size, KEY_BYTES)
+        keys = chars.view(np.uint64)
+        place = (mix64(keys @ _ODD) % np.uint64(TABLE_WORDS)).astype(np.int64)
+        known = (self.keys[place] == keys).all(axis=1)
+        self.met[place[known]] = True
+
+        # Words that are not remembered, each once.
+        new = np.flatnonzero(~known)
+        numbers: dict[bytes, int] = {}
+        nth = np.fromiter((numbers.setdefault(blob[i:j], len(numbers)) for i, j in zip(start[new].tolist(), stop[new].tolist(), strict=True)), np.int64, len(new))
+        ids, begin, lens = self.look(list(numbers))
+
+        count, at = self.counts[place].astype(np.int64), place * KEY_IDS
+        count[new], at[new] = lens[nth], self.ids.size + begin[nth]
+        ends = np.cumsum(count)
+        flat = np.concatenate([self.ids.ravel(), ids])[np.repeat(at - (ends - count), count) + np.arange(count.sum())]
+        bounds = np.searchsorted(start, np.cumsum([1, *(len(b) + 1 for b in raw)]))
+
+        one = np.empty(len(numbers), np.int64)
+        one[nth] = new
+        self.remember(*(x[(size[one] < KEY_BYTES) & (lens <= KEY_IDS)] for x in (place[one], keys[one], begin, lens)), ids)
+        return flat, np.append(0, ends)[bounds]
+
+    def remember(self, place: np.ndarray, keys: np.ndarray, begin: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> None:
+        """Words take their places, but where another was met since the last newcomer."""
+        free = ~self.met[place]
+        self.met[place] = False
+        _, one = np.unique(place[free], return_index=True)
+        at, begin = place[free][one], begin[free][one]
+        self.keys[at], self.counts[at] = keys[free][one], lens[free][one]
+        self.ids[at] = ids[np.minimum(begin[:, None] + np.arange(KEY_IDS), len(ids) - 1)]
 
 
 PIECE = T.StructType(

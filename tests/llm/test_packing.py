@@ -94,3 +94,24 @@ def test_few_words_are_remembered_and_slices_small(spark):
     rows = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('word and ', 8000) AS text")
     assert P.SLICE_BYTES <= 1 << 18 and P.TABLE_WORDS <= 100_000
     assert P.pieces(rows, vocabulary(WORD_BPE)).agg({"length": "sum"}).first()[0] == 40 * 16_001
+
+
+def test_words_that_come_again_stay_remembered(monkeypatch):
+    often = [a + b for a in "abcdefghijklmnopqrst" for b in ("anner", "ield", "orest", "under")]
+    asked, look = [], P.WordIds.look
+    monkeypatch.setattr(P.WordIds, "look", lambda self, words: (asked.extend(words), look(self, words))[1])
+    ids = P.WordIds(vocabulary(WORD_BPE))
+    for n in range(25):
+        once = ["q" + "".join(chr(97 + (10_000 * n + i) // 26**k % 26) for k in range(4)) for i in range(10_000)]
+        ids.encode([" ".join(often + once)])
+    assert sum(w.decode() in often for w in asked) < 1.5 * len(often)
+
+
+def test_remembered_words_have_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    tok, ids = Tokenizer.from_file(vocabulary(WORD_BPE)), P.WordIds(vocabulary(WORD_BPE))
+    texts = ["", "word*** it's rock'n'roll, a|b <|x. y.<|endoftext|>z.. a\0 a a\0\0", "Éa! ÷× ªº ſŉİ", "e\u0301, x<\u0338 a\u00a0b\x1cc", "漢字漢字漢字漢字 " * 3, "lo" + "ng" * 40 + "; 1234567890123456"]
+    for _ in range(3):
+        flat, at = ids.encode(texts)
+        assert [flat[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
